@@ -46,6 +46,7 @@ class Site:
         self.spark = spark
         self.sample = SampleTables(spark, sf_dir)
         self._warehouse: Warehouse | None = None
+        self._stored: set[str] = set()
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Site:
@@ -74,21 +75,12 @@ class Site:
             return self.wh.fact.drop("year_num")
         return self.wh.dimension(name) if name in WAREHOUSE else self.table(name)
 
-    # reports that summaries start from
-    def resources(self) -> DataFrame:
-        return reports.disease_resources(self.wh)
-
-    def ranking(self) -> DataFrame:
-        return reports.doctor_ranking(self.wh)
-
-    def utilization(self) -> DataFrame:
-        return reports.ward_utilization(self.wh)
-
-    def readmissions(self) -> DataFrame:
-        return reports.readmission_by_disease(self.wh)
-
-    def readmissions_monthly(self) -> DataFrame:
-        return reports.readmission_monthly(self.wh)
+    def report(self, name: str) -> DataFrame:
+        """A stored report, computed and written on first use."""
+        if name not in self._stored:
+            self.wh.store_report(name, reports.STORED[name](self.wh))
+            self._stored.add(name)
+        return self.wh.report(name)
 
     def decisions(self) -> DataFrame:
         return admission.admission_decisions(
@@ -158,7 +150,7 @@ def _alert_stream(s: Site) -> DataFrame:
 
 
 def _display_wards(s: Site) -> DataFrame:
-    rows = summaries.ward_months(s.utilization()).select(
+    rows = summaries.ward_months(s.report("ward_utilization")).select(
         "month_label",
         "ward_name",
         "ward_type",
@@ -176,7 +168,7 @@ def _display_wards(s: Site) -> DataFrame:
 
 def _display_money(s: Site) -> DataFrame:
     return tables.display(
-        summaries.disease_totals(s.resources()),
+        summaries.disease_totals(s.report("disease_resources")),
         {"total_treatment_spend": "money", "total_cases": "count", "total_bed_days": "count"},
     )
 
@@ -188,7 +180,7 @@ def _doctor_fallback(s: Site, date_from: str, date_to: str) -> DataFrame:
 
 
 def _table_sort(s: Site) -> DataFrame:
-    rows = summaries.disease_totals(s.resources()).select("disease_name", "total_cases")
+    rows = summaries.disease_totals(s.report("disease_resources")).select("disease_name", "total_cases")
     return tables.sort_table(rows, "disease_name")
 
 
@@ -215,10 +207,9 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     ),
     "raw_extract": lambda s: fact.raw_extract(*[s.table(name) for name in EXTRACT]),
     "fact_treatment": lambda s: s.wh.fact.drop("fact_id", "year_num"),
-    "fact_date_semi": lambda s: s.wh.load_rows.withColumn(
-        "date_id", F.col("date_id")
+    "fact_date_semi": lambda s: s.wh.load_rows.join(
+        s.wh.dimension("dim_date").select("date_id"), "date_id", "left_semi"
     )
-    .join(s.wh.dimension("dim_date").select("date_id"), "date_id", "left_semi")
     .select("visit_date", "disease_code", "doctor_id", "ward_id", "total_cases"),
     "fact_skipped_rows": lambda s: s.wh.skipped.select(
         "visit_date", "disease_code", "doctor_id", "ward_id", "total_cases", "skip_reason"
@@ -228,14 +219,14 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     # reports
     "disease_trend": lambda s: reports.disease_trend(s.wh),
     "disease_trend_windowed": lambda s: reports.disease_resources(s.wh, *WINDOW),
-    "doctor_ranking": lambda s: s.ranking(),
+    "doctor_ranking": lambda s: reports.doctor_ranking(s.wh),
     "doctor_ranking_windowed": lambda s: reports.doctor_ranking(s.wh, *WINDOW),
-    "doctor_ranking_filtered": lambda s: summaries.filter_ranking(s.ranking(), "NATION_7", 100),
+    "doctor_ranking_filtered": lambda s: summaries.filter_ranking(s.report("doctor_ranking"), "NATION_7", 100),
     "ward_day_occupancy": lambda s: reports.ward_day_occupancy(s.wh),
-    "ward_utilization": lambda s: s.utilization(),
+    "ward_utilization": lambda s: reports.ward_utilization(s.wh),
     "cost_trend": lambda s: reports.cost_trend(s.wh),
-    "readmission_by_disease": lambda s: s.readmissions(),
-    "readmission_monthly": lambda s: s.readmissions_monthly(),
+    "readmission_by_disease": lambda s: reports.readmission_by_disease(s.wh),
+    "readmission_monthly": lambda s: reports.readmission_monthly(s.wh),
     "warehouse_meta": lambda s: reports.meta(s.wh),
     "overview": lambda s: reports.overview(s.wh),
     "overview_window": lambda s: reports.overview(s.wh, *WINDOW),
@@ -251,57 +242,57 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
         s.table("doctor"), s.table("visit"), s.table("bed_allocation"), s.table("outcome")
     ),
     "default_doctor_trend": lambda s: summaries.doctor_trend(
-        s.ranking(), reports.doctor_monthly(s.wh)
+        s.report("doctor_ranking"), s.report("doctor_monthly")
     ),
     "requested_doctor_trend": lambda s: summaries.doctor_trend(
-        s.ranking(), reports.doctor_monthly(s.wh), requested=7
+        s.report("doctor_ranking"), s.report("doctor_monthly"), requested=7
     ),
     "doctor_monthly_filtered": lambda s: summaries.filter_doctor_months(
-        reports.doctor_monthly(s.wh), "NATION_7", 5
+        s.report("doctor_monthly"), "NATION_7", 5
     ),
     # summaries
-    "disease_totals": lambda s: summaries.disease_totals(s.resources()),
+    "disease_totals": lambda s: summaries.disease_totals(s.report("disease_resources")),
     "disease_totals_columns": lambda s: summaries.choose_columns(
-        summaries.disease_totals(s.resources()),
+        summaries.disease_totals(s.report("disease_resources")),
         summaries.DEFAULT_DISEASE_COLUMNS,
         summaries.DISEASE_COLUMNS,
     ),
-    "disease_monthly": lambda s: summaries.disease_monthly(s.resources()),
-    "cases_by_month": lambda s: summaries.cases_by_month(s.resources()),
+    "disease_monthly": lambda s: summaries.disease_monthly(s.report("disease_resources")),
+    "cases_by_month": lambda s: summaries.cases_by_month(s.report("disease_resources")),
     "cases_by_month_of_disease": lambda s: summaries.cases_by_month(
-        s.resources(), "Condition Brand#12"
+        s.report("disease_resources"), "Condition Brand#12"
     ),
-    "top_diseases_by_spend": lambda s: summaries.top_diseases_by_spend(s.resources()),
-    "top_doctors": lambda s: summaries.top_doctors(s.ranking()),
-    "doctor_extremes": lambda s: summaries.doctor_extremes(s.ranking()),
+    "top_diseases_by_spend": lambda s: summaries.top_diseases_by_spend(s.report("disease_resources")),
+    "top_doctors": lambda s: summaries.top_doctors(s.report("doctor_ranking")),
+    "doctor_extremes": lambda s: summaries.doctor_extremes(s.report("doctor_ranking")),
     "ward_monthly_filtered": lambda s: summaries.ward_months(
-        s.utilization(), "ASIA", "Low Utilization"
+        s.report("ward_utilization"), "ASIA", "Low Utilization"
     ),
-    "ward_summary": lambda s: summaries.ward_summary(s.utilization()),
-    "ward_heatmap": lambda s: summaries.ward_heatmap(s.utilization()),
+    "ward_summary": lambda s: summaries.ward_summary(s.report("ward_utilization")),
+    "ward_heatmap": lambda s: summaries.ward_heatmap(s.report("ward_utilization")),
     "ward_heatmap_matrix": lambda s: summaries.ward_heatmap_matrix(
-        summaries.ward_heatmap(s.utilization()), month_labels(CALENDAR_FROM, CALENDAR_TO)
+        summaries.ward_heatmap(s.report("ward_utilization")), month_labels(CALENDAR_FROM, CALENDAR_TO)
     ),
-    "ward_kpis": lambda s: summaries.ward_kpis(s.utilization()),
-    "readmitted_by_month": lambda s: summaries.readmitted_by_month(s.readmissions_monthly()),
+    "ward_kpis": lambda s: summaries.ward_kpis(s.report("ward_utilization")),
+    "readmitted_by_month": lambda s: summaries.readmitted_by_month(s.report("readmission_monthly")),
     "readmitted_by_month_of_disease": lambda s: summaries.readmitted_by_month(
-        s.readmissions_monthly(), "Condition Brand#12"
+        s.report("readmission_monthly"), "Condition Brand#12"
     ),
     "readmission_severity": lambda s: summaries.with_severity(
-        summaries.readmission_months(s.readmissions_monthly())
+        summaries.readmission_months(s.report("readmission_monthly"))
     ),
     "readmission_risk_filtered": lambda s: summaries.filter_risk(
-        summaries.readmission_months(s.readmissions_monthly()), "high", 20
+        summaries.readmission_months(s.report("readmission_monthly")), "high", 20
     ),
-    "readmission_kpis": lambda s: summaries.readmission_kpis(s.readmissions()),
-    "top_diseases_by_cases": lambda s: summaries.top_diseases_by_cases(s.readmissions()),
-    "readmission_share": lambda s: summaries.readmission_share(s.readmissions()),
+    "readmission_kpis": lambda s: summaries.readmission_kpis(s.report("readmission_by_disease")),
+    "top_diseases_by_cases": lambda s: summaries.top_diseases_by_cases(s.report("readmission_by_disease")),
+    "readmission_share": lambda s: summaries.readmission_share(s.report("readmission_by_disease")),
     "filter_options": lambda s: summaries.filter_options(
-        s.ranking(), s.utilization(), s.resources(), s.readmissions_monthly()
+        s.report("doctor_ranking"), s.report("ward_utilization"), s.report("disease_resources"), s.report("readmission_monthly")
     ),
     # tables
     "table_search": lambda s: tables.search(
-        s.ranking(),
+        s.report("doctor_ranking"),
         " ASIA ",
         ["doctor_id", "specialization", "department", "total_cases", "recovery_rate_pct"],
     ),

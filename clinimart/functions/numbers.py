@@ -8,8 +8,6 @@ over the same data agree to the last digit.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,36 +15,34 @@ RATE = "decimal(18,2)"
 MONEY = "decimal(28,2)"
 
 
-# Values up to this size have products that fit a BIGINT at four decimals.
-_SMALL = 10**12
-_UNITS = 10_000
+# Values up to 10^12 have products that fit a BIGINT at four decimals.
+_RATIO = """
+CAST(CAST(sign({n}) AS INT) * CASE
+  WHEN abs({n}) < 1000000000000 AND {d} < 1000000000000 THEN
+    (CAST(abs({n}) * 10000 AS BIGINT) * 200 + CAST({d} * 10000 AS BIGINT))
+    div (2 * nullif(CAST({d} * 10000 AS BIGINT), 0))
+  ELSE
+    (CAST(abs({n}) AS DECIMAL(30,4)) * 200 + CAST({d} AS DECIMAL(24,4)))
+    div (2 * nullif(CAST({d} AS DECIMAL(24,4)), 0))
+END AS DECIMAL(18,0)) * 0.01"""
 
 
-def exact_ratio(numerator: Column, denominator: Column) -> Column:
+def exact_ratio(numerator: str, denominator: str) -> Column:
     """``numerator / denominator`` to two places; NULL when either is NULL or
-    the denominator is zero. Both may have up to four decimals and the
-    denominator must not be negative. Ordinary values stay in BIGINT
-    arithmetic; only huge ones take the slower decimal way."""
-    small = (F.abs(numerator) < _SMALL) & (denominator < _SMALL)
-    units = (F.abs(numerator) * _UNITS).cast("bigint")
-    parts = F.nullif((denominator * _UNITS).cast("bigint"), F.lit(0).cast("bigint"))
-    total = F.abs(numerator).cast("decimal(30,4)")
-    count = F.nullif(denominator.cast("decimal(24,4)"), F.lit(0).cast("decimal(24,4)"))
-    hundredths = F.when(
-        small, F.call_function("div", units * 200 + parts, parts * 2)
-    ).otherwise(F.call_function("div", total * 200 + count, count * 2))
-    signed = F.when(numerator < 0, -hundredths).otherwise(hundredths)
-    return (signed.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast(RATE)
-
-
-def percentage(part: Column, whole: Column) -> Column:
+    the denominator is zero. Both are SQL expressions, usually column names,
+    with up to four decimals, and the denominator is not negative. Ordinary
+    values stay in BIGINT arithmetic; only huge ones take the decimal way."""
+    return F.expr(_RATIO.format(n=f"({numerator})", d=f"({denominator})")).cast(RATE)
+
+
+def percentage(part: str, whole: str) -> Column:
     """100 * part / whole to two places, NULL for an empty whole."""
-    return exact_ratio(part.cast("decimal(27,4)") * 100, whole)
+    return exact_ratio(f"100 * CAST({part} AS DECIMAL(26,4))", whole)
 
 
-def change_percentage(current: Column, previous: Column) -> Column:
+def change_percentage(current: str, previous: str) -> Column:
     """Relative change from ``previous`` to ``current`` in percent."""
-    return percentage(current - previous, previous)
+    return percentage(f"{current} - {previous}", previous)
 
 
 def or_zero(value: Column) -> Column:

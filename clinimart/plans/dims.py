@@ -95,5 +95,9 @@ def dim_ward(ward: DataFrame, previous: DataFrame | None = None) -> DataFrame:
 
 def dim_outcome(spark: SparkSession) -> DataFrame:
     """The four outcome labels, numbered in their declared order."""
-    rows = list(enumerate(OUTCOME_LABELS, start=1))
-    return spark.createDataFrame(rows, "outcome_sk INT, outcome_label STRING")
+    labels = F.array(*[F.lit(label) for label in OUTCOME_LABELS])
+    return (
+        spark.range(1)
+        .select(F.posexplode(labels).alias("position", "outcome_label"))
+        .select((F.col("position") + 1).alias("outcome_sk"), "outcome_label")
+    )

@@ -110,10 +110,10 @@ def treatment_groups(
             "total_cases",
             "recovered_cases",
             "readmitted_cases",
-            exact_ratio(F.col("total_bed_days"), F.col("_known"))
+            exact_ratio("total_bed_days", "_known")
             .cast("decimal(6,2)")
             .alias("avg_recovery_days"),
-            exact_ratio(F.col("_cost"), F.col("_costed"))
+            exact_ratio("_cost", "_costed")
             .cast("decimal(10,2)")
             .alias("avg_treatment_cost"),
             "total_bed_days",

@@ -31,8 +31,8 @@ def _with_spend(fact: DataFrame) -> DataFrame:
 def _rates(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "readmission_rate_pct": percentage(F.col("readmitted_cases"), F.col("total_cases")),
-            "recovery_rate_pct": percentage(F.col("recovered_cases"), F.col("total_cases")),
+            "readmission_rate_pct": percentage("readmitted_cases", "total_cases"),
+            "recovery_rate_pct": percentage("recovered_cases", "total_cases"),
         }
     )
 
@@ -83,10 +83,11 @@ def disease_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     value = F.col("total_treatment_spend")
     return (
         disease_resources(wh, date_from, date_to)
-        .withColumn(
-            "spend_3m_moving_avg",
-            exact_ratio(F.sum(value).over(last_three), F.count(value).over(last_three)),
+        .withColumns(
+            {"_sum": F.sum(value).over(last_three), "_rows": F.count(value).over(last_three)}
         )
+        .withColumn("spend_3m_moving_avg", exact_ratio("_sum", "_rows"))
+        .drop("_sum", "_rows")
         .orderBy(*MONTH, value.desc(), "disease_name")
     )
 
@@ -98,7 +99,7 @@ def doctor_ranking(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     scored = _rates(
         _by_doctor(wh, fact, [], [*CASES, "spend"]).filter(F.col("total_cases") >= MIN_DOCTOR_CASES)
     ).withColumn(
-        "weighted_avg_treatment_cost", exact_ratio(F.col("spend"), F.col("total_cases"))
+        "weighted_avg_treatment_cost", exact_ratio("spend", "total_cases")
     )
     order = [("recovery_rate_pct", "desc"), ("readmission_rate_pct", "asc"), ("total_cases", "desc")]
     return (
@@ -146,14 +147,13 @@ def ward_utilization(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
             F.dayofmonth(F.last_day(F.max(day))).alias("days_in_month"),
         )
     )
-    used = F.col("month_occupied_bed_days")
-    available = F.col("capacity").cast("bigint") * F.col("days_in_month")
+    used, available = "month_occupied_bed_days", "CAST(capacity AS BIGINT) * days_in_month"
     return months.select(
         *MONTH,
         *ward,
         "month_occupied_bed_days",
         percentage(used, available).alias("utilization_pct"),
-        utilization_band(used * 100, available).alias("utilization_band"),
+        utilization_band(F.col(used) * 100, F.expr(available)).alias("utilization_band"),
     ).orderBy(*MONTH, F.col("utilization_pct").desc(), "ward_id")
 
 
@@ -161,14 +161,13 @@ def cost_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     """Case-weighted cost per month and its change on the month before, taken on
     rounded values. The window orders one row per calendar month."""
     by_month = Window.orderBy(*MONTH)
-    cost, before = F.col("avg_treatment_cost"), F.col("_previous")
     return (
         _with_spend(wh.fact_between(date_from, date_to))
         .groupBy(*MONTH)
         .agg(*_sums("spend", "total_cases"))
-        .select(*MONTH, exact_ratio(F.col("spend"), F.col("total_cases")).alias("avg_treatment_cost"))
+        .select(*MONTH, exact_ratio("spend", "total_cases").alias("avg_treatment_cost"))
         .withColumn("_previous", F.lag("avg_treatment_cost", 1).over(by_month))
-        .withColumn("mom_change_pct", change_percentage(cost, before))
+        .withColumn("mom_change_pct", change_percentage("avg_treatment_cost", "_previous"))
         .drop("_previous")
         .orderBy(*MONTH)
     )
@@ -208,7 +207,7 @@ def overview(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     return _rates(sums).select(
         *CASES,
         F.coalesce(
-            exact_ratio(F.col("_cost"), F.col("_costed")), F.lit(0).cast("decimal(18,2)")
+            exact_ratio("_cost", "_costed"), F.lit(0).cast("decimal(18,2)")
         ).alias("avg_treatment_cost"),
         "total_bed_days",
         "recovery_rate_pct",
@@ -235,7 +234,7 @@ def monthly_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
         .select(
             month_label(F.col("year_num"), F.col("month_num")).alias("month_label"),
             "total_cases",
-            exact_ratio(F.col("_cost"), F.col("_costed")).alias("avg_cost"),
+            exact_ratio("_cost", "_costed").alias("avg_cost"),
             "readmitted_cases",
         )
     )
@@ -352,9 +351,20 @@ def doctor_performance_view(
             "specialization",
             "experience_years",
             or_zero(F.col("visits")).alias("total_visits"),
-            exact_ratio(F.col("days"), F.col("known")).alias("avg_patient_stay"),
+            exact_ratio("days", "known").alias("avg_patient_stay"),
             or_zero(F.col("recovered")).alias("recovered_count"),
             or_zero(F.col("readmitted")).alias("readmission_count"),
-            percentage(F.col("recovered"), F.col("visits")).alias("recovery_rate_pct"),
+            percentage("recovered", "visits").alias("recovery_rate_pct"),
         )
     )
+
+
+# Reports that page summaries start from.
+STORED = {
+    "disease_resources": disease_resources,
+    "doctor_ranking": doctor_ranking,
+    "doctor_monthly": doctor_monthly,
+    "ward_utilization": ward_utilization,
+    "readmission_by_disease": readmission_by_disease,
+    "readmission_monthly": readmission_monthly,
+}

@@ -220,7 +220,7 @@ def ward_summary(utilization: DataFrame, ward_type: str | None = None, band: str
         "capacity",
         "months_tracked",
         "total_occupied_bed_days",
-        exact_ratio(F.col("_rates"), F.col("_rows")).alias("avg_utilization_pct"),
+        exact_ratio("_rates", "_rows").alias("avg_utilization_pct"),
         "peak_utilization_pct",
         utilization_band(F.col("_rates"), F.col("_rows")).alias("avg_utilization_band"),
     )
@@ -235,9 +235,7 @@ def ward_heatmap(utilization: DataFrame, ward_type: str | None = None, band: str
         ward_months(utilization, ward_type, band)
         .groupBy("ward_id", "ward_name", "month_label")
         .agg(
-            exact_ratio(F.sum(or_zero(F.col("utilization_pct"))), F.count("*")).alias(
-                "utilization_pct"
-            )
+            exact_ratio("sum(coalesce(utilization_pct, 0))", "count(*)").alias("utilization_pct")
         )
     )
 
@@ -265,11 +263,11 @@ def ward_kpis(utilization: DataFrame, ward_type: str | None = None, band: str |
         F.max_by("capacity", "month_label").alias("capacity"),
         F.sum("month_occupied_bed_days").alias("bed_days"),
     )
-    mean = exact_ratio(F.col("rates"), F.col("n"))
+    mean = exact_ratio("rates", "n")
     exact_mean = F.col("rates").cast("decimal(24,2)") / F.col("n").cast("decimal(12,0)")
     ward = F.struct(F.col("ward_name"), mean.alias("mean"))
     return per_ward.agg(
-        exact_ratio(F.sum("rates"), F.sum("n")).alias("avg_utilization_pct"),
+        exact_ratio("sum(rates)", "sum(n)").alias("avg_utilization_pct"),
         F.min_by(ward, F.struct(-exact_mean, F.col("ward_name"))).alias("most"),
         F.min_by(ward, F.struct(exact_mean, F.col("ward_name"))).alias("least"),
         F.sum(F.col("capacity").cast("bigint")).alias("total_capacity_beds"),
@@ -291,7 +289,7 @@ def ward_kpis(utilization: DataFrame, ward_type: str | None = None, band: str |
 def _stored_or_derived(rate: str, part: str) -> Column:
     """A missing rate is worked out from the counts; no cases give zero."""
     return F.coalesce(
-        F.col(rate), percentage(F.col(part), F.col("total_cases")), F.lit(0).cast(RATE)
+        F.col(rate), percentage(part, "total_cases"), F.lit(0).cast(RATE)
     )
 
 
@@ -326,7 +324,7 @@ def readmission_kpis(by_disease: DataFrame) -> DataFrame:
     """One row: ratio of sums, the worst disease by either rate, and the count."""
     name = F.col("disease_name")
     return by_disease.agg(
-        percentage(F.sum("readmitted_cases"), F.sum("total_cases")).alias("avg_readmission_rate_pct"),
+        percentage("sum(readmitted_cases)", "sum(total_cases)").alias("avg_readmission_rate_pct"),
         F.min_by(
             F.struct("disease_name", "readmission_rate_pct"),
             F.struct(-F.col("readmission_rate_pct"), name),
@@ -360,10 +358,11 @@ def readmission_share(by_disease: DataFrame) -> DataFrame:
     total = by_disease.agg(F.sum("readmitted_cases").alias("total")).scalar()
     return (
         by_disease.filter(F.col("readmitted_cases") > 0)
+        .withColumn("_total", total)
         .select(
             "disease_name",
             "readmitted_cases",
-            percentage(F.col("readmitted_cases"), total).alias("readmission_share_pct"),
+            percentage("readmitted_cases", "_total").alias("readmission_share_pct"),
         )
         .orderBy(F.col("readmitted_cases").desc(), "disease_name")
         .limit(TOP_SHARES)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, date_key
-from ..schemas import warehouse_schema
+from ..schemas import FACT_COLUMNS, FACT_LOAD
 from ..sources.storage import read_dimension
 from . import dims, fact
 
@@ -32,7 +32,7 @@ class Warehouse:
     def load_rows(self) -> DataFrame:
         """All groups of the load with natural and surrogate keys; skipped
         groups carry their reason."""
-        return self.spark.read.parquet(f"{self.root}/fact_load")
+        return self.spark.read.schema(FACT_LOAD).parquet(f"{self.root}/fact_load")
 
     @property
     def skipped(self) -> DataFrame:
@@ -41,11 +41,10 @@ class Warehouse:
     @property
     def fact(self) -> DataFrame:
         """The treatment fact. ``year_num`` is its partition column."""
-        columns = [f.name for f in warehouse_schema("fact_treatment").fields]
         return (
             self.load_rows.filter(F.col("load_status") == "loaded")
             .withColumn("outcome_sk", F.lit(None).cast("int"))
-            .select(*columns, "year_num")
+            .select(*FACT_COLUMNS, "year_num")
         )
 
     def fact_between(
@@ -68,6 +67,14 @@ class Warehouse:
             rows = rows.filter((F.col("year_num") <= last.year) & (F.col("date_id") <= date_key(last)))
         return rows.drop("year_num").join(dates, "date_id")
 
+    def store_report(self, name: str, report: DataFrame) -> None:
+        """Keep a full-history report beside the load, so that page summaries
+        read a small table and not the fact."""
+        report.write.mode("overwrite").parquet(f"{self.root}/report/{name}")
+
+    def report(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/report/{name}")
+
 
 def refresh(
     spark: SparkSession,
@@ -75,13 +82,15 @@ def refresh(
     table: Callable[[str], DataFrame],
     calendar_from: str | dt.date,
     calendar_to: str | dt.date,
+    stored_reports: dict[str, Callable[[Warehouse], DataFrame]] | None = None,
 ) -> Warehouse:
     """Load a new version of the warehouse beside the old one and publish it.
 
     ``table`` returns an operational table by name. Everything is written below
     a folder of its own; readers see the load only when its row is in the load
     log, so there is no moment with an empty fact. Dimension keys carry over
-    from the last load, which makes a rerun give the same tables.
+    from the last load, which makes a rerun give the same tables. Reports named
+    in ``stored_reports`` are computed and kept with the load.
     """
     previous = latest(spark, root)
 
@@ -125,9 +134,11 @@ def refresh(
         .write.partitionBy("load_status", "year_num")
         .parquet(f"{target}/fact_load")
     )
-    spark.createDataFrame([(load_id,)], "load_id STRING").withColumn(
-        "finished_at", F.current_timestamp()
-    ).coalesce(1).write.mode("append").parquet(f"{root}/loads")
+    for name, build in (stored_reports or {}).items():
+        done.store_report(name, build(done))
+    spark.range(1).select(
+        F.lit(load_id).alias("load_id"), F.current_timestamp().alias("finished_at")
+    ).write.mode("append").parquet(f"{root}/loads")
     return done
 
 

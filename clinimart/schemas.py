@@ -51,6 +51,20 @@ WAREHOUSE = {
     "avg_recovery_days DECIMAL(6,2), avg_treatment_cost DECIMAL(10,2), total_bed_days BIGINT",
 }
 
+FACT_COLUMNS = [
+    "fact_id", "date_id", "disease_sk", "doctor_sk", "ward_sk", "outcome_sk", "total_cases",
+    "recovered_cases", "readmitted_cases", "avg_recovery_days", "avg_treatment_cost",
+    "total_bed_days",
+]
+# The written load: fact columns, natural keys and outcome of the load, with its
+# partition columns last.
+FACT_LOAD = (
+    "fact_id BIGINT, date_id INT, disease_sk INT, doctor_sk INT, ward_sk INT, visit_date DATE, "
+    "disease_code STRING, doctor_id INT, ward_id INT, total_cases BIGINT, recovered_cases BIGINT, "
+    "readmitted_cases BIGINT, avg_recovery_days DECIMAL(6,2), avg_treatment_cost DECIMAL(10,2), "
+    "total_bed_days BIGINT, skip_reason STRING, load_status STRING, year_num INT"
+)
+
 OUTCOME_LABELS = ["Recovered", "Improved", "Readmitted", "Deceased"]
 
 PRIMARY_KEYS = {
@@ -122,9 +136,5 @@ def operational_schema(table: str) -> StructType:
     return StructType.fromDDL(OPERATIONAL[table])
 
 
-def warehouse_schema(table: str) -> StructType:
-    return StructType.fromDDL(WAREHOUSE[table])
-
-
 def required_columns(table: str) -> list[str]:
     return [f.name for f in operational_schema(table).fields if not f.nullable]
