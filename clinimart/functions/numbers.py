@@ -30,7 +30,8 @@ END AS DECIMAL(18,0)) * 0.01"""
 def exact_ratio(numerator: str, denominator: str) -> Column:
     """``numerator / denominator`` to two places; NULL when either is NULL or
     the denominator is zero. Both are SQL expressions, usually column names,
-    with up to four decimals, and the denominator is not negative. Ordinary
+    with up to four decimals, the denominator is not negative, and the result is
+    below 10^16 as its type says (more is an error, not a wrong number). Ordinary
     values stay in BIGINT arithmetic; only huge ones take the decimal way."""
     return F.expr(_RATIO.format(n=f"({numerator})", d=f"({denominator})")).cast(RATE)
 

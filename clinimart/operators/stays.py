@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import left_join_sliced, slices_for
+
 
 def stay_intervals(bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",)) -> DataFrame:
     """Running stay totals per patient and ``split``, with their validity.
@@ -41,18 +43,18 @@ def stay_intervals(bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",
 
 
 def stays_by_day(
-    visit: DataFrame, bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",)
+    days: DataFrame, bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",)
 ) -> DataFrame:
-    """Totals in force per (patient, visit day, ``split``), one row per ward."""
+    """Totals in force for each row of ``days`` (patient, visit date and more),
+    one row per ward with a stay."""
     intervals = stay_intervals(bed_allocation, split).withColumnRenamed("patient_id", "_patient")
-    days = visit.select("patient_id", "visit_date").distinct()
     in_force = (
         (F.col("patient_id") == F.col("_patient"))
         & (F.col("visit_date") >= F.col("valid_from"))
         & (F.col("valid_to").isNull() | (F.col("visit_date") < F.col("valid_to")))
     )
     return days.join(intervals, in_force).select(
-        "patient_id", "visit_date", *split, "stays", "known_stays", "stay_days"
+        *days.columns, *split, "stays", "known_stays", "stay_days"
     )
 
 
@@ -62,13 +64,19 @@ def visit_stays(
     """Left join of visits with their stays, compact: a row stands for
     ``copies`` joined rows. A visit without a stay keeps one row, ward NULL.
 
-    The join key is (patient, day), so a patient with a large part of all
-    visits spreads over days; what is still hot after that is on the left of an
-    outer join, where adaptive execution splits it.
+    Visits are first counted per patient and day. That gives the days to look
+    up, far fewer than visits for a busy patient, and tells which of them are so
+    crowded that their visits are spread over several tasks.
     """
-    totals = stays_by_day(visit, bed_allocation, split)
+    day = ["patient_id", "visit_date"]
+    days = (
+        visit.groupBy(*day)
+        .agg(F.count("*").alias("_visits"))
+        .select(*day, slices_for(F.col("_visits")).alias("slices"))
+    )
+    totals = stays_by_day(days, bed_allocation, split)
     return (
-        visit.join(totals, ["patient_id", "visit_date"], "left")
+        left_join_sliced(visit, totals, days, day, spread="visit_id")
         .withColumn("copies", F.coalesce("stays", F.lit(1).cast("bigint")))
         .drop("stays")
     )

@@ -14,6 +14,7 @@ from ..functions.bands import MIN_DISEASE_CASES, MIN_DOCTOR_CASES, utilization_b
 from ..functions.dates import month_label, request_window
 from ..functions.numbers import MONEY, change_percentage, exact_ratio, or_zero, percentage, spend
 from ..operators.ordering import rank_rows
+from ..operators.skew import left_join_sliced, slices_for
 from .warehouse import Warehouse
 
 MONTH = ["year_num", "month_num"]
@@ -313,7 +314,8 @@ def doctor_performance_view(
     By definition every visit meets all allocations of its patient, with no date
     condition, so outcomes count joined rows while visits are distinct, and the
     rate may exceed 100. Visits are reduced per patient and doctor, allocations
-    per patient, and the counts are multiplied instead of forming the rows.
+    per patient, and the counts are multiplied instead of forming the rows; a
+    patient with very many visits is spread over tasks by doctor.
     """
     status = F.col("status")
     contacts = (
@@ -326,14 +328,19 @@ def doctor_performance_view(
             F.count_if(status == "Readmitted").alias("readmitted"),
         )
     )
-    stays = bed_allocation.groupBy("patient_id").agg(
-        F.count("*").alias("stays"),
-        F.count("days_stayed").alias("known"),
-        F.sum(F.col("days_stayed").cast("bigint")).alias("days"),
+    sizes = visit.groupBy("patient_id").agg(slices_for(F.count("*")).alias("slices"))
+    stays = (
+        bed_allocation.groupBy("patient_id")
+        .agg(
+            F.count("*").alias("stays"),
+            F.count("days_stayed").alias("known"),
+            F.sum(F.col("days_stayed").cast("bigint")).alias("days"),
+        )
+        .join(sizes, "patient_id")
     )
     copies = F.coalesce("stays", F.lit(1))
     per_doctor = (
-        contacts.join(stays, "patient_id", "left")
+        left_join_sliced(contacts, stays, sizes, ["patient_id"], spread="doctor_id")
         .groupBy("doctor_id")
         .agg(
             F.sum("visits").alias("visits"),

@@ -1,0 +1,128 @@
+from __future__ import annotations
+
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from clinimart.functions import bands, dates, text
+from clinimart.functions.numbers import change_percentage, exact_ratio, percentage, spend, to_number
+
+
+def expected(num: Decimal, den: Decimal) -> Decimal | None:
+    if den == 0:
+        return None
+    return (num / den).quantize(Decimal("0.01"), ROUND_HALF_UP)
+
+
+def test_exact_ratio_rounds_half_away_from_zero(spark):
+    cases = [
+        ("41", "40"), ("1", "8"), ("1025", "1000"), ("-1", "8"), ("2.675", "1"), ("0", "7"), ("5", "0"),
+        ("12345678901234567.1234", "3"), ("-99999999999999.9999", "7"), ("1", "3000000000000"),
+        ("999999999999.9999", "1"), ("1000000000000.0050", "1"), ("100", "3"), ("200", "3"),
+    ]
+    rows = [(Decimal(n), Decimal(d)) for n, d in cases]
+    df = spark.createDataFrame(rows, "n DECIMAL(28,4), d DECIMAL(20,2)")
+    got = [r.q for r in df.select(exact_ratio("n", "d").alias("q")).collect()]
+    assert got == [expected(n, d) for n, d in rows]
+
+
+def test_exact_ratio_of_every_small_fraction(spark):
+    df = spark.range(1, 401).withColumnRenamed("id", "d").join(
+        spark.range(0, 401).withColumnRenamed("id", "n"), F.col("n") <= F.col("d")
+    )
+    for row in df.select("n", "d", percentage("n", "d").alias("q")).collect():
+        assert row.q == expected(Decimal(100 * row.n), Decimal(row.d))
+
+
+def test_null_operands_give_null(spark):
+    df = spark.createDataFrame([(None, 1), (1, None)], "n BIGINT, d BIGINT")
+    assert [r.q for r in df.select(exact_ratio("n", "d").alias("q")).collect()] == [None, None]
+
+
+@pytest.mark.parametrize(
+    "part,whole,rate",
+    [(247, 10 * 31, "79.68"), (168, 8 * 28, "75.00"), (23, 126, "18.25"), (49, 63, "77.78")],
+)
+def test_published_percentages(spark, part, whole, rate):
+    row = spark.sql(f"SELECT {part} p, {whole} w").select(percentage("p", "w").alias("q")).first()
+    assert row.q == Decimal(rate)
+
+
+def test_published_monthly_change(spark):
+    df = spark.sql("SELECT CAST(13876.77 AS DECIMAL(18,2)) c, CAST(14755.47 AS DECIMAL(18,2)) p")
+    assert df.select(change_percentage("c", "p").alias("q")).first().q == Decimal("-5.96")
+
+
+def test_spend_counts_unknown_average_as_nothing(spark):
+    df = spark.createDataFrame([(None, 4), (Decimal("2.50"), 4)], "a DECIMAL(10,2), n BIGINT")
+    got = [r.q for r in df.select(spend(F.col("a"), F.col("n")).alias("q")).collect()]
+    assert got == [Decimal("0.00"), Decimal("10.00")]
+
+
+def test_band_bounds_are_inclusive(spark):
+    df = spark.createDataFrame(
+        [(4999, 100), (5000, 100), (7500, 100), (8999, 100), (9000, 100), (5, 0), (None, 10)],
+        "s BIGINT, w BIGINT",
+    )
+    got = [r.b for r in df.select(bands.utilization_band(F.col("s"), F.col("w")).alias("b")).collect()]
+    low, moderate, high, critical = (
+        "Low Utilization", "Moderate Utilization", "High Utilization", "Critical Over-Utilization",
+    )
+    assert got == [low, moderate, high, high, critical, low, low]
+
+
+def test_severity_and_experience(spark):
+    df = spark.createDataFrame([(14.99, 5), (15.0, 6), (24.99, 10), (25.0, 11), (None, 0)], "r DOUBLE, y INT")
+    rows = df.select(
+        bands.readmission_severity(F.col("r")).alias("s"), bands.experience_band(F.col("y")).alias("e")
+    ).collect()
+    assert [r.s for r in rows] == ["low", "moderate", "moderate", "high", "low"]
+    assert [r.e for r in rows] == ["0-5 yrs", "6-10 yrs", "6-10 yrs", "11+ yrs", "0-5 yrs"]
+
+
+def test_request_window_defaults():
+    assert dates.request_window() == dates.request_window("", None)
+    first, last = dates.request_window("2022-05-01", "")
+    assert (str(first), str(last)) == ("2022-05-01", "2023-12-31")
+
+
+def test_month_labels():
+    assert dates.month_labels("2022-11-15", "2023-02-01") == ["2022-11", "2022-12", "2023-01", "2023-02"]
+
+
+def test_date_key_matches_column(spark):
+    df = spark.sql("SELECT DATE '2022-01-09' d")
+    assert df.select(dates.date_id(F.col("d")).alias("k")).first().k == 20220109
+    assert dates.date_key(dates.as_date("2022-01-09")) == 20220109
+
+
+def test_to_number(spark):
+    df = spark.createDataFrame([("12.5",), (" 7 ",), ("",), (None,), ("abc",), ("Infinity",), ("NaN",)], "t STRING")
+    got = [r.n for r in df.select(to_number(F.col("t")).alias("n")).collect()]
+    assert got == [12.5, 7.0, 0.0, 0.0, None, None, None]
+
+
+def test_display_formats(spark):
+    df = spark.createDataFrame([("1234567.5",), ("x",), (None,)], "t STRING")
+    row = df.select(
+        text.show_money(F.col("t")).alias("m"), text.show_percent(F.col("t")).alias("p"),
+        text.show_text(F.col("t")).alias("s"),
+    ).collect()
+    assert [r.m for r in row] == ["1,234,567.50", "n/a", "0.00"]
+    assert [r.p for r in row] == ["1234567.50%", "n/a", "0.00%"]
+    assert [r.s for r in row] == ["1234567.5", "x", "n/a"]
+
+
+def test_slug(spark):
+    df = spark.createDataFrame([("Critical Over-Utilization",), (" --A  b! ",), (None,)], "t STRING")
+    assert [r.s for r in df.select(text.slug(F.col("t")).alias("s")).collect()] == [
+        "critical-over-utilization", "a-b", "",
+    ]
+
+
+def test_natural_order(spark):
+    words = ["Ward 10", "ward 2", "Ward 1", "bay 007", "Bay 7b", "bay 12345678901234567890123", "bay"]
+    df = spark.createDataFrame([(w,) for w in words], "w STRING")
+    got = [r.w for r in df.orderBy(text.natural_key(F.col("w")), "w").collect()]
+    assert got == ["bay", "bay 007", "Bay 7b", "bay 12345678901234567890123", "Ward 1", "ward 2", "Ward 10"]
