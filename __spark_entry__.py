@@ -104,28 +104,6 @@ def _dim_outcome(s: Site) -> DataFrame:
     )
 
 
-def _labelled_sample(s: Site) -> DataFrame:
-    wh = s.wh
-    wards = wh.dimension("dim_ward").select("ward_sk", "ward_id", "ward_name")
-    return (
-        wh.fact_between()
-        .join(wh.dimension("dim_disease"), "disease_sk")
-        .join(wh.dimension("dim_doctor"), "doctor_sk")
-        .join(wards, "ward_sk", "left")
-        .orderBy("full_date", "disease_code", "doctor_id", F.col("ward_id").asc_nulls_first())
-        .limit(5)
-        .select(
-            "full_date",
-            "disease_name",
-            "specialization",
-            "ward_name",
-            "total_cases",
-            "recovered_cases",
-            "avg_treatment_cost",
-        )
-    )
-
-
 def _dedup_append(s: Site) -> DataFrame:
     stored_visits = s.table("visit", "visit_id", "visit_date").filter("visit_date < '1998-01-01'")
     stored = s.table("diagnosis").join(stored_visits, "visit_id", "left_semi")
@@ -180,7 +158,8 @@ def _doctor_fallback(s: Site, date_from: str, date_to: str) -> DataFrame:
 
 
 def _table_sort(s: Site) -> DataFrame:
-    rows = summaries.disease_totals(s.report("disease_resources")).select("disease_name", "total_cases")
+    rows = summaries.disease_totals(s.report("disease_resources"))
+    rows = rows.select("disease_name", "total_cases")
     return tables.sort_table(rows, "disease_name")
 
 
@@ -209,19 +188,20 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "fact_treatment": lambda s: s.wh.fact.drop("fact_id", "year_num"),
     "fact_date_semi": lambda s: s.wh.load_rows.join(
         s.wh.dimension("dim_date").select("date_id"), "date_id", "left_semi"
-    )
-    .select("visit_date", "disease_code", "doctor_id", "ward_id", "total_cases"),
+    ).select("visit_date", "disease_code", "doctor_id", "ward_id", "total_cases"),
     "fact_skipped_rows": lambda s: s.wh.skipped.select(
         "visit_date", "disease_code", "doctor_id", "ward_id", "total_cases", "skip_reason"
     ),
-    "fact_labelled_sample": _labelled_sample,
+    "fact_labelled_sample": lambda s: reports.labelled_sample(s.wh, 5),
     "etl_counters": lambda s: quality.load_counters(s.wh.load_rows),
     # reports
     "disease_trend": lambda s: reports.disease_trend(s.wh),
     "disease_trend_windowed": lambda s: reports.disease_resources(s.wh, *WINDOW),
     "doctor_ranking": lambda s: reports.doctor_ranking(s.wh),
     "doctor_ranking_windowed": lambda s: reports.doctor_ranking(s.wh, *WINDOW),
-    "doctor_ranking_filtered": lambda s: summaries.filter_ranking(s.report("doctor_ranking"), "NATION_7", 100),
+    "doctor_ranking_filtered": lambda s: summaries.filter_ranking(
+        s.report("doctor_ranking"), "NATION_7", 100
+    ),
     "ward_day_occupancy": lambda s: reports.ward_day_occupancy(s.wh),
     "ward_utilization": lambda s: reports.ward_utilization(s.wh),
     "cost_trend": lambda s: reports.cost_trend(s.wh),
@@ -262,7 +242,9 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "cases_by_month_of_disease": lambda s: summaries.cases_by_month(
         s.report("disease_resources"), "Condition Brand#12"
     ),
-    "top_diseases_by_spend": lambda s: summaries.top_diseases_by_spend(s.report("disease_resources")),
+    "top_diseases_by_spend": lambda s: summaries.top_diseases_by_spend(
+        s.report("disease_resources")
+    ),
     "top_doctors": lambda s: summaries.top_doctors(s.report("doctor_ranking")),
     "doctor_extremes": lambda s: summaries.doctor_extremes(s.report("doctor_ranking")),
     "ward_monthly_filtered": lambda s: summaries.ward_months(
@@ -271,10 +253,13 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "ward_summary": lambda s: summaries.ward_summary(s.report("ward_utilization")),
     "ward_heatmap": lambda s: summaries.ward_heatmap(s.report("ward_utilization")),
     "ward_heatmap_matrix": lambda s: summaries.ward_heatmap_matrix(
-        summaries.ward_heatmap(s.report("ward_utilization")), month_labels(CALENDAR_FROM, CALENDAR_TO)
+        summaries.ward_heatmap(s.report("ward_utilization")),
+        month_labels(CALENDAR_FROM, CALENDAR_TO),
     ),
     "ward_kpis": lambda s: summaries.ward_kpis(s.report("ward_utilization")),
-    "readmitted_by_month": lambda s: summaries.readmitted_by_month(s.report("readmission_monthly")),
+    "readmitted_by_month": lambda s: summaries.readmitted_by_month(
+        s.report("readmission_monthly")
+    ),
     "readmitted_by_month_of_disease": lambda s: summaries.readmitted_by_month(
         s.report("readmission_monthly"), "Condition Brand#12"
     ),
@@ -285,10 +270,17 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
         summaries.readmission_months(s.report("readmission_monthly")), "high", 20
     ),
     "readmission_kpis": lambda s: summaries.readmission_kpis(s.report("readmission_by_disease")),
-    "top_diseases_by_cases": lambda s: summaries.top_diseases_by_cases(s.report("readmission_by_disease")),
-    "readmission_share": lambda s: summaries.readmission_share(s.report("readmission_by_disease")),
+    "top_diseases_by_cases": lambda s: summaries.top_diseases_by_cases(
+        s.report("readmission_by_disease")
+    ),
+    "readmission_share": lambda s: summaries.readmission_share(
+        s.report("readmission_by_disease")
+    ),
     "filter_options": lambda s: summaries.filter_options(
-        s.report("doctor_ranking"), s.report("ward_utilization"), s.report("disease_resources"), s.report("readmission_monthly")
+        s.report("doctor_ranking"),
+        s.report("ward_utilization"),
+        s.report("disease_resources"),
+        s.report("readmission_monthly"),
     ),
     # tables
     "table_search": lambda s: tables.search(

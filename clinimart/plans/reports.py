@@ -216,7 +216,9 @@ def overview(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     )
 
 
-def overview_request(wh: Warehouse, date_from: str | None = None, date_to: str | None = None):
+def overview_request(
+    wh: Warehouse, date_from: str | None = None, date_to: str | None = None
+) -> DataFrame:
     """Overview as a dashboard asks for it: a missing bound takes its default."""
     return overview(wh, *request_window(date_from, date_to))
 
@@ -241,6 +243,29 @@ def monthly_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     )
 
 
+def labelled_sample(wh: Warehouse, rows: int) -> DataFrame:
+    """The first fact rows with their labels. The order on natural keys makes
+    the sample repeatable, and rows are cut before any label is joined."""
+    order = ["visit_date", "disease_code", "doctor_id", F.col("ward_id").asc_nulls_first()]
+    first = wh.load_rows.filter(F.col("load_status") == "loaded").orderBy(*order).limit(rows)
+    return (
+        first.join(wh.dimension("dim_date").select("date_id", "full_date"), "date_id")
+        .join(wh.dimension("dim_disease").select("disease_sk", "disease_name"), "disease_sk")
+        .join(wh.dimension("dim_doctor").select("doctor_sk", "specialization"), "doctor_sk")
+        .join(wh.dimension("dim_ward").select("ward_sk", "ward_name"), "ward_sk", "left")
+        .orderBy(*order)
+        .select(
+            "full_date",
+            "disease_name",
+            "specialization",
+            "ward_name",
+            "total_cases",
+            "recovered_cases",
+            "avg_treatment_cost",
+        )
+    )
+
+
 DOCTOR_MONTH = [
     "doctor_id",
     "specialization",

@@ -425,3 +425,17 @@ def test_fact_total_equals_kept_rows(spark, mixed, folder):
     sums = wh.fact.agg(F.sum("total_cases").alias("n"), F.sum("recovered_cases").alias("a"),
                        F.sum("readmitted_cases").alias("b")).first()
     assert sums.n == 2 and sums.a + sums.b <= sums.n
+
+
+def test_jobs(spark, mixed, folder):
+    from clinimart.__main__ import main
+    from clinimart.sources.storage import write_operational
+
+    for name in ("disease", "doctor", "ward", "visit", "diagnosis", "outcome", "bed_allocation",
+                 "treatment", "medicine"):
+        write_operational(mixed.table(name), f"{folder}/ops", name)
+    main(["refresh", f"{folder}/ops", f"{folder}/wh", *CALENDAR])
+    main(["report", f"{folder}/wh", "overview", f"{folder}/out", "--from", "2022-05-01"])
+    assert spark.read.parquet(f"{folder}/out").first().total_cases == 1
+    with pytest.raises(SystemExit):
+        main(["report", f"{folder}/none", "overview", f"{folder}/out2"])
