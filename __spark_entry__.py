@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ from clinimart.sources.sample import (  # noqa: E402
     SampleTables,
     with_days_stayed,
 )
-from clinimart.sources.storage import new_folder  # noqa: E402
+from clinimart.sources.storage import new_folder, written_once  # noqa: E402
 from clinimart.streaming import alerts  # noqa: E402
 
 WINDOW = (oracle.WIN_FROM, oracle.WIN_TO)
@@ -45,7 +46,6 @@ class Site:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sample = SampleTables(spark, sf_dir)
-        self._warehouse: Warehouse | None = None
         self._stored: set[str] = set()
 
     @classmethod
@@ -58,17 +58,10 @@ class Site:
     def table(self, name: str, *columns: str) -> DataFrame:
         return self.sample.table(name, *columns)
 
-    @property
+    @cached_property
     def wh(self) -> Warehouse:
-        if self._warehouse is None:
-            self._warehouse = refresh(
-                self.spark,
-                new_folder(self.spark, "warehouse"),
-                self.table,
-                CALENDAR_FROM,
-                CALENDAR_TO,
-            )
-        return self._warehouse
+        folder = new_folder(self.spark, "warehouse")
+        return refresh(self.spark, folder, self.table, CALENDAR_FROM, CALENDAR_TO)
 
     def any_table(self, name: str) -> DataFrame:
         if name == "fact_treatment":
@@ -82,11 +75,16 @@ class Site:
             self._stored.add(name)
         return self.wh.report(name)
 
-    def decisions(self) -> DataFrame:
+    def decide(self) -> DataFrame:
         return admission.admission_decisions(
             self.table("admission_request"), self.table("ward"), self.table("bed_allocation")
         )
 
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """The batch's decisions, written once for all that follows from them."""
+        return written_once(self.decide(), "decisions")
+
 
 def _dim_date(s: Site) -> DataFrame:
     visits = s.table("visit", "visit_date").groupBy("visit_date").agg(F.count("*").alias("visits"))
@@ -308,12 +306,12 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "ward_current_occupancy": lambda s: admission.ward_occupancy(
         s.table("ward"), s.table("bed_allocation")
     ),
-    "admission_control": lambda s: s.decisions(),
-    "admission_visits": lambda s: admission.admitted_visits(s.decisions(), s.table("visit")),
+    "admission_control": lambda s: s.decide(),
+    "admission_visits": lambda s: admission.admitted_visits(s.decisions, s.table("visit")),
     "admission_allocations": lambda s: admission.admitted_allocations(
-        s.decisions(), s.table("bed_allocation")
+        s.decisions, s.table("bed_allocation")
     ),
-    "admission_rejections": lambda s: admission.rejected_requests(s.decisions()),
+    "admission_rejections": lambda s: admission.rejected_requests(s.decisions),
     "long_stay_alerts": lambda s: alerts.alerts_at_rest(s.table("bed_allocation")),
     "long_stay_alerts_stream": _alert_stream,
 }

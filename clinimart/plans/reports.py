@@ -15,6 +15,7 @@ from ..functions.dates import month_label, request_window
 from ..functions.numbers import MONEY, change_percentage, exact_ratio, or_zero, percentage, spend
 from ..operators.ordering import rank_rows
 from ..operators.skew import left_join_sliced, slices_for
+from ..sources.storage import written_once
 from .warehouse import Warehouse
 
 MONTH = ["year_num", "month_num"]
@@ -95,12 +96,15 @@ def disease_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
 
 def doctor_ranking(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     """Doctors with enough cases, ranked by recovery, then low readmission,
-    then volume. Rates are rounded before they are ranked."""
+    then volume. Rates are rounded before they are ranked. Ranking reads the
+    scores several times, so they are written once (a row per doctor)."""
     fact = _with_spend(wh.fact_between(date_from, date_to))
-    scored = _rates(
-        _by_doctor(wh, fact, [], [*CASES, "spend"]).filter(F.col("total_cases") >= MIN_DOCTOR_CASES)
-    ).withColumn(
-        "weighted_avg_treatment_cost", exact_ratio("spend", "total_cases")
+    totals = _by_doctor(wh, fact, [], [*CASES, "spend"])
+    scored = written_once(
+        _rates(totals.filter(F.col("total_cases") >= MIN_DOCTOR_CASES))
+        .withColumn("weighted_avg_treatment_cost", exact_ratio("spend", "total_cases"))
+        .drop("spend"),
+        "doctor-scores",
     )
     order = [("recovery_rate_pct", "desc"), ("readmission_rate_pct", "asc"), ("total_cases", "desc")]
     return (

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,8 +147,8 @@ def latest(spark: SparkSession, root: str) -> Warehouse | None:
     """The last published load, or None before the first."""
     try:
         loads = spark.read.schema(LOADS_SCHEMA).parquet(f"{root}/loads")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     newest = loads.agg(F.max_by("load_id", "finished_at")).first()[0]

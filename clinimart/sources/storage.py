@@ -26,6 +26,15 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/clinimart/{purpose}-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` computed now and read back from the shared folder. For a small
+    aggregate that a plan reads several times: what it was made from is scanned
+    once, and a lost executor loses nothing."""
+    folder = new_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read_operational(
     spark: SparkSession, root: str, table: str, columns: list[str] | None = None
 ) -> DataFrame:
