@@ -34,6 +34,15 @@ from clinimart.sources.sample import (  # noqa: E402
 from clinimart.sources.storage import new_folder, written_once  # noqa: E402
 from clinimart.streaming import alerts  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from clinimart.llm import oracles as llm_oracles
+    from clinimart.llm import queries as llm_queries
+except ModuleNotFoundError as missing:  # the text operators can be left out
+    if missing.name not in ("clinimart.llm", "corpus_pipeline"):
+        raise
+    llm_queries = llm_oracles = corpus_pipeline = None
+
 WINDOW = (oracle.WIN_FROM, oracle.WIN_TO)
 EXTRACT = ("visit", "diagnosis", "outcome", "bed_allocation", "treatment", "medicine")
 
@@ -327,8 +336,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(build) for name, build in QUERIES.items()}
+    found = {name: _bind(build) for name, build in QUERIES.items()}
+    if llm_queries:
+        found |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.all_statements()
+    found = oracle.all_statements()
+    if llm_oracles:
+        found |= llm_oracles.STATEMENTS
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

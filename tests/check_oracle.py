@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as app  # noqa: E402
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES += ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
