@@ -41,14 +41,17 @@ SCORED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def sampled(docs: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
-    """``lang`` and ``text`` of the documents to learn from. Partial limits are taken
-    before the shuffle, so a frequent language sends few rows."""
+    """``lang`` and ``text`` of the documents to learn from. A frequent language is
+    first thinned by digest to about four times the sample, so that no task sorts
+    more than that."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.filter(F.octet_length("text") <= sample_bytes)
-    digest = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3))
-    first = Window.partitionBy("lang").orderBy("digest", "doc_id", "text")
-    marked = usable.select("lang", "doc_id", "text", digest.alias("digest"))
-    return marked.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample).select("lang", "text")
+    digest = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
+    counts = usable.groupBy("lang").agg((F.lit(4.0 * sample) / F.count("*")).alias("share"))
+    thin = usable.select("lang", "text", digest.alias("digest")).join(counts, "lang")
+    thin = thin.filter((F.col("digest") / F.lit(2.0**64) + 0.5) < F.col("share"))
+    first = Window.partitionBy("lang").orderBy("digest", "text")
+    return thin.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample).select("lang", "text")
 
 
 def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
