@@ -138,7 +138,7 @@ def cut(placed: DataFrame, total: int, most: int, per_range: int) -> dict | None
     return row.asDict() | {"left": total - first["_before"] - row["_through"] + row["size"]}
 
 
-def mix(docs: DataFrame, seed: str = "mix", most: int = 3, per_range: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", most: int = 3, per_range: int = 2_000) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and the source, one row per document."""
     placed = written_once(finish_times(docs, seed, most, per_range), "mix-queue")
     any_row = placed.select("total").first()
