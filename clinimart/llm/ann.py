@@ -17,8 +17,10 @@ Equal vectors are one node: the node keeps its ``count`` + 1 smallest ids, which
 all that can be among the nearest ``count``, so a vector that a third of all rows
 share is one node and ties go to the smaller id. Every row is indexed.
 
-Shards and blocks of queries meet in one task per pair; both have bounded size, and
-neither side is gathered. Vectors that are null, zero or hold null or non-finite
+Groups of ``together`` shards and blocks of queries meet in one task per pair, which
+gives the best ``count`` of each query; both have bounded size, and neither side is
+gathered. As the queries are a share of all rows, pairs grow with the square of the
+table's size over the sizes of group and block. Vectors that are null, zero or hold null or non-finite
 components take no part, neither as query nor as candidate. Only vectors of one
 length are compared; a query is not its own candidate, another row with the same
 id and vector is one row. An empty table gives an empty result; other columns are
@@ -192,28 +194,44 @@ def index_shard(group: pa.Table, degree: int, beam: int, alpha: float) -> pa.Tab
 GRAPH = "shard int, node int, vec array<double>, ids array<long>, edges array<int>, start int"
 
 
-def search_shard(queries: pa.Table, shard: pa.Table, count: int, beam: int) -> pa.Table:
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    if not queries.num_rows or not shard.num_rows:
-        return empty
-    order = np.argsort(shard.column("node").to_numpy())
-    shard = shard.take(pa.array(order))
+EMPTY = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def search_shards(queries: pa.Table, shards: pa.Table, count: int, beam: int) -> pa.Table:
+    """The ``count`` best of each query over a few shards, searched one by one."""
+    found: list[pd.DataFrame] = []
+    if queries.num_rows and shards.num_rows:
+        numbers = shards.column("shard").to_numpy()
+        for number in np.unique(numbers):
+            shard = shards.filter(pa.array(numbers == number))
+            found = [best_of([*found, *search_shard(queries, shard, count, beam)], count)]
+    if not found or not len(found[0]):
+        return EMPTY.empty_table()
+    return pa.Table.from_pandas(found[0], preserve_index=False).cast(EMPTY)
+
+
+def best_of(frames: list[pd.DataFrame], count: int) -> pd.DataFrame:
+    frame = pd.concat(frames)
+    frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    return frame.groupby("query_id").head(count)
+
+
+def search_shard(queries: pa.Table, shard: pa.Table, count: int, beam: int) -> list[pd.DataFrame]:
+    shard = shard.take(pa.array(np.argsort(shard.column("node").to_numpy())))
     vectors = np.array(shard.column("vec").to_pylist(), np.float64)
     lists = shard.column("edges").to_pylist()
-    degree = max(1, max(map(len, lists)))
-    edges = np.full((len(lists), degree), -1)
+    edges = np.full((len(lists), max(1, max(map(len, lists)))), -1)
     for k, row in enumerate(lists):
         edges[k, : len(row)] = row
     members = shard.column("ids").to_pylist()
-    points = lifted(vectors)
+    points, start = lifted(vectors), int(shard.column("start")[0].as_py())
     wanted = np.array(queries.column("vec").to_pylist(), np.float64)
     names = queries.column("query_id").to_numpy()
     out: list[pd.DataFrame] = []
     for at in range(0, len(wanted), 512):
         part = wanted[at : at + 512]
         aim = np.column_stack([part, np.zeros(len(part))])
-        # a start from all of a small shard, from one point of a large one
-        found, _ = search(points, edges, int(shard.column("start")[0].as_py()), aim, max(beam, count + 1))
+        found, _ = search(points, edges, start, aim, max(beam, count + 1))
         rows, columns = np.nonzero(found >= 0)
         at_node = found[rows, columns]
         scores = (vectors[at_node] * part[rows]).sum(1)
@@ -221,14 +239,12 @@ def search_shard(queries: pa.Table, shard: pa.Table, count: int, beam: int) -> p
         frame = pd.DataFrame(
             {
                 "query_id": np.repeat(names[at + rows], sizes),
-                "vec_id": np.concatenate([members[n] for n in at_node]) if len(at_node) else [],
+                "vec_id": np.concatenate([members[n] for n in at_node]),
                 "score": np.repeat(scores, sizes),
             }
         )
-        frame = frame[frame["query_id"] != frame["vec_id"]]
-        frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        out.append(frame.groupby("query_id").head(count))
-    return pa.Table.from_pandas(pd.concat(out), preserve_index=False).cast(empty.schema)
+        out.append(best_of([frame[frame["query_id"] != frame["vec_id"]]], count))
+    return out
 
 
 def nearest(
@@ -237,6 +253,7 @@ def nearest(
     count: int = 20,
     shard_size: int = 2048,
     query_block: int = 4096,
+    together: int = 8,
     degree: int = 32,
     beam: int = 64,
     alpha: float = 1.2,
@@ -250,28 +267,35 @@ def nearest(
     points = spark.read.parquet(folder)
     per_width = points.groupBy(F.size("vec").alias("width")).count().collect()  # a row per vector length
     shards = {r["width"]: -(-r["count"] // shard_size) for r in per_width}
-    widths = F.create_map(*[F.lit(x) for w, n in (shards or {0: 1}).items() for x in (w, n)])
-    places = {w: sum(n for v, n in shards.items() if v < w) for w in shards}
-    firsts = F.create_map(*[F.lit(x) for w, n in (places or {0: 0}).items() for x in (w, n)])
-    width = F.size("vec")
-    shard = (F.element_at(firsts, width) + F.pmod(F.xxhash64("vec"), F.element_at(widths, width))).cast("int")
-    graph = points.withColumn("shard", shard).groupBy("shard")
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def by_width(numbers: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.size("vec"))
+
+    def firsts(numbers: dict[int, int]) -> dict[int, int]:
+        return {w: sum(n for v, n in numbers.items() if v < w) for w in numbers}
+
+    groups = {w: -(-n // together) for w, n in shards.items()}
+    place = F.pmod(F.xxhash64("vec"), by_width(shards)).cast("int")
+    graph = points.withColumn("shard", by_width(firsts(shards)) + place).groupBy("shard")
     index = new_folder(spark, "ann-index")
     graph.applyInArrow(lambda group: index_shard(group, degree, beam, alpha), GRAPH).write.parquet(index)
-    built = spark.read.schema(GRAPH).parquet(index)
+    in_group = F.floor((F.col("shard") - by_width(firsts(shards))) / F.lit(together)).cast("int")
+    built = spark.read.schema(GRAPH).parquet(index).withColumn("part", by_width(firsts(groups)) + in_group)
 
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec")
     blocks = max(1, -(-queries.count() // query_block))
-    from_shard = F.element_at(firsts, width)
+    first = by_width(firsts(groups))
     asked = queries.select(
         "query_id",
         "vec",
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(from_shard, from_shard + F.element_at(widths, width) - 1)).alias("shard"),
+        F.explode(F.sequence(first, first + by_width(groups) - 1)).alias("part"),
     )
     held = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block"))
-    found = pairs.applyInArrow(lambda q, s: search_shard(q, s, count, beam), FOUND)
+    pairs = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block"))
+    found = pairs.applyInArrow(lambda q, s: search_shards(q, s, count, beam), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= count)
     return ranked.select("query_id", "rank", "vec_id", "score")
