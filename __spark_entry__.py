@@ -24,10 +24,8 @@ from clinimart.operators import admission, quality, tables  # noqa: E402
 from clinimart.operators.stays import visit_stays  # noqa: E402
 from clinimart.plans import fact, reports, summaries  # noqa: E402
 from clinimart.plans.warehouse import Warehouse, refresh  # noqa: E402
-from clinimart.schemas import WAREHOUSE  # noqa: E402
+from clinimart.schemas import WAREHOUSE, WAREHOUSE_KEYS  # noqa: E402
 from clinimart.sources.sample import (  # noqa: E402
-    CALENDAR_FROM,
-    CALENDAR_TO,
     SampleTables,
     with_days_stayed,
 )
@@ -67,10 +65,19 @@ class Site:
     def table(self, name: str, *columns: str) -> DataFrame:
         return self.sample.table(name, *columns)
 
+    def _load(self, date_from, date_to) -> Warehouse:
+        return refresh(self.spark, new_folder(self.spark, "warehouse"), self.table, date_from, date_to)
+
     @cached_property
     def wh(self) -> Warehouse:
-        folder = new_folder(self.spark, "warehouse")
-        return refresh(self.spark, folder, self.table, CALENDAR_FROM, CALENDAR_TO)
+        """A load whose calendar covers all visits."""
+        day = F.col("visit_date")
+        return self._load(*self.table("visit", "visit_date").agg(F.min(day), F.max(day)).first())
+
+    @cached_property
+    def short_wh(self) -> Warehouse:
+        """A load with a calendar of its own, to show what is skipped."""
+        return self._load(oracle.SHORT_FROM, oracle.SHORT_TO)
 
     def any_table(self, name: str) -> DataFrame:
         if name == "fact_treatment":
@@ -122,7 +129,10 @@ def _duplicate_keys(s: Site) -> DataFrame:
     lines = quality.duplicates_of(
         s.table("treatment"), "treatment", ["visit_id", "medicine_id", "duration_days"]
     )
-    return quality.duplicate_keys(s.table).unionByName(lines)
+    found = quality.duplicate_keys(s.table).unionByName(lines)
+    for name, key in WAREHOUSE_KEYS.items():
+        found = found.unionByName(quality.duplicates_of(s.any_table(name), name, key))
+    return found
 
 
 def _alert_stream(s: Site) -> DataFrame:
@@ -158,9 +168,9 @@ def _display_money(s: Site) -> DataFrame:
     )
 
 
-def _doctor_fallback(s: Site, date_from: str, date_to: str) -> DataFrame:
+def _doctor_fallback(s: Site, wh: Warehouse, date_from: str, date_to: str) -> DataFrame:
     return reports.doctor_monthly_with_fallback(
-        s.wh, s.table("visit"), s.table("outcome"), s.table("doctor"), date_from, date_to
+        wh, s.table("visit"), s.table("outcome"), s.table("doctor"), date_from, date_to
     )
 
 
@@ -193,14 +203,14 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     ),
     "raw_extract": lambda s: fact.raw_extract(*[s.table(name) for name in EXTRACT]),
     "fact_treatment": lambda s: s.wh.fact.drop("fact_id", "year_num"),
-    "fact_date_semi": lambda s: s.wh.load_rows.join(
-        s.wh.dimension("dim_date").select("date_id"), "date_id", "left_semi"
+    "fact_date_semi": lambda s: s.short_wh.load_rows.join(
+        s.short_wh.dimension("dim_date").select("date_id"), "date_id", "left_semi"
     ).select("visit_date", "disease_code", "doctor_id", "ward_id", "total_cases"),
-    "fact_skipped_rows": lambda s: s.wh.skipped.select(
+    "fact_skipped_rows": lambda s: s.short_wh.skipped.select(
         "visit_date", "disease_code", "doctor_id", "ward_id", "total_cases", "skip_reason"
     ),
     "fact_labelled_sample": lambda s: reports.labelled_sample(s.wh, 5),
-    "etl_counters": lambda s: quality.load_counters(s.wh.load_rows),
+    "etl_counters": lambda s: quality.load_counters(s.short_wh.load_rows),
     # reports
     "disease_trend": lambda s: reports.disease_trend(s.wh),
     "disease_trend_windowed": lambda s: reports.disease_resources(s.wh, *WINDOW),
@@ -217,14 +227,18 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "warehouse_meta": lambda s: reports.meta(s.wh),
     "overview": lambda s: reports.overview(s.wh),
     "overview_window": lambda s: reports.overview(s.wh, *WINDOW),
+    "overview_from": lambda s: reports.overview(s.wh, date_from=oracle.WIN_FROM),
+    "overview_until": lambda s: reports.overview(s.wh, date_to=oracle.WIN_TO),
     "overview_default_window": lambda s: reports.overview_request(s.wh),
     "monthly_trend": lambda s: reports.monthly_trend(s.wh),
     "doctor_monthly": lambda s: reports.doctor_monthly(s.wh),
     "doctor_monthly_ops": lambda s: reports.doctor_monthly_from_visits(
-        s.table("visit"), s.table("outcome"), s.table("doctor"), CALENDAR_FROM, "2001-12-31"
+        s.table("visit"), s.table("outcome"), s.table("doctor"), oracle.FROM, oracle.TO
+    ),
+    "doctor_monthly_with_fallback": lambda s: _doctor_fallback(s, s.wh, *WINDOW),
+    "doctor_monthly_fallback_used": lambda s: _doctor_fallback(
+        s, s.short_wh, oracle.FALLBACK_FROM, oracle.FALLBACK_TO
     ),
-    "doctor_monthly_with_fallback": lambda s: _doctor_fallback(s, *WINDOW),
-    "doctor_monthly_fallback_used": lambda s: _doctor_fallback(s, "2001-08-01", "2001-08-31"),
     "doctor_performance_view": lambda s: reports.doctor_performance_view(
         s.table("doctor"), s.table("visit"), s.table("bed_allocation"), s.table("outcome")
     ),
@@ -249,6 +263,9 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "cases_by_month_of_disease": lambda s: summaries.cases_by_month(
         s.report("disease_resources"), "Condition Brand#12"
     ),
+    "cases_by_month_unknown_disease": lambda s: summaries.cases_by_month(
+        s.report("disease_resources"), "No Such Condition"
+    ),
     "top_diseases_by_spend": lambda s: summaries.top_diseases_by_spend(
         s.report("disease_resources")
     ),
@@ -261,7 +278,7 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "ward_heatmap": lambda s: summaries.ward_heatmap(s.report("ward_utilization")),
     "ward_heatmap_matrix": lambda s: summaries.ward_heatmap_matrix(
         summaries.ward_heatmap(s.report("ward_utilization")),
-        month_labels(CALENDAR_FROM, CALENDAR_TO),
+        month_labels(oracle.FROM, oracle.TO),
     ),
     "ward_kpis": lambda s: summaries.ward_kpis(s.report("ward_utilization")),
     "readmitted_by_month": lambda s: summaries.readmitted_by_month(
@@ -270,6 +287,9 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "readmitted_by_month_of_disease": lambda s: summaries.readmitted_by_month(
         s.report("readmission_monthly"), "Condition Brand#12"
     ),
+    "readmitted_by_month_unknown_disease": lambda s: summaries.readmitted_by_month(
+        s.report("readmission_monthly"), "No Such Condition"
+    ),
     "readmission_severity": lambda s: summaries.with_severity(
         summaries.readmission_months(s.report("readmission_monthly"))
     ),

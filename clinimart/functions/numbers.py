@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 RATE = "decimal(18,2)"
 MONEY = "decimal(28,2)"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 # Values up to 10^12 have products that fit a BIGINT at four decimals.
@@ -58,8 +59,9 @@ def spend(average: Column, cases: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """A table cell as a number for sorting and display: a missing or blank
-    cell reads as zero, text that is not a finite number reads as NULL."""
+    cell reads as zero, text that is not a finite decimal number (such as "12D",
+    "0x10" or "Infinity") reads as NULL."""
     text = F.trim(value.cast("string"))
-    number = text.try_cast("double")
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).when(finite, number)

@@ -12,7 +12,9 @@ NOT_AVAILABLE = "n/a"
 
 
 def show_count(value: Column) -> Column:
-    return F.coalesce(F.format_number(to_number(value), 0), F.lit(NOT_AVAILABLE))
+    """Grouped digits and up to three decimals."""
+    shown = F.call_function("format_number", to_number(value), F.lit("#,##0.###"))
+    return F.coalesce(shown, F.lit(NOT_AVAILABLE))
 
 
 def show_money(value: Column) -> Column:
@@ -45,7 +47,7 @@ def natural_key(value: Column) -> Column:
 
     def encode(piece: Column) -> Column:
         digits = F.regexp_replace(piece, "^0+", "")
-        length = F.lpad(F.length(digits).cast("string"), 5, "0")
+        length = F.lpad(F.length(digits).cast("string"), 5, "0")  # runs up to 99,999 digits
         return F.when(piece.rlike("^[0-9]"), F.concat(length, digits)).otherwise(piece)
 
     return F.array_join(F.transform(pieces, encode), "")

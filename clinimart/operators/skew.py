@@ -27,12 +27,12 @@ def left_join_sliced(
     """``left`` left-joined with ``right`` on the key columns ``on``.
 
     ``sizes`` has one row per key of ``left`` with its number of ``slices``, and
-    ``right`` carries the same column. Only keys of two slices or more are
-    broadcast; there are at most (left rows / HOT_ROWS) of them, so the list
-    stays small at any size. ``spread`` is a left column with many values.
+    ``right`` carries the same column. The list of keys with two slices or more is
+    joined without a hint, so it is broadcast only when Spark finds it small.
+    ``spread`` is a left column with many values.
     """
     keys = list(on)
-    hot = F.broadcast(sizes.filter(F.col("slices") > 1).select(*keys, "slices"))
+    hot = sizes.filter(F.col("slices") > 1).select(*keys, "slices")
     slice_of_row = F.pmod(F.xxhash64(spread), F.coalesce("slices", F.lit(1)))
     sliced = left.join(hot, keys, "left").withColumn("_slice", slice_of_row.cast("int"))
     repeated = right.withColumn(

@@ -40,6 +40,7 @@ def with_surrogate(
     bucket: Column,
     surrogate: str,
     previous: DataFrame | None = None,
+    kind: str = "int",
 ) -> DataFrame:
     """Sequential keys in natural-key order.
 
@@ -51,7 +52,7 @@ def with_surrogate(
     order = [surrogate, natural_key, *attributes]
     if previous is None:
         numbered = number_rows(members, [natural_key], {"_bucket": bucket}, surrogate)
-        return numbered.withColumn(surrogate, F.col(surrogate).cast("int")).select(*order)
+        return numbered.withColumn(surrogate, F.col(surrogate).cast(kind)).select(*order)
     known = previous.select(*order).alias("p").join(
         members.withColumn("_present", F.lit(True)).alias("m"), natural_key, "left"
     )
@@ -66,16 +67,15 @@ def with_surrogate(
     fresh = members.join(previous.select(natural_key), natural_key, "left_anti")
     last = previous.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("last")).scalar()
     added = number_rows(fresh, [natural_key], {"_bucket": bucket}, surrogate).withColumn(
-        surrogate, (F.col(surrogate) + last).cast("int")
+        surrogate, (F.col(surrogate) + last).cast(kind)
     )
     return kept.unionByName(added.select(*order))
 
 
 def dim_disease(disease: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     members = disease.select("disease_code", "disease_name", "category", "severity_tier")
-    return with_surrogate(
-        members, "disease_code", F.substring("disease_code", 1, 3), "disease_sk", previous
-    )
+    # A code list is small whatever the size of the fact, so one bucket orders it.
+    return with_surrogate(members, "disease_code", F.lit(0), "disease_sk", previous)
 
 
 def dim_doctor(doctor: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -85,7 +85,7 @@ def dim_doctor(doctor: DataFrame, previous: DataFrame | None = None) -> DataFram
         experience_band(F.col("experience_years")).alias("experience_band"),
         "department",
     )
-    return with_surrogate(members, "doctor_id", id_bucket("doctor_id"), "doctor_sk", previous)
+    return with_surrogate(members, "doctor_id", id_bucket("doctor_id"), "doctor_sk", previous, "bigint")
 
 
 def dim_ward(ward: DataFrame, previous: DataFrame | None = None) -> DataFrame:

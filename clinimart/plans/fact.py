@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_id
@@ -121,6 +121,14 @@ def treatment_groups(
     )
 
 
+def grain_key() -> Column:
+    """Identifier of a fact row: a hash of its grain, the same in every load. A row
+    without ward has a marker in its place; duplicates are looked for by the quality
+    checks."""
+    grain = ["visit_date", "disease_code", "doctor_id", F.coalesce("ward_id", F.lit(-1))]
+    return F.xxhash64(*grain)
+
+
 def with_surrogates(
     groups: DataFrame,
     dates: DataFrame,

@@ -15,7 +15,6 @@ from ..functions.dates import month_label, request_window
 from ..functions.numbers import MONEY, change_percentage, exact_ratio, or_zero, percentage, spend
 from ..operators.ordering import rank_rows
 from ..operators.skew import left_join_sliced, slices_for
-from ..sources.storage import written_once
 from .warehouse import Warehouse
 
 MONTH = ["year_num", "month_num"]
@@ -64,7 +63,7 @@ def _by_doctor(wh: Warehouse, fact: DataFrame, keys: list[str], measures: list[s
 
 
 def disease_resources(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
-    """Cases, bed days and spend per month and disease."""
+    """Cases, bed days and spend per month and disease, in no order."""
     fact = _with_spend(wh.fact_between(date_from, date_to)).withColumn(
         "bed_days", or_zero(F.col("total_bed_days"))
     )
@@ -75,7 +74,7 @@ def disease_resources(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
         "total_cases",
         F.col("bed_days").alias("total_bed_days"),
         F.col("spend").cast(MONEY).alias("total_treatment_spend"),
-    ).orderBy(*MONTH, F.col("total_treatment_spend").desc(), "disease_name")
+    )
 
 
 def disease_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
@@ -97,14 +96,14 @@ def disease_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
 def doctor_ranking(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     """Doctors with enough cases, ranked by recovery, then low readmission,
     then volume. Rates are rounded before they are ranked. Ranking reads the
-    scores several times, so they are written once (a row per doctor)."""
+    scores several times; the plan reuses their exchange, so the fact is summed
+    once, and nothing runs before the report does."""
     fact = _with_spend(wh.fact_between(date_from, date_to))
     totals = _by_doctor(wh, fact, [], [*CASES, "spend"])
-    scored = written_once(
+    scored = (
         _rates(totals.filter(F.col("total_cases") >= MIN_DOCTOR_CASES))
         .withColumn("weighted_avg_treatment_cost", exact_ratio("spend", "total_cases"))
-        .drop("spend"),
-        "doctor-scores",
+        .drop("spend")
     )
     order = [("recovery_rate_pct", "desc"), ("readmission_rate_pct", "asc"), ("total_cases", "desc")]
     return (
@@ -328,11 +327,10 @@ def doctor_monthly_with_fallback(
     date_to: str,
 ) -> DataFrame:
     """Warehouse report, or the operational one when the warehouse has nothing
-    in the window. Spark evaluates the existence test on the fact scan."""
-    stored = doctor_monthly(wh, date_from, date_to)
-    derived = doctor_monthly_from_visits(visit, outcome, doctor, date_from, date_to)
-    nothing_stored = ~wh.fact_between(date_from, date_to).exists()
-    return stored.unionByName(derived.where(nothing_stored)).orderBy("doctor_id", *MONTH)
+    in the window. One row of the pruned fact decides which side is read at all."""
+    if wh.fact_between(date_from, date_to).isEmpty():
+        return doctor_monthly_from_visits(visit, outcome, doctor, date_from, date_to)
+    return doctor_monthly(wh, date_from, date_to)
 
 
 def doctor_performance_view(

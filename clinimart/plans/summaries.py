@@ -35,6 +35,15 @@ def only(df: DataFrame, column: str, choice: str | None) -> DataFrame:
     return df if choice in (None, "all") else df.filter(F.col(column) == choice)
 
 
+def only_known(df: DataFrame, column: str, choice: str | None) -> DataFrame:
+    """The same, but a choice that does not occur means all rows. The test is a
+    subquery, so nothing runs while the plan is made."""
+    if choice in (None, "all"):
+        return df
+    chosen = F.col(column) == choice
+    return df.filter(chosen | ~df.filter(chosen).exists())
+
+
 def at_least(df: DataFrame, min_cases: int = 0) -> DataFrame:
     return df.filter(F.col("total_cases") >= min_cases)
 
@@ -65,16 +74,18 @@ def choose_columns(df: DataFrame, visible: Sequence[str], known: Sequence[str])
     return df.select(*[c for c in known if c in visible])
 
 
-def disease_monthly(resources: DataFrame) -> DataFrame:
+def _disease_months(resources: DataFrame) -> DataFrame:
     labelled = _label(resources).withColumn("disease_name", _disease_label())
-    return _resource_sums(labelled, "month_label", "disease_name").orderBy(
-        "month_label", "disease_name"
-    )
+    return _resource_sums(labelled, "month_label", "disease_name")
+
+
+def disease_monthly(resources: DataFrame) -> DataFrame:
+    return _disease_months(resources).orderBy("month_label", "disease_name")
 
 
 def cases_by_month(resources: DataFrame, disease: str | None = None) -> DataFrame:
     return (
-        only(disease_monthly(resources), "disease_name", disease)
+        only_known(_disease_months(resources), "disease_name", disease)
         .groupBy("month_label")
         .agg(F.sum("total_cases").alias("total_cases"))
         .orderBy("month_label")
@@ -190,10 +201,14 @@ def doctor_trend(
 # --- wards ----------------------------------------------------------------
 
 
+def _ward_rows(utilization: DataFrame, ward_type: str | None, band: str | None) -> DataFrame:
+    labelled = _label(only(utilization, "ward_type", ward_type))
+    return only(labelled, "utilization_band", band)
+
+
 def ward_months(utilization: DataFrame, ward_type: str | None = None, band: str | None = None):
     """Ward and month rows with labels, filtered by type and by the month's band."""
-    labelled = _label(only(utilization, "ward_type", ward_type))
-    return only(labelled, "utilization_band", band).orderBy(
+    return _ward_rows(utilization, ward_type, band).orderBy(
         F.col("utilization_pct").desc(), "ward_name", "month_label"
     )
 
@@ -232,7 +247,7 @@ def ward_summary(utilization: DataFrame, ward_type: str | None = None, band: str
 def ward_heatmap(utilization: DataFrame, ward_type: str | None = None, band: str | None = None):
     """Mean utilization per ward and month, one row per cell."""
     return (
-        ward_months(utilization, ward_type, band)
+        _ward_rows(utilization, ward_type, band)
         .groupBy("ward_id", "ward_name", "month_label")
         .agg(
             exact_ratio("sum(coalesce(utilization_pct, 0))", "count(*)").alias("utilization_pct")
@@ -255,7 +270,7 @@ def ward_heatmap_matrix(cells: DataFrame, months: Sequence[str]) -> DataFrame:
 def ward_kpis(utilization: DataFrame, ward_type: str | None = None, band: str | None = None):
     """One row: mean of all month rates, most and least used ward, beds (each
     ward once, at its latest capacity) and bed days."""
-    rows = ward_months(utilization, ward_type, band)
+    rows = _ward_rows(utilization, ward_type, band)
     rate = or_zero(F.col("utilization_pct"))
     per_ward = rows.groupBy("ward_id", "ward_name").agg(
         F.sum(rate).alias("rates"),
@@ -313,7 +328,7 @@ def filter_risk(df: DataFrame, risk: str | None = None, min_cases: int = 0) -> D
 
 def readmitted_by_month(monthly: DataFrame, disease: str | None = None) -> DataFrame:
     return (
-        only(readmission_months(monthly), "disease_name", disease)
+        only_known(readmission_months(monthly), "disease_name", disease)
         .groupBy("month_label")
         .agg(F.sum("readmitted_cases").alias("readmitted_cases"))
         .orderBy("month_label")
@@ -379,7 +394,7 @@ def filter_options(
     sources = [
         ("specialization", ranking, "specialization"),
         ("ward_type", utilization, "ward_type"),
-        ("disease", disease_monthly(resources), "disease_name"),
+        ("disease", _disease_months(resources), "disease_name"),
         ("readmission_disease", readmission_months(readmissions), "disease_name"),
     ]
     options = None

@@ -131,7 +131,7 @@ def refresh(
             }
         )
         .hint("rebalance", "load_status", "year_num")
-        .withColumn("fact_id", F.monotonically_increasing_id() + 1)
+        .withColumn("fact_id", fact.grain_key())
         .write.partitionBy("load_status", "year_num")
         .parquet(f"{target}/fact_load")
     )

@@ -1,7 +1,8 @@
 """Table schemas and declared rules, as data.
 
 Column order, types, keys and value domains below are fixed values of the
-system. Counters and row identifiers are BIGINT so that they hold at any scale.
+system. Counters, row identifiers and the keys of patients, doctors and medicines
+are BIGINT so that they hold at any scale.
 """
 
 from __future__ import annotations
@@ -9,29 +10,29 @@ from __future__ import annotations
 from pyspark.sql.types import StructType
 
 OPERATIONAL = {
-    "patient": "patient_id INT NOT NULL, age_group STRING NOT NULL, gender STRING NOT NULL, "
+    "patient": "patient_id BIGINT NOT NULL, age_group STRING NOT NULL, gender STRING NOT NULL, "
     "blood_group STRING, city STRING",
-    "doctor": "doctor_id INT NOT NULL, specialization STRING NOT NULL, "
+    "doctor": "doctor_id BIGINT NOT NULL, specialization STRING NOT NULL, "
     "experience_years INT NOT NULL, department STRING",
     "disease": "disease_code STRING NOT NULL, disease_name STRING NOT NULL, "
     "category STRING NOT NULL, severity_tier STRING NOT NULL",
-    "medicine": "medicine_id INT NOT NULL, medicine_name STRING NOT NULL, medicine_type STRING, "
+    "medicine": "medicine_id BIGINT NOT NULL, medicine_name STRING NOT NULL, medicine_type STRING, "
     "unit_cost DECIMAL(10,2) NOT NULL",
     "ward": "ward_id INT NOT NULL, ward_name STRING NOT NULL, ward_type STRING NOT NULL, "
     "capacity INT NOT NULL",
-    "visit": "visit_id BIGINT NOT NULL, patient_id INT NOT NULL, doctor_id INT NOT NULL, "
+    "visit": "visit_id BIGINT NOT NULL, patient_id BIGINT NOT NULL, doctor_id BIGINT NOT NULL, "
     "visit_date DATE NOT NULL, visit_type STRING NOT NULL",
     "diagnosis": "visit_id BIGINT NOT NULL, disease_code STRING NOT NULL, severity STRING NOT NULL",
-    "treatment": "visit_id BIGINT NOT NULL, medicine_id INT NOT NULL, "
+    "treatment": "visit_id BIGINT NOT NULL, medicine_id BIGINT NOT NULL, "
     "dosage_mg DECIMAL(8,2) NOT NULL, duration_days INT NOT NULL",
-    "bed_allocation": "allocation_id BIGINT NOT NULL, patient_id INT NOT NULL, ward_id INT NOT NULL, "
+    "bed_allocation": "allocation_id BIGINT NOT NULL, patient_id BIGINT NOT NULL, ward_id INT NOT NULL, "
     "admit_date DATE NOT NULL, discharge_date DATE, days_stayed INT",
     "outcome": "visit_id BIGINT NOT NULL, status STRING NOT NULL, outcome_date DATE NOT NULL",
-    "admission_request": "request_id BIGINT NOT NULL, patient_id INT NOT NULL, doctor_id INT NOT NULL, "
+    "admission_request": "request_id BIGINT NOT NULL, patient_id BIGINT NOT NULL, doctor_id BIGINT NOT NULL, "
     "ward_id INT NOT NULL, visit_type STRING NOT NULL, request_date DATE NOT NULL",
     "allocation_change": "allocation_id BIGINT NOT NULL, change_seq INT NOT NULL, "
-    "operation STRING NOT NULL, patient_id INT NOT NULL, ward_id INT NOT NULL, days_stayed INT",
-    "alert_log": "allocation_id BIGINT NOT NULL, change_seq INT NOT NULL, patient_id INT NOT NULL, "
+    "operation STRING NOT NULL, patient_id BIGINT NOT NULL, ward_id INT NOT NULL, days_stayed INT",
+    "alert_log": "allocation_id BIGINT NOT NULL, change_seq INT NOT NULL, patient_id BIGINT NOT NULL, "
     "ward_id INT NOT NULL, days_stayed INT, alert_message STRING, created_at TIMESTAMP",
 }
 
@@ -40,13 +41,13 @@ WAREHOUSE = {
     "month_num INT, month_name STRING, quarter INT, year_num INT",
     "dim_disease": "disease_sk INT NOT NULL, disease_code STRING NOT NULL, disease_name STRING, "
     "category STRING, severity_tier STRING",
-    "dim_doctor": "doctor_sk INT NOT NULL, doctor_id INT NOT NULL, specialization STRING, "
+    "dim_doctor": "doctor_sk BIGINT NOT NULL, doctor_id BIGINT NOT NULL, specialization STRING, "
     "experience_band STRING, department STRING",
     "dim_ward": "ward_sk INT NOT NULL, ward_id INT NOT NULL, ward_name STRING, ward_type STRING, "
     "capacity INT",
     "dim_outcome": "outcome_sk INT NOT NULL, outcome_label STRING NOT NULL",
     "fact_treatment": "fact_id BIGINT NOT NULL, date_id INT NOT NULL, disease_sk INT NOT NULL, "
-    "doctor_sk INT NOT NULL, ward_sk INT, outcome_sk INT, total_cases BIGINT NOT NULL, "
+    "doctor_sk BIGINT NOT NULL, ward_sk INT, outcome_sk INT, total_cases BIGINT NOT NULL, "
     "recovered_cases BIGINT NOT NULL, readmitted_cases BIGINT NOT NULL, "
     "avg_recovery_days DECIMAL(6,2), avg_treatment_cost DECIMAL(10,2), total_bed_days BIGINT",
 }
@@ -59,8 +60,8 @@ FACT_COLUMNS = [
 # The written load: fact columns, natural keys and outcome of the load, with its
 # partition columns last.
 FACT_LOAD = (
-    "fact_id BIGINT, date_id INT, disease_sk INT, doctor_sk INT, ward_sk INT, visit_date DATE, "
-    "disease_code STRING, doctor_id INT, ward_id INT, total_cases BIGINT, recovered_cases BIGINT, "
+    "fact_id BIGINT, date_id INT, disease_sk INT, doctor_sk BIGINT, ward_sk INT, visit_date DATE, "
+    "disease_code STRING, doctor_id BIGINT, ward_id INT, total_cases BIGINT, recovered_cases BIGINT, "
     "readmitted_cases BIGINT, avg_recovery_days DECIMAL(6,2), avg_treatment_cost DECIMAL(10,2), "
     "total_bed_days BIGINT, skip_reason STRING, load_status STRING, year_num INT"
 )
@@ -81,6 +82,15 @@ PRIMARY_KEYS = {
     "allocation_change": ["allocation_id", "change_seq"],
 }
 
+WAREHOUSE_KEYS = {
+    "dim_date": ["date_id"],
+    "dim_disease": ["disease_sk"],
+    "dim_doctor": ["doctor_sk"],
+    "dim_ward": ["ward_sk"],
+    "dim_outcome": ["outcome_sk"],
+    "fact_treatment": ["fact_id"],
+}
+
 # child table, child column, parent table, parent column
 FOREIGN_KEYS = [
     ("visit", "patient_id", "patient", "patient_id"),

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from .storage import new_folder, read_operational, write_operational
 
-# First and last day of the sample calendar.
-CALENDAR_FROM = "1995-01-01"
-CALENDAR_TO = "2001-07-31"
-
 
 def _choose(value: Column, labels: list[str]) -> Column:
     """labels[value], the last label for every larger value."""
@@ -48,7 +44,7 @@ class SampleMapping:
             self._scan("customer", "c_custkey", "c_nationkey")
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
-                key.cast("int").alias("patient_id"),
+                key.alias("patient_id"),
                 _choose(key % 6, ages).alias("age_group"),
                 _choose(key % 3, ["M", "F", "O"]).alias("gender"),
                 F.lit(None).cast("string").alias("blood_group"),
@@ -61,7 +57,7 @@ class SampleMapping:
             self._scan("supplier", "s_suppkey", "s_nationkey")
             .join(self._nations(), F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
-                F.col("s_suppkey").cast("int").alias("doctor_id"),
+                F.col("s_suppkey").alias("doctor_id"),
                 F.col("n_name").alias("specialization"),
                 (F.col("s_suppkey") % 20).cast("int").alias("experience_years"),
                 F.col("r_name").alias("department"),
@@ -85,7 +81,7 @@ class SampleMapping:
 
     def medicine(self) -> DataFrame:
         return self._scan("part", "p_partkey", "p_name", "p_type", "p_retailprice").select(
-            F.col("p_partkey").cast("int").alias("medicine_id"),
+            F.col("p_partkey").alias("medicine_id"),
             F.col("p_name").alias("medicine_name"),
             F.col("p_type").alias("medicine_type"),
             F.col("p_retailprice").cast("decimal(10,2)").alias("unit_cost"),
@@ -103,7 +99,7 @@ class SampleMapping:
         doctors = (
             self._scan("lineitem", "l_orderkey", "l_suppkey")
             .groupBy("l_orderkey")
-            .agg(F.min("l_suppkey").cast("int").alias("doctor_id"))
+            .agg(F.min("l_suppkey").alias("doctor_id"))
         )
         priority = F.col("o_orderpriority")
         return (
@@ -111,7 +107,7 @@ class SampleMapping:
             .join(doctors, F.col("o_orderkey") == F.col("l_orderkey"))
             .select(
                 F.col("o_orderkey").alias("visit_id"),
-                F.col("o_custkey").cast("int").alias("patient_id"),
+                F.col("o_custkey").alias("patient_id"),
                 "doctor_id",
                 F.to_date("o_orderdate").alias("visit_date"),
                 F.when(priority == "1-URGENT", "Emergency")
@@ -147,7 +143,7 @@ class SampleMapping:
             "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_linenumber"
         ).select(
             F.col("l_orderkey").alias("visit_id"),
-            F.col("l_partkey").cast("int").alias("medicine_id"),
+            F.col("l_partkey").alias("medicine_id"),
             F.col("l_quantity").cast("decimal(8,2)").alias("dosage_mg"),
             (F.col("l_linenumber") + 3).cast("int").alias("duration_days"),
         )
@@ -163,7 +159,7 @@ class SampleMapping:
             .filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
             .select(
                 key.alias("allocation_id"),
-                F.col("o_custkey").cast("int").alias("patient_id"),
+                F.col("o_custkey").alias("patient_id"),
                 (key % 25 + 1).cast("int").alias("ward_id"),
                 F.to_date("o_orderdate").alias("admit_date"),
                 F.date_add(F.to_date("o_orderdate"), stay).alias("discharge_date"),
@@ -196,8 +192,8 @@ class SampleMapping:
             .filter(F.col("o_orderpriority") == "3-MEDIUM")
             .select(
                 key.alias("request_id"),
-                F.col("o_custkey").cast("int").alias("patient_id"),
-                (key % 10).cast("int").alias("doctor_id"),
+                F.col("o_custkey").alias("patient_id"),
+                (key % 10).alias("doctor_id"),
                 (key % 26 + 1).cast("int").alias("ward_id"),
                 F.lit("IPD").alias("visit_type"),
                 F.to_date("o_orderdate").alias("request_date"),

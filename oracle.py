@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import re
 
-FROM, TO = "1995-01-01", "2001-07-31"
+# Calendar of the load that shows skipped rows; all others run over all visits.
+SHORT_FROM, SHORT_TO = "1995-07-01", "2001-01-31"
+FALLBACK_FROM, FALLBACK_TO = "2001-03-01", "2001-03-31"
+FROM, TO = "1995-01-01", "2001-12-31"
 WIN_FROM, WIN_TO = "1997-01-01", "1998-12-31"
 
 
@@ -48,14 +51,14 @@ BLOCKS: dict[str, str] = {}
 
 # --- operational mapping ----------------------------------------------------
 BLOCKS["patient"] = """
-SELECT CAST(c_custkey AS INT) patient_id,
+SELECT CAST(c_custkey AS BIGINT) patient_id,
   CASE c_custkey % 6 WHEN 0 THEN '0-17' WHEN 1 THEN '18-30' WHEN 2 THEN '31-45'
        WHEN 3 THEN '46-60' WHEN 4 THEN '61-75' ELSE '76+' END age_group,
   CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'O' END gender,
   CAST(NULL AS VARCHAR) blood_group, n_name city
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 BLOCKS["doctor"] = """
-SELECT CAST(s_suppkey AS INT) doctor_id, n_name specialization,
+SELECT CAST(s_suppkey AS BIGINT) doctor_id, n_name specialization,
   CAST(s_suppkey % 20 AS INT) experience_years, r_name department
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 BLOCKS["disease"] = """
@@ -66,7 +69,7 @@ SELECT DISTINCT p_brand disease_code, concat('Condition ', p_brand) disease_name
        WHEN 2 THEN 'High' ELSE 'Critical' END severity_tier
 FROM part"""
 BLOCKS["medicine"] = """
-SELECT CAST(p_partkey AS INT) medicine_id, p_name medicine_name, p_type medicine_type,
+SELECT CAST(p_partkey AS BIGINT) medicine_id, p_name medicine_name, p_type medicine_type,
   CAST(p_retailprice AS DECIMAL(10,2)) unit_cost
 FROM part"""
 BLOCKS["ward"] = """
@@ -74,8 +77,8 @@ SELECT CAST(n_nationkey + 1 AS INT) ward_id, n_name ward_name, r_name ward_type,
   CAST(4 + (n_nationkey * 7) % 23 AS INT) capacity
 FROM nation JOIN region ON n_regionkey = r_regionkey"""
 BLOCKS["visit"] = """
-SELECT o_orderkey visit_id, CAST(o_custkey AS INT) patient_id,
-  CAST(min(l_suppkey) AS INT) doctor_id, CAST(o_orderdate AS DATE) visit_date,
+SELECT o_orderkey visit_id, CAST(o_custkey AS BIGINT) patient_id,
+  CAST(min(l_suppkey) AS BIGINT) doctor_id, CAST(o_orderdate AS DATE) visit_date,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'Emergency'
        WHEN o_orderpriority = '2-HIGH' THEN 'IPD' ELSE 'OPD' END visit_type
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
@@ -87,11 +90,11 @@ SELECT l_orderkey visit_id, p_brand disease_code,
 FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY l_orderkey, p_brand"""
 BLOCKS["treatment"] = """
-SELECT l_orderkey visit_id, CAST(l_partkey AS INT) medicine_id,
+SELECT l_orderkey visit_id, CAST(l_partkey AS BIGINT) medicine_id,
   CAST(l_quantity AS DECIMAL(8,2)) dosage_mg, CAST(3 + l_linenumber AS INT) duration_days
 FROM lineitem"""
 BLOCKS["bed_allocation"] = """
-SELECT o_orderkey allocation_id, CAST(o_custkey AS INT) patient_id,
+SELECT o_orderkey allocation_id, CAST(o_custkey AS BIGINT) patient_id,
   CAST(o_orderkey % 25 + 1 AS INT) ward_id, CAST(o_orderdate AS DATE) admit_date,
   CASE WHEN o_orderstatus = 'P' AND o_orderkey % 7 = 0 THEN NULL
        ELSE CAST(2 + o_orderkey % 20 AS INT) END days_stayed
@@ -105,8 +108,8 @@ SELECT o_orderkey visit_id,
   CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 30 AS INT) outcome_date
 FROM orders WHERE o_custkey % 50 <> 0"""
 BLOCKS["admission_request"] = """
-SELECT o_orderkey request_id, CAST(o_custkey AS INT) patient_id,
-  CAST(o_orderkey % 10 AS INT) doctor_id, CAST(o_orderkey % 26 + 1 AS INT) ward_id,
+SELECT o_orderkey request_id, CAST(o_custkey AS BIGINT) patient_id,
+  CAST(o_orderkey % 10 AS BIGINT) doctor_id, CAST(o_orderkey % 26 + 1 AS INT) ward_id,
   'IPD' visit_type, CAST(o_orderdate AS DATE) request_date
 FROM orders WHERE o_orderpriority = '3-MEDIUM'"""
 BLOCKS["allocation_change"] = """
@@ -117,15 +120,16 @@ SELECT allocation_id, 1, 'update', patient_id, ward_id, days_stayed
 FROM bed_allocation WHERE days_stayed IS NOT NULL"""
 
 # --- dimensions ---------------------------------------------------------------
-BLOCKS["dim_date"] = f"""
+BLOCKS["dim_date"] = """
 SELECT CAST(strftime(d, '%Y%m%d') AS INT) date_id, d full_date, strftime(d, '%A') day_of_week,
   CAST(day(d) AS INT) day_num, CAST(month(d) AS INT) month_num, strftime(d, '%B') month_name,
   CAST(quarter(d) AS INT) AS quarter, CAST(year(d) AS INT) year_num
-FROM (SELECT CAST(unnest(generate_series(DATE '{FROM}', DATE '{TO}', INTERVAL 1 DAY)) AS DATE) d)"""
+FROM (SELECT CAST(unnest(generate_series(
+  (SELECT min(visit_date) FROM visit), (SELECT max(visit_date) FROM visit), INTERVAL 1 DAY)) AS DATE) d)"""
 BLOCKS["dim_disease"] = """
 SELECT CAST(row_number() OVER (ORDER BY disease_code) AS INT) disease_sk, * FROM disease"""
 BLOCKS["dim_doctor"] = """
-SELECT CAST(row_number() OVER (ORDER BY doctor_id) AS INT) doctor_sk, doctor_id, specialization,
+SELECT CAST(row_number() OVER (ORDER BY doctor_id) AS BIGINT) doctor_sk, doctor_id, specialization,
   CASE WHEN experience_years <= 5 THEN '0-5 yrs' WHEN experience_years <= 10 THEN '6-10 yrs'
        ELSE '11+ yrs' END experience_band, department FROM doctor"""
 BLOCKS["dim_ward"] = """
@@ -154,10 +158,10 @@ SELECT visit_date, disease_code, doctor_id, ward_id, CAST(count(*) AS BIGINT) to
   CAST({ratio('sum(treatment_cost)', 'count(treatment_cost)')} AS DECIMAL(10,2)) avg_treatment_cost,
   CAST(sum(days_stayed) AS BIGINT) total_bed_days
 FROM raw_extract GROUP BY visit_date, disease_code, doctor_id, ward_id"""
-BLOCKS["fact"] = f"""
+BLOCKS["fact"] = """
 SELECT CAST(year(visit_date) AS INT) year_num, CAST(month(visit_date) AS INT) month_num, *,
   CAST(coalesce(avg_treatment_cost, 0) * total_cases AS DECIMAL(18,2)) spend
-FROM fact_groups WHERE visit_date BETWEEN DATE '{FROM}' AND DATE '{TO}'"""
+FROM fact_groups"""
 
 
 def _windowed(name: str, where: str) -> None:
@@ -222,6 +226,10 @@ for _name in REPORTS:
 BLOCKS["overview_empty"] = REPORTS["overview"].replace(
     "{F}", "fact WHERE visit_date BETWEEN DATE '2022-01-01' AND DATE '2023-12-31'"
 )
+for _bound, _sign, _day in (("from", ">=", WIN_FROM), ("until", "<=", WIN_TO)):
+    BLOCKS[f"overview_{_bound}"] = REPORTS["overview"].replace(
+        "{F}", f"fact WHERE visit_date {_sign} DATE '{_day}'"
+    )
 BLOCKS["ward_utilization"] = f"""
 SELECT year_num, month_num, ward_id, ward_name, ward_type, capacity, month_occupied_bed_days,
   {pct('month_occupied_bed_days', 'capacity * dim')} utilization_pct,
@@ -243,8 +251,8 @@ FROM (SELECT v.doctor_id, CAST(year(visit_date) AS INT) year_num,
       WHERE visit_date BETWEEN DATE '{{FROM}}' AND DATE '{{TO}}' GROUP BY 1, 2, 3)
 JOIN doctor USING (doctor_id)"""
 _OPS = BLOCKS["doctor_monthly_ops"]
-BLOCKS["doctor_monthly_ops"] = _OPS.replace("{FROM}", FROM).replace("{TO}", "2001-12-31")
-BLOCKS["doctor_monthly_august"] = _OPS.replace("{FROM}", "2001-08-01").replace("{TO}", "2001-08-31")
+BLOCKS["doctor_monthly_ops"] = _OPS.replace("{FROM}", FROM).replace("{TO}", TO)
+BLOCKS["doctor_monthly_late"] = _OPS.replace("{FROM}", FALLBACK_FROM).replace("{TO}", FALLBACK_TO)
 BLOCKS["disease_totals"] = """
 SELECT disease_name, CAST(sum(total_cases) AS BIGINT) total_cases,
   CAST(sum(total_treatment_spend) AS DECIMAL(28,2)) total_treatment_spend,
@@ -329,8 +337,19 @@ def _duplicates() -> str:
     from clinimart.schemas import PRIMARY_KEYS
 
     keys = {**PRIMARY_KEYS, "treatment": ["visit_id", "medicine_id", "duration_days"]}
+    keys |= {
+        "dim_date": ["date_id"], "dim_disease": ["disease_sk"], "dim_doctor": ["doctor_sk"],
+        "dim_ward": ["ward_sk"], "dim_outcome": ["outcome_sk"],
+    }
+    grain = "visit_date, disease_code, doctor_id, ward_id"
+    fact = (
+        "SELECT 'fact_treatment' table_name, 'fact_id' key_columns, CAST(sum(n) AS BIGINT) checked_rows,"
+        " count(*) FILTER (n > 1) duplicate_keys, CAST(sum(n - 1) AS BIGINT) surplus_rows"
+        f" FROM (SELECT count(*) n FROM fact GROUP BY {grain})"
+    )
     return _union_checks(
-        [
+        [fact]
+        + [
             f"SELECT '{t}' table_name, '{', '.join(k)}' key_columns,"
             " CAST(sum(n) AS BIGINT) checked_rows, count(*) FILTER (n > 1) duplicate_keys,"
             " CAST(sum(n - 1) AS BIGINT) surplus_rows"
@@ -379,7 +398,6 @@ def _matrix() -> str:
     cells = ", ".join(
         f"max(CASE WHEN month_label = '{m}' THEN utilization_pct END) \"{m}\""
         for m in months
-        if m <= "2001-07"
     )
     return f"SELECT ward_id, ward_name, {cells} FROM ward_months GROUP BY ward_id, ward_name"
 
@@ -446,18 +464,18 @@ def _queries() -> dict[str, str]:
         "raw_extract": "SELECT * FROM raw_extract",
         "fact_treatment": "SELECT * FROM fact_treatment",
         "fact_date_semi": "SELECT visit_date, disease_code, doctor_id, ward_id, total_cases"
-        " FROM fact_groups WHERE visit_date IN (SELECT full_date FROM dim_date)",
+        f" FROM fact_groups WHERE visit_date BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}'",
         "fact_skipped_rows": "SELECT visit_date, disease_code, doctor_id, ward_id, total_cases,"
         " 'date not in calendar' skip_reason FROM fact_groups"
-        " WHERE visit_date NOT IN (SELECT full_date FROM dim_date)",
+        f" WHERE visit_date NOT BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}'",
         "fact_labelled_sample": "SELECT visit_date full_date, disease_name, specialization, ward_name,"
         " total_cases, recovered_cases, avg_treatment_cost FROM fact JOIN disease USING (disease_code)"
         " JOIN doctor USING (doctor_id) LEFT JOIN ward USING (ward_id)"
         " ORDER BY visit_date, disease_code, doctor_id, ward_id NULLS FIRST LIMIT 5",
         "etl_counters": "SELECT CAST(sum(total_cases) AS BIGINT) extracted_rows,"
         " count(*) transformed_groups,"
-        f" count(*) FILTER (visit_date BETWEEN DATE '{FROM}' AND DATE '{TO}') loaded_groups,"
-        f" count(*) FILTER (visit_date NOT BETWEEN DATE '{FROM}' AND DATE '{TO}') skipped_groups"
+        f" count(*) FILTER (visit_date BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}') loaded_groups,"
+        f" count(*) FILTER (visit_date NOT BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}') skipped_groups"
         " FROM fact_groups",
         # reports
         "disease_trend": "SELECT *, "
@@ -485,6 +503,8 @@ def _queries() -> dict[str, str]:
         "overview": "SELECT * FROM overview",
         "overview_window": "SELECT * FROM overview_w",
         "overview_default_window": "SELECT * FROM overview_empty",
+        "overview_from": "SELECT * FROM overview_from",
+        "overview_until": "SELECT * FROM overview_until",
         "monthly_trend": f"SELECT {label()} month_label, CAST(sum(total_cases) AS BIGINT) total_cases,"
         f" {ratio('sum(avg_treatment_cost)', 'count(avg_treatment_cost)')} avg_cost,"
         " CAST(sum(readmitted_cases) AS BIGINT) readmitted_cases FROM fact"
@@ -492,7 +512,7 @@ def _queries() -> dict[str, str]:
         "doctor_monthly": "SELECT * FROM doctor_monthly",
         "doctor_monthly_ops": "SELECT * FROM doctor_monthly_ops",
         "doctor_monthly_with_fallback": "SELECT * FROM doctor_monthly_w",
-        "doctor_monthly_fallback_used": "SELECT * FROM doctor_monthly_august",
+        "doctor_monthly_fallback_used": "SELECT * FROM doctor_monthly_late",
         "doctor_performance_view": "SELECT d.doctor_id, d.specialization, d.experience_years,"
         " CAST(count(DISTINCT v.visit_id) AS BIGINT) total_visits, "
         + ratio("sum(ba.days_stayed)", "count(ba.days_stayed)")
@@ -517,6 +537,8 @@ def _queries() -> dict[str, str]:
         " FROM disease_resources GROUP BY year_num, month_num",
         "cases_by_month_of_disease": f"SELECT {label()} month_label, total_cases"
         " FROM disease_resources WHERE disease_name = 'Condition Brand#12'",
+        "cases_by_month_unknown_disease": f"SELECT {label()} month_label, CAST(sum(total_cases) AS BIGINT)"
+        " total_cases FROM disease_resources GROUP BY year_num, month_num",
         "top_diseases_by_spend": "SELECT disease_name, total_treatment_spend, total_cases"
         " FROM disease_totals ORDER BY total_treatment_spend DESC, disease_name LIMIT 8",
         "top_doctors": "SELECT concat('Dr ', CAST(doctor_id AS VARCHAR)) doctor_label,"
@@ -549,6 +571,9 @@ def _queries() -> dict[str, str]:
         " GROUP BY year_num, month_num",
         "readmitted_by_month_of_disease": f"SELECT {label()} month_label, readmitted_cases"
         " FROM readmission_monthly WHERE disease_name = 'Condition Brand#12'",
+        "readmitted_by_month_unknown_disease": f"SELECT {label()} month_label,"
+        " CAST(sum(readmitted_cases) AS BIGINT) readmitted_cases FROM readmission_monthly"
+        " GROUP BY year_num, month_num",
         "readmission_severity": "SELECT month_label, disease_name, total_cases, readmitted_cases,"
         f" recovered_cases, readmission_rate_pct, recovery_rate_pct, {severity('readmission_rate_pct')}"
         " severity FROM readmission_monthly",
