@@ -38,11 +38,12 @@ HEX_RUN = "[0-9a-f]{24,}"  # the same matches of hex that are long enough
 # Candidate classes: kind, pattern of a run, what a candidate must also have, limit in
 # thousandths of a bit.
 CLASSES = (
-    ("mixed", "[A-Za-z0-9+/_-]{20,}", "(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3600),
-    ("digits", "[0-9A-F]{24,}", "(?=.*[0-9])(?=.*[A-F])", 2800),
+    ("mixed", "[A-Za-z0-9+/_-]{20,}", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3600),
+    ("digits", "[0-9A-F]{24,}", "^(?=.*[0-9])(?=.*[A-F])", 2800),
 )
 # Not secrets: placeholders, words in one case joined by marks, one character repeated.
-ALLOWED = ("(?i)example|placeholder|changeme|dummy|x{6,}", "^[a-z]+([-_/][a-z]+)+$", "^(.)\\1+$")
+# Repeated groups are possessive: without that a very long candidate overflows the stack.
+ALLOWED = ("(?i)example|placeholder|changeme|dummy|x{6,}", "^[a-z]++(?:[-_/][a-z]++)++$", "^(.)\\1+$")
 WINDOW = 20
 KINDS = [p[0] for p in PATTERNS] + [c[0] for c in CLASSES]
 

@@ -72,3 +72,9 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert ours(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_very_long_candidates(spark):
+    texts = ["a-" * 20_000 + "A1", "a1" * 60_000, "AB" * 60_000, "the-long-" * 9_000 + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ours(docs) == slow_report(list(enumerate(texts)))
