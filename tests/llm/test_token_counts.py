@@ -67,3 +67,14 @@ def test_rule_for_crossing_tokens():
 
 def test_very_long_run_without_spaces(encoder):
     assert len(encoder.ends(b"ab" * 500_000)) > 0
+
+
+def test_long_runs_of_white_space(encoder, monkeypatch):
+    pieces = [" ", "\n", "　", " \n", "a", "é", "1", "'s", " b", "."]
+    texts = ["".join(pieces[(k * k + k * n + n) % 10] * (1 + (k * 7 + n) % 9) for k in range(40)) for n in range(60)]
+    whole = [encoder.ends(t.encode()).tolist() for t in texts]
+    monkeypatch.setattr(tc, "LONG_RUN", 3)
+    assert [encoder.ends(t.encode()).tolist() for t in texts] == whole
+    monkeypatch.undo()
+    for text in (b" " * 2_000_000 + b"a", b"a" + b"\n" * 2_000_000 + b" b"):
+        assert encoder.ends(text)[-1] == len(text)
