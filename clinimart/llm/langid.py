@@ -141,7 +141,7 @@ def fit(texts: dict[str, list[bytes]], order: int = 5, least: int = 12, contexts
         unseen = np.where(here > 0, 0.0, shorter)
         spread = unseen.sum(0)
         escape = np.where(spread > 0, kinds / np.maximum(total + kinds, 1), 0.0)
-        of_seen = np.where(spread > 0, total + kinds, np.maximum(total, 1))
+        of_seen = np.maximum(np.where(spread > 0, total + kinds, total), 1)
         shared = unseen * (escape / np.where(spread > 0, spread, 1))
         chance[node] = np.where(total > 0, np.where(here > 0, here / of_seen, shared), shorter)
     return ContextTree(langs, child, (-np.log2(chance)).astype(np.float32), order)
