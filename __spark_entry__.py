@@ -271,6 +271,9 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     ),
     "top_doctors": lambda s: summaries.top_doctors(s.report("doctor_ranking")),
     "doctor_extremes": lambda s: summaries.doctor_extremes(s.report("doctor_ranking")),
+    "doctor_extremes_filtered": lambda s: summaries.doctor_extremes(
+        summaries.filter_ranking(s.report("doctor_ranking"), "NATION_7", 100)
+    ),
     "ward_monthly_filtered": lambda s: summaries.ward_months(
         s.report("ward_utilization"), "ASIA", "Low Utilization"
     ),
@@ -296,6 +299,9 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "readmission_risk_filtered": lambda s: summaries.filter_risk(
         summaries.readmission_months(s.report("readmission_monthly")), "high", 20
     ),
+    "readmission_kpis_filtered": lambda s: summaries.readmission_kpis(
+        summaries.filter_risk(s.report("readmission_by_disease"), "high", 100)
+    ),
     "readmission_kpis": lambda s: summaries.readmission_kpis(s.report("readmission_by_disease")),
     "top_diseases_by_cases": lambda s: summaries.top_diseases_by_cases(
         s.report("readmission_by_disease")

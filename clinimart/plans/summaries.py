@@ -335,18 +335,22 @@ def readmitted_by_month(monthly: DataFrame, disease: str | None = None) -> DataF
     )
 
 
+# Order of the rows that lists and extremes are taken from; it decides between equals.
+BURDEN_FIRST = ("readmission_rate_pct desc", "total_cases desc", "disease_name asc")
+
+
 def readmission_kpis(by_disease: DataFrame) -> DataFrame:
     """One row: ratio of sums, the worst disease by either rate, and the count."""
-    name = F.col("disease_name")
+    burden = [-F.col("readmission_rate_pct"), -F.col("total_cases"), F.col("disease_name")]
     return by_disease.agg(
         percentage("sum(readmitted_cases)", "sum(total_cases)").alias("avg_readmission_rate_pct"),
         F.min_by(
             F.struct("disease_name", "readmission_rate_pct"),
-            F.struct(-F.col("readmission_rate_pct"), name),
+            F.struct(*burden),
         ).alias("risk"),
         F.min_by(
             F.struct("disease_name", "recovery_rate_pct"),
-            F.struct(F.col("recovery_rate_pct"), name),
+            F.struct(F.col("recovery_rate_pct"), *burden),
         ).alias("recovery"),
         F.count("*").alias("disease_count"),
     ).select(
@@ -361,7 +365,7 @@ def readmission_kpis(by_disease: DataFrame) -> DataFrame:
 
 def top_diseases_by_cases(by_disease: DataFrame) -> DataFrame:
     return (
-        by_disease.orderBy(F.col("total_cases").desc(), "disease_name")
+        by_disease.orderBy(F.col("total_cases").desc(), *_order(BURDEN_FIRST))
         .limit(TOP_OUTCOMES)
         .select("disease_name", "total_cases", "readmitted_cases", "recovered_cases")
     )
@@ -374,13 +378,13 @@ def readmission_share(by_disease: DataFrame) -> DataFrame:
     return (
         by_disease.filter(F.col("readmitted_cases") > 0)
         .withColumn("_total", total)
+        .orderBy(F.col("readmitted_cases").desc(), *_order(BURDEN_FIRST))
+        .limit(TOP_SHARES)
         .select(
             "disease_name",
             "readmitted_cases",
             percentage("readmitted_cases", "_total").alias("readmission_share_pct"),
         )
-        .orderBy(F.col("readmitted_cases").desc(), "disease_name")
-        .limit(TOP_SHARES)
     )
 
 

@@ -409,11 +409,24 @@ def _search(table: str, columns: list[str], text: str) -> str:
     return f"SELECT * FROM {table} WHERE {hits}"
 
 
-def _worst_best(order: str, insight: str, sentence: str) -> str:
+def _worst_best(order: str, insight: str, sentence: str, kept: str = "true") -> str:
     return (
         f"SELECT * FROM (SELECT '{insight}' insight, doctor_id, recovery_rate_pct,"
         f" readmission_rate_pct, total_cases, {sentence} sentence FROM doctor_ranking"
-        f" ORDER BY {order}, doctor_id LIMIT 1)"
+        f" WHERE {kept} ORDER BY {order}, doctor_id LIMIT 1)"
+    )
+
+
+def _readmission_kpis(rows: str) -> str:
+    burden = "readmission_rate_pct DESC, total_cases DESC, disease_name"
+    return (
+        "SELECT (SELECT "
+        + pct("sum(readmitted_cases)", "sum(total_cases)")
+        + f" FROM {rows} a) avg_readmission_rate_pct, hi.disease_name highest_risk_disease,"
+        " hi.readmission_rate_pct highest_risk_pct, lo.disease_name lowest_recovery_disease,"
+        f" lo.recovery_rate_pct lowest_recovery_pct, (SELECT count(*) FROM {rows} b) disease_count"
+        f" FROM (SELECT 1) one LEFT JOIN (SELECT * FROM {rows} c ORDER BY {burden} LIMIT 1) hi ON true"
+        f" LEFT JOIN (SELECT * FROM {rows} d ORDER BY recovery_rate_pct, {burden} LIMIT 1) lo ON true"
     )
 
 
@@ -435,6 +448,7 @@ def _queries() -> dict[str, str]:
         " CAST(recovery_rate_pct AS VARCHAR), '% and readmission ',"
         " CAST(readmission_rate_pct AS VARCHAR), '%.')"
     )
+    filtered = "specialization = 'NATION_7' AND total_cases >= 100"
     trend = (
         "SELECT m.* FROM doctor_monthly m WHERE doctor_id = (SELECT doctor_id FROM doctor_ranking"
         " WHERE doctor_id IN (SELECT doctor_id FROM doctor_monthly)"
@@ -547,6 +561,9 @@ def _queries() -> dict[str, str]:
         "doctor_extremes": _worst_best(_BEST, "top performer", best)
         + " UNION ALL "
         + _worst_best(_WORST, "needs attention", worst),
+        "doctor_extremes_filtered": _worst_best(_BEST, "top performer", best, filtered)
+        + " UNION ALL "
+        + _worst_best(_WORST, "needs attention", worst, filtered),
         "ward_monthly_filtered": "SELECT * FROM ward_months WHERE ward_type = 'ASIA'"
         " AND utilization_band = 'Low Utilization'",
         "ward_summary": "SELECT * FROM ward_summary",
@@ -581,19 +598,18 @@ def _queries() -> dict[str, str]:
         " readmitted_cases, recovered_cases, readmission_rate_pct, recovery_rate_pct,"
         f" {severity('readmission_rate_pct')} severity FROM readmission_monthly)"
         " WHERE severity = 'high' AND total_cases >= 20",
-        "readmission_kpis": "SELECT (SELECT "
-        + pct("sum(readmitted_cases)", "sum(total_cases)")
-        + " FROM share_base) avg_readmission_rate_pct, hi.disease_name highest_risk_disease,"
-        " hi.readmission_rate_pct highest_risk_pct, lo.disease_name lowest_recovery_disease,"
-        " lo.recovery_rate_pct lowest_recovery_pct, (SELECT count(*) FROM share_base) disease_count"
-        " FROM (SELECT * FROM share_base ORDER BY readmission_rate_pct DESC, disease_name LIMIT 1) hi,"
-        " (SELECT * FROM share_base ORDER BY recovery_rate_pct, disease_name LIMIT 1) lo",
+        "readmission_kpis": _readmission_kpis("share_base"),
+        "readmission_kpis_filtered": _readmission_kpis(
+            "(SELECT * FROM share_base WHERE total_cases >= 100"
+            f" AND {severity('readmission_rate_pct')} = 'high')"
+        ),
         "top_diseases_by_cases": "SELECT disease_name, total_cases, readmitted_cases, recovered_cases"
-        " FROM readmission_by_disease ORDER BY total_cases DESC, disease_name LIMIT 10",
+        " FROM readmission_by_disease ORDER BY total_cases DESC, readmission_rate_pct DESC,"
+        " disease_name LIMIT 10",
         "readmission_share": "SELECT disease_name, readmitted_cases, "
         + pct("readmitted_cases", "(SELECT sum(readmitted_cases) FROM share_base)")
         + " readmission_share_pct FROM share_base WHERE readmitted_cases > 0"
-        " ORDER BY readmitted_cases DESC, disease_name LIMIT 8",
+        " ORDER BY readmitted_cases DESC, readmission_rate_pct DESC, total_cases DESC, disease_name LIMIT 8",
         "filter_options": "SELECT DISTINCT 'specialization' filter_name, specialization AS option"
         " FROM doctor_ranking UNION ALL SELECT DISTINCT 'ward_type', ward_type FROM ward_utilization"
         " UNION ALL SELECT DISTINCT 'disease', disease_name FROM disease_resources"
