@@ -1,9 +1,15 @@
 """Row numbers and ranks that never sort a whole table in one task.
 
 A window without a partition, or with a hot partition key, would bring all its
-rows to one task. Both operators here count rows per bucket first (partial
-counts before the shuffle), add up the counts of the buckets that come earlier,
-and order rows only inside a bucket.
+rows to one task. Everything here works in two levels: rows fall in ranges of the
+order, totals of the ranges that come earlier are added up, and rows are ordered
+only inside a range.
+
+Ranges are quantiles that Spark samples from the order itself, so they hold about
+the same number of rows for any keys: a third of all rows under one ``within`` key is
+spread over many ranges, and sparse 64-bit ids do not give a range of their own each.
+Their number is that of the shuffle partitions, which is all that a single task adds
+up. ``rank_rows`` instead counts per distinct value.
 """
 
 from __future__ import annotations
@@ -13,6 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written_once
+
+_PLACE_BITS = 33
+
 # Rows of a unique integer key that can fall in one bucket of ``id_bucket``.
 BUCKET_WIDTH = 1_000_000
 
@@ -83,3 +93,79 @@ def rank_rows(df: DataFrame, order: Sequence[tuple[str, str]], into: str) -> Dat
         ahead = ahead.join(step, [*prefix, name])
         total = total + F.col(before)
     return df.join(ahead.select(*names, total.cast("bigint").alias(into)), names)
+
+
+def lay_out(df: DataFrame, order: Sequence[str | Column], purpose: str = "ordered") -> DataFrame:
+    """``df`` sorted by ``order`` over ranges and written, with the range of each row in
+    ``_part`` and its place in the range, from 0, in ``_at``.
+
+    NULL sorts as Spark sorts it. Rows with equal values in all of ``order`` stay in
+    one range, so give an order that tells rows apart. ``df`` is read twice, once to
+    sample its quantiles. As the result is written, later steps and retried tasks all
+    see the same places.
+    """
+    id_ = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written_once(
+        placed.select(
+            "*",
+            F.shiftright(id_, _PLACE_BITS).cast("int").alias("_part"),
+            id_.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("_at"),
+        ),
+        purpose,
+    )
+
+
+def _earlier_ranges(laid: DataFrame, within: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """Per ``within`` key and range: place of its first row, and totals of the ranges
+    before it. One row per range and key that it holds, written so that Spark knows
+    its size and broadcasts it only below its threshold."""
+    sums = laid.groupBy(*within, "_part").agg(
+        F.min("_at").alias("_first"), *[value.alias(name) for name, value in totals.items()]
+    )
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return written_once(
+        sums.select(
+            *[F.col(k).alias(f"_within{i}") for i, k in enumerate(within)],
+            F.col("_part").alias("_range"),
+            "_first",
+            *[F.sum(name).over(before).alias(name) for name in totals],
+        ),
+        "ranges",
+    )
+
+
+def _with_ranges(laid: DataFrame, ranges: DataFrame, within: Sequence[str]) -> DataFrame:
+    same = F.col("_part") == F.col("_range")
+    for i, key in enumerate(within):
+        same &= F.col(key).eqNullSafe(F.col(f"_within{i}"))
+    return laid.join(ranges, same).drop("_range", *[f"_within{i}" for i in range(len(within))])
+
+
+def number_in_order(
+    df: DataFrame, order: Sequence[str | Column], into: str, within: Sequence[str] = ()
+) -> DataFrame:
+    """Number rows from 1 in ``order``, separately for each ``within`` key, for keys of
+    any type and spread. NULL keys of ``within`` are a key of their own."""
+    laid = lay_out(df, [*within, *order])
+    ranges = _earlier_ranges(laid, within, {"_before": F.count("*")})
+    number = F.coalesce("_before", F.lit(0)) + F.col("_at") - F.col("_first") + 1
+    return _with_ranges(laid, ranges, within).select(*df.columns, number.alias(into))
+
+
+def running_totals(laid: DataFrame, within: Sequence[str], totals: dict[str, str]) -> DataFrame:
+    """``laid`` (from ``lay_out``, ordered by ``within`` first) with a total per entry of
+    ``totals`` (new column: summed column) over all earlier rows of the same key, 0 for
+    the first."""
+    sums = {f"_sum_{new}": F.sum(old) for new, old in totals.items()}
+    ranges = _earlier_ranges(laid, within, sums)
+    here = (
+        Window.partitionBy(*within, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = laid.withColumns(
+        {new: F.coalesce(F.sum(old).over(here), F.lit(0)) for new, old in totals.items()}
+    )
+    added = {new: F.col(new) + F.coalesce(f"_sum_{new}", F.lit(0)) for new in totals}
+    return (
+        _with_ranges(inside, ranges, within).withColumns(added).drop("_first", "_part", "_at", *sums)
+    )

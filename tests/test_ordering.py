@@ -14,6 +14,14 @@ def narrow(monkeypatch):
     monkeypatch.setattr(ordering, "BUCKET_WIDTH", 7)
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables in several ranges, as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_number_rows_over_the_whole_table(spark, narrow):
     ids = random.Random(1).sample(range(500), 120)
     df = spark.createDataFrame([(i,) for i in ids], "id BIGINT")
@@ -50,3 +58,39 @@ def test_rank_leaves_gaps_after_ties(spark):
     df = spark.createDataFrame([(1, 9), (2, 9), (3, 5)], "id INT, a INT")
     got = ordering.rank_rows(df, [("a", "desc")], "place").orderBy("id").collect()
     assert [r.place for r in got] == [1, 1, 3]
+
+
+def _plain_numbers(rows):
+    """Number per key in the order of (key, id), NULL keys first."""
+    seen, numbers = {}, []
+    for key, row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        seen[key] = seen.get(key, 0) + 1
+        numbers.append((key, row, seen[key]))
+    return sorted(numbers, key=lambda r: r[1])
+
+
+def test_numbers_of_any_ids(spark, many_ranges):
+    rng = random.Random(5)
+    keys = [None, "a", "b", "c"]
+    rows = [("hot" if i % 3 == 0 else rng.choice(keys), rng.getrandbits(63) - 2**62) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id bigint")
+    found = ordering.number_in_order(df, ["id"], "n", ["k"]).collect()
+    assert sorted([tuple(r) for r in found], key=lambda r: r[1]) == _plain_numbers(rows)
+    alone = ordering.number_in_order(df, [F.col("id").desc()], "n").orderBy("n").collect()
+    assert [r.id for r in alone] == sorted((r[1] for r in rows), reverse=True)
+    assert [r.n for r in alone] == list(range(1, 3001))
+    assert ordering.number_in_order(df.limit(0), ["id"], "n", ["k"]).count() == 0
+
+
+def test_running_totals_over_ranges(spark, many_ranges):
+    rng = random.Random(6)
+    rows = [("hot" if i % 2 else str(i % 7), i, rng.randint(0, 9)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, id bigint, v bigint")
+    laid = ordering.lay_out(df, ["k", "id"])
+    assert laid.select("_part").distinct().count() > 1
+    found = ordering.running_totals(laid, ["k"], {"before": "v"}).orderBy("k", "id").collect()
+    so_far = {}
+    for key, row, value in sorted(rows):
+        assert (found[0].k, found[0].id, found[0].before) == (key, row, so_far.get(key, 0))
+        so_far[key] = so_far.get(key, 0) + value
+        found = found[1:]
