@@ -142,15 +142,20 @@ def _with_ranges(laid: DataFrame, ranges: DataFrame, within: Sequence[str]) -> D
     return laid.join(ranges, same).drop("_range", *[f"_within{i}" for i in range(len(within))])
 
 
+def numbered(laid: DataFrame, into: str, within: Sequence[str] = ()) -> DataFrame:
+    """``laid`` (from ``lay_out``, ordered by ``within`` first) with the number of each
+    row from 1, separately for each ``within`` key; NULL is a key of its own."""
+    ranges = _earlier_ranges(laid, within, {"_before": F.count("*")})
+    number = F.coalesce("_before", F.lit(0)) + F.col("_at") - F.col("_first") + 1
+    return _with_ranges(laid, ranges, within).select(*laid.columns, number.alias(into))
+
+
 def number_in_order(
     df: DataFrame, order: Sequence[str | Column], into: str, within: Sequence[str] = ()
 ) -> DataFrame:
     """Number rows from 1 in ``order``, separately for each ``within`` key, for keys of
-    any type and spread. NULL keys of ``within`` are a key of their own."""
-    laid = lay_out(df, [*within, *order])
-    ranges = _earlier_ranges(laid, within, {"_before": F.count("*")})
-    number = F.coalesce("_before", F.lit(0)) + F.col("_at") - F.col("_first") + 1
-    return _with_ranges(laid, ranges, within).select(*df.columns, number.alias(into))
+    any type and spread."""
+    return numbered(lay_out(df, [*within, *order]), into, within).drop("_part", "_at")
 
 
 def running_totals(laid: DataFrame, within: Sequence[str], totals: dict[str, str]) -> DataFrame:
