@@ -188,6 +188,7 @@ def prove(manifest: Manifest, requests: DataFrame, payload: Sequence[str]) -> Da
         F.lit(0).alias("tree"), F.lit(0).cast("bigint").alias("place"),
         F.lit(manifest.root).alias("digest"), F.expr(f"cast(array() as {_SEGMENT})").alias("path"),
     )
+    at = written_once(at, "root")  # as a table, so that its join is one on keys
     for height in range(heights, 0, -1):
         at = _step(at, manifest.top_records[height], digits[height])
     subroots = at.select(F.col("place").alias("tree"), F.col("digest").alias("subroot"), "path")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     ann,
+    chat_format,
     decontamination,
+    filter_audit,
     langid,
     line_dedup,
     lm_score,
@@ -70,6 +72,18 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.tampered_audit(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "conv_id bigint, turn bigint, role string, text string"
+    marks = "</s>[INST] ok [/INST]"  # a conversation made of control strings
+    hard = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], kind)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.pack(rows.unionByName(hard)))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,5 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontamination,
         op10_token_counts,
         op11_manifest,
+        op12_chat_format,
+        op13_filter_audit,
     )
 }

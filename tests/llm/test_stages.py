@@ -24,7 +24,7 @@ def rows_of(frame):
 @pytest.mark.parametrize("name", list(oracles.STATEMENTS))
 def test_query_equals_reference_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     frame = queries.QUERIES[name](spark, SMALL)
     reference = db.execute(oracles.STATEMENTS[name])
