@@ -112,7 +112,7 @@ orders AS (
 steps AS (
   SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
          list_sum(list_transform(string_split(filter_order[:step - 1], ''),
-                  x -> CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS before
+                  lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS before
   FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
 counted AS (
   SELECT part, filter_order, step::INT AS step, bit,
@@ -147,10 +147,80 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM sized GROUP BY conv_id
 """.replace("CONTROLS", r"'<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]'")
 
+# crc32 of a number's decimal text, byte by byte and bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                           lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(map(_FIELD.format, ("doc_id", "source", "lang", "n_chars", "{0}"))) + ")"
+
+
+def _levels(name: str, levels: int) -> str:
+    """``levels`` levels of trees above ``{name}0`` (tree, place, node, size): siblings
+    and digests of every node, level by level; a tree with one node left stays."""
+    parts = []
+    for h in range(levels):
+        parts.append(f"""
+{name}{h + 1}r AS (
+  SELECT tree, place // 16 AS place, any_value(size) AS old, list(node ORDER BY place) AS run,
+         (any_value(size) + 15) // 16 AS size FROM {name}{h} GROUP BY tree, place // 16),
+{name}{h + 1} AS (
+  SELECT tree, place, size, run, old,
+         CASE WHEN old > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS node FROM {name}{h + 1}r)""")
+    return ",".join(parts)
+
+
+def _paths(name: str, levels: int, tree: str, place: str) -> tuple[str, str]:
+    """Joins of a row with its runs on each level, and the list of (left, right)."""
+    joins, parts = [], []
+    for h in range(levels):
+        a, up = f"{name}_{h}", f"({place} // {16 ** (h + 1)})"
+        joins.append(f"JOIN {name}{h + 1} {a} ON {a}.tree = {tree} AND {a}.place = {up}")
+        at = f"(({place} // {16**h}) % 16)"
+        parts.append(
+            f"CASE WHEN {a}.old > 1 THEN [{{'l': array_to_string({a}.run[1:{at}], ''),"
+            f" 'r': array_to_string({a}.run[{at} + 2:], '')}}] ELSE [] END"
+        )
+    return "\n  ".join(joins), "list_concat(" + ", ".join(parts) + ")"
+
+
+# Enough levels for 16^5 documents of a source and 16^3 sources.
+_DOC_LEVELS, _TOP_LEVELS = 5, 3
+_DOC_JOINS, _DOC_PATH = _paths("t", _DOC_LEVELS, "d.tree", "d.place")
+_TOP_JOINS, _TOP_PATH = _paths("s", _TOP_LEVELS, "0", "d.tree")
+MANIFEST = f"""
+WITH leaves AS (
+  SELECT doc_id, {_LEAF.format("text")} AS leaf, source,
+         CASE WHEN {_CRC32.format("doc_id")} % 5 = 0 THEN {_LEAF.format(LOWERED.format("text"))} END AS altered
+  FROM documents),
+d AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS size FROM leaves),
+t0 AS (SELECT tree, place, leaf AS node, size FROM d),{_levels("t", _DOC_LEVELS)},
+s0 AS (
+  SELECT 0 AS tree, tree AS place, node, (count(*) OVER ()) AS size FROM t{_DOC_LEVELS}),{_levels("s", _TOP_LEVELS)},
+paths AS (
+  SELECT d.doc_id, d.leaf, d.altered, s0.node AS subroot, s_{_TOP_LEVELS - 1}.node AS root,
+         list_concat({_DOC_PATH}, {_TOP_PATH}) AS path
+  FROM d JOIN s0 ON s0.place = d.tree
+  {_DOC_JOINS}
+  {_TOP_JOINS}),
+folded AS (
+  SELECT *, list_reduce(
+    list_concat([{{'l': '', 'r': coalesce(altered, leaf)}}], path),
+    lambda a, b: {{'l': '', 'r': sha256(b.l || a.r || b.r)}}).r AS folded_root FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
+
 STATEMENTS = {
     "op4_source_mixing": MIXING,
     "op8_line_dedup": LINE_DEDUP,
     "op9_decontamination": DECONTAMINATION,
+    "op11_manifest": MANIFEST,
     "op12_chat_format": CHAT_FORMAT,
     "op13_filter_audit": FILTER_AUDIT,
 }
