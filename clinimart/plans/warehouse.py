@@ -1,10 +1,21 @@
-"""Refresh of the warehouse and access to its tables."""
+"""Refresh of the warehouse and access to its tables.
+
+A warehouse folder holds
+
+    load=<id>/<dimension>, load=<id>/report/<name>   tables of one load
+    fact_load/load_id=<id>/load_status=.../year_num=...   fact partitions that a load wrote
+    loads                                            the log, one row per finished load
+
+A log row lists the fact partitions of its load, each with the load that wrote it, so a
+load that changes a few years (``plans.changes``) names the others where they are.
+Readers see a load only by its row in the log.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -16,15 +27,27 @@ from ..schemas import FACT_COLUMNS, FACT_LOAD
 from ..sources.storage import read_dimension
 from . import dims, fact
 
-LOADS_SCHEMA = "load_id STRING, finished_at TIMESTAMP"
+PART = "STRUCT<load_id: STRING, load_status: STRING, year_num: INT>"
+LOADS_SCHEMA = f"load_id STRING, finished_at TIMESTAMP, parts ARRAY<{PART}>"
+EXTRACT = ("visit", "diagnosis", "outcome", "bed_allocation", "treatment", "medicine")
+Tables = Callable[[str], DataFrame]
+Reports = dict[str, Callable[["Warehouse"], DataFrame]]
 
 
 @dataclass
 class Warehouse:
-    """Tables of one finished load."""
+    """Tables of one load. ``parts``: load, status and year of its fact partitions, of
+    which there are two for each year of the calendar at most."""
 
     spark: SparkSession
-    root: str
+    base: str
+    load_id: str
+    parts: Sequence[tuple[str, str, int]]
+
+    @property
+    def root(self) -> str:
+        """Folder of the load's own tables."""
+        return f"{self.base}/load={self.load_id}"
 
     def dimension(self, name: str) -> DataFrame:
         return read_dimension(self.spark, self.root, name)
@@ -33,7 +56,12 @@ class Warehouse:
     def load_rows(self) -> DataFrame:
         """All groups of the load with natural and surrogate keys; skipped
         groups carry their reason."""
-        return self.spark.read.schema(FACT_LOAD).parquet(f"{self.root}/fact_load")
+        if not self.parts:
+            return self.spark.createDataFrame([], FACT_LOAD)
+        base = f"{self.base}/fact_load"
+        folders = [f"{base}/load_id={p[0]}/load_status={p[1]}/year_num={p[2]}" for p in self.parts]
+        rows = self.spark.read.schema(f"{FACT_LOAD}, load_id STRING").option("basePath", base)
+        return rows.parquet(*folders).drop("load_id")
 
     @property
     def skipped(self) -> DataFrame:
@@ -77,29 +105,20 @@ class Warehouse:
         return self.spark.read.parquet(f"{self.root}/report/{name}")
 
 
-def refresh(
+def write_dimensions(
     spark: SparkSession,
-    root: str,
-    table: Callable[[str], DataFrame],
+    base: str,
+    load_id: str,
+    table: Tables,
     calendar_from: str | dt.date,
     calendar_to: str | dt.date,
-    stored_reports: dict[str, Callable[[Warehouse], DataFrame]] | None = None,
+    previous: Warehouse | None,
 ) -> Warehouse:
-    """Load a new version of the warehouse beside the old one and publish it.
-
-    ``table`` returns an operational table by name. Everything is written below
-    a folder of its own; readers see the load only when its row is in the load
-    log, so there is no moment with an empty fact. Dimension keys carry over
-    from the last load, which makes a rerun give the same tables. Reports named
-    in ``stored_reports`` are computed and kept with the load.
-    """
-    previous = latest(spark, root)
+    """Dimensions of a new load. Keys carry over from ``previous``."""
 
     def before(name: str) -> DataFrame | None:
         return previous.dimension(name) if previous else None
 
-    load_id = uuid.uuid4().hex
-    target = f"{root}/load={load_id}"
     built = {
         "dim_date": dims.dim_date(spark, calendar_from, calendar_to),
         "dim_disease": dims.dim_disease(table("disease"), before("dim_disease")),
@@ -107,24 +126,24 @@ def refresh(
         "dim_ward": dims.dim_ward(table("ward"), before("dim_ward")),
         "dim_outcome": dims.dim_outcome(spark),
     }
+    done = Warehouse(spark, base, load_id, ())
     for name, df in built.items():
-        df.write.parquet(f"{target}/{name}")
-    done = Warehouse(spark, target)
-    groups = fact.treatment_groups(
-        *[
-            table(name)
-            for name in ("visit", "diagnosis", "outcome", "bed_allocation", "treatment", "medicine")
-        ]
-    )
-    keyed = fact.with_surrogates(
-        groups,
-        done.dimension("dim_date"),
-        done.dimension("dim_disease"),
-        done.dimension("dim_doctor"),
-        done.dimension("dim_ward"),
-    )
+        df.write.parquet(f"{done.root}/{name}")
+    return done
+
+
+def keyed_groups(groups: DataFrame, wh: Warehouse) -> DataFrame:
+    """Fact groups with the surrogate keys of a load's dimensions, or why they have none."""
+    names = ("dim_date", "dim_disease", "dim_doctor", "dim_ward")
+    return fact.with_surrogates(groups, *[wh.dimension(name) for name in names])
+
+
+def write_fact(groups: DataFrame, wh: Warehouse) -> list[tuple[str, str, int]]:
+    """Write groups as the load's own partitions and return these."""
+    folder = f"{wh.base}/fact_load/load_id={wh.load_id}"
     (
-        keyed.withColumns(
+        keyed_groups(groups, wh)
+        .withColumns(
             {
                 "load_status": F.when(F.col("skip_reason").isNull(), "loaded").otherwise("skipped"),
                 "year_num": F.year("visit_date"),
@@ -133,14 +152,43 @@ def refresh(
         .hint("rebalance", "load_status", "year_num")
         .withColumn("fact_id", fact.grain_key())
         .write.partitionBy("load_status", "year_num")
-        .parquet(f"{target}/fact_load")
+        .parquet(folder)
     )
+    written = wh.spark.read.schema(FACT_LOAD).parquet(folder)
+    found = written.select("load_status", "year_num").distinct().collect()
+    return [(wh.load_id, r.load_status, r.year_num) for r in found]
+
+
+def publish(wh: Warehouse, stored_reports: Reports | None = None) -> Warehouse:
+    """Compute the reports to keep and put the load in the log."""
     for name, build in (stored_reports or {}).items():
-        done.store_report(name, build(done))
-    spark.range(1).select(
-        F.lit(load_id).alias("load_id"), F.current_timestamp().alias("finished_at")
-    ).write.mode("append").parquet(f"{root}/loads")
-    return done
+        wh.store_report(name, build(wh))
+    now = wh.spark.range(1).select(F.current_timestamp()).first()[0]
+    row = wh.spark.createDataFrame([(wh.load_id, now, [tuple(p) for p in wh.parts])], LOADS_SCHEMA)
+    row.coalesce(1).write.mode("append").parquet(f"{wh.base}/loads")
+    return wh
+
+
+def refresh(
+    spark: SparkSession,
+    root: str,
+    table: Tables,
+    calendar_from: str | dt.date,
+    calendar_to: str | dt.date,
+    stored_reports: Reports | None = None,
+) -> Warehouse:
+    """Load a new version of the warehouse beside the old one and publish it.
+
+    ``table`` returns an operational table by name. Everything is written below
+    folders of its own; readers see the load only when its row is in the load
+    log, so there is no moment with an empty fact. Dimension keys carry over
+    from the last load, which makes a rerun give the same tables. Reports named
+    in ``stored_reports`` are computed and kept with the load.
+    """
+    previous, load_id = latest(spark, root), uuid.uuid4().hex
+    wh = write_dimensions(spark, root, load_id, table, calendar_from, calendar_to, previous)
+    wh.parts = write_fact(fact.treatment_groups(*[table(name) for name in EXTRACT]), wh)
+    return publish(wh, stored_reports)
 
 
 def latest(spark: SparkSession, root: str) -> Warehouse | None:
@@ -151,5 +199,5 @@ def latest(spark: SparkSession, root: str) -> Warehouse | None:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    newest = loads.agg(F.max_by("load_id", "finished_at")).first()[0]
-    return Warehouse(spark, f"{root}/load={newest}") if newest else None
+    newest = loads.agg(F.max_by(F.struct("load_id", "parts"), "finished_at")).first()[0]
+    return Warehouse(spark, root, newest.load_id, [tuple(p) for p in newest.parts]) if newest else None
