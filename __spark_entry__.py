@@ -22,7 +22,7 @@ from clinimart.functions.dates import month_labels  # noqa: E402
 from clinimart.functions.text import slug  # noqa: E402
 from clinimart.operators import admission, quality, tables  # noqa: E402
 from clinimart.operators.stays import visit_stays  # noqa: E402
-from clinimart.plans import fact, reports, summaries  # noqa: E402
+from clinimart.plans import changes, fact, reports, summaries  # noqa: E402
 from clinimart.plans.warehouse import Warehouse, refresh  # noqa: E402
 from clinimart.schemas import WAREHOUSE, WAREHOUSE_KEYS  # noqa: E402
 from clinimart.sources.sample import (  # noqa: E402
@@ -40,6 +40,7 @@ except ImportError:  # the text operators, or what they need, can be left out
     llm_queries = llm_oracles = corpus_pipeline = None
 
 WINDOW = (oracle.WIN_FROM, oracle.WIN_TO)
+CHANGING = ("visit", "diagnosis", "treatment", "outcome", "bed_allocation")
 EXTRACT = ("visit", "diagnosis", "outcome", "bed_allocation", "treatment", "medicine")
 
 
@@ -77,6 +78,39 @@ class Site:
         """A load with a calendar of its own, to show what is skipped."""
         return self._load(oracle.SHORT_FROM, oracle.SHORT_TO)
 
+    def earlier_table(self, name: str) -> DataFrame:
+        """A table as it was known on a past day: later visits, outcomes and admissions
+        are missing, patients discharged since are still admitted, and a ward's
+        admissions of some months had not been reported yet."""
+        now, day = self.table(name), F.to_date(F.lit(oracle.KNOWN_BEFORE))
+        seen = self.table("visit").filter(F.col("visit_date") < day).select("visit_id")
+        if name in ("visit", "diagnosis", "treatment"):
+            return now.join(seen, "visit_id", "left_semi").select(now.columns)
+        if name == "outcome":
+            return now.filter(F.col("outcome_date") < day)
+        if name == "bed_allocation":
+            late = (F.col("ward_id") == oracle.LATE_WARD) & (F.col("admit_date") >= oracle.LATE_FROM)
+            left = F.when(F.col("discharge_date") < day, F.col("discharge_date"))
+            known = now.filter((F.col("admit_date") < day) & ~late).withColumn("discharge_date", left)
+            return with_days_stayed(known).select(now.columns)
+        return now
+
+    def changed(self, name: str) -> DataFrame:
+        """Rows of a table that differ between that day and now."""
+        return written_once(changes.changes_between(self.earlier_table(name), self.table(name)), "changes")
+
+    @cached_property
+    def changed_wh(self) -> Warehouse:
+        """A load of that day, then a refresh of what changed since."""
+        folder = new_folder(self.spark, "warehouse")
+        day = F.col("visit_date")
+        span = self.table("visit", "visit_date").agg(F.min(day), F.max(day)).first()
+        refresh(self.spark, folder, self.earlier_table, *span)
+        return changes.refresh_changed(
+            self.spark, folder, self.table,
+            lambda name: self.changed(name) if name in CHANGING else None, *span,
+        )
+
     def any_table(self, name: str) -> DataFrame:
         if name == "fact_treatment":
             return self.wh.fact.drop("year_num")
@@ -201,6 +235,8 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     ),
     "raw_extract": lambda s: fact.raw_extract(*[s.table(name) for name in EXTRACT]),
     "fact_treatment": lambda s: s.wh.fact.drop("fact_id", "year_num"),
+    "fact_refreshed": lambda s: s.changed_wh.fact.drop("fact_id", "year_num"),
+    "fact_refresh_partitions": lambda s: s.changed_wh.partitions(),
     "fact_date_semi": lambda s: s.short_wh.load_rows.join(
         s.short_wh.dimension("dim_date").select("date_id"), "date_id", "left_semi"
     ).select("visit_date", "disease_code", "doctor_id", "ward_id", "total_cases"),

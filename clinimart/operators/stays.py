@@ -6,6 +6,11 @@ sums, so the pairs are never formed: allocations are reduced to running totals
 per patient, ward and day, each valid until the ward's next admission, and a
 visit day picks the one total in force per ward. The work per patient is bounded
 by days and wards, not by visits times allocations.
+
+Days and intervals are joined in time buckets: an interval is repeated for every year
+that it covers, and the year joins the key. A patient with a very long history is so
+spread over as many tasks as the history has years, and a day is compared with the
+intervals of its own year only.
 """
 
 from __future__ import annotations
@@ -47,11 +52,19 @@ def stays_by_day(
 ) -> DataFrame:
     """Totals in force for each row of ``days`` (patient, visit date and more),
     one row per ward with a stay."""
-    intervals = stay_intervals(bed_allocation, split).withColumnRenamed("patient_id", "_patient")
+    end = days.agg(F.max("visit_date").alias("end")).scalar()
+    last = F.least(F.coalesce(F.date_sub("valid_to", 1), end), end)
+    intervals = (
+        stay_intervals(bed_allocation, split)
+        .withColumnRenamed("patient_id", "_patient")
+        .withColumn("_last", last)
+        .filter(F.col("valid_from") <= F.col("_last"))
+        .withColumn("_bucket", F.explode(F.sequence(F.year("valid_from"), F.year("_last"))))
+    )
     in_force = (
         (F.col("patient_id") == F.col("_patient"))
-        & (F.col("visit_date") >= F.col("valid_from"))
-        & (F.col("valid_to").isNull() | (F.col("visit_date") < F.col("valid_to")))
+        & (F.year("visit_date") == F.col("_bucket"))
+        & F.col("visit_date").between(F.col("valid_from"), F.col("_last"))
     )
     return days.join(intervals, in_force).select(
         *days.columns, *split, "stays", "known_stays", "stay_days"
@@ -59,24 +72,29 @@ def stays_by_day(
 
 
 def visit_stays(
-    visit: DataFrame, bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",)
+    rows: DataFrame,
+    bed_allocation: DataFrame,
+    split: Sequence[str] = ("ward_id",),
+    visits: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of visits with their stays, compact: a row stands for
     ``copies`` joined rows. A visit without a stay keeps one row, ward NULL.
 
-    Visits are first counted per patient and day. That gives the days to look
+    ``rows`` may hold a visit several times, with other columns; ``visits`` is then the
+    table that they come from, which is cheaper to count. Visits are first counted per patient and day. That gives the days to look
     up, far fewer than visits for a busy patient, and tells which of them are so
     crowded that their visits are spread over several tasks.
     """
     day = ["patient_id", "visit_date"]
     days = (
-        visit.groupBy(*day)
+        (rows if visits is None else visits)
+        .groupBy(*day)
         .agg(F.count("*").alias("_visits"))
         .select(*day, slices_for(F.col("_visits")).alias("slices"))
     )
     totals = stays_by_day(days, bed_allocation, split)
     return (
-        left_join_sliced(visit, totals, days, day, spread="visit_id")
+        left_join_sliced(rows, totals, days, day, spread="visit_id")
         .withColumn("copies", F.coalesce("stays", F.lit(1).cast("bigint")))
         .drop("stays")
     )

@@ -24,18 +24,19 @@ def visit_treatment_cost(treatment: DataFrame, medicine: DataFrame) -> DataFrame
     )
 
 
-def _with_visit_facts(
-    stays: DataFrame,
+def _visit_rows(
+    visit: DataFrame,
     diagnosis: DataFrame,
     outcome: DataFrame,
     treatment: DataFrame,
     medicine: DataFrame,
 ) -> DataFrame:
-    """Everything keyed by visit, joined on that key only, so one shuffle per
-    input is shared by all four joins."""
+    """A row per visit and diagnosis with all that is keyed by the visit. Everything is
+    joined on that key before the stays are, so tables bucketed by it are not shuffled."""
     status = outcome.select("visit_id", F.col("status").alias("outcome_status"))
     return (
-        stays.join(diagnosis.select("visit_id", "disease_code"), "visit_id")
+        visit.select("visit_id", "patient_id", "doctor_id", "visit_date")
+        .join(diagnosis.select("visit_id", "disease_code"), "visit_id")
         .join(status, "visit_id", "left")
         .join(visit_treatment_cost(treatment, medicine), "visit_id", "left")
     )
@@ -52,12 +53,9 @@ def raw_extract(
     """Row-level extract: one row per visit, diagnosis and bed allocation
     admitted on or before the visit. The fan-out is part of its definition; the
     fact load below gives the same totals without it."""
-    stays = visit_stays(
-        visit.select("visit_id", "patient_id", "doctor_id", "visit_date"),
-        bed_allocation,
-        split=("ward_id", "days_stayed"),
-    )
-    compact = _with_visit_facts(stays, diagnosis, outcome, treatment, medicine).select(
+    rows = _visit_rows(visit, diagnosis, outcome, treatment, medicine)
+    stays = visit_stays(rows, bed_allocation, split=("ward_id", "days_stayed"), visits=visit)
+    compact = stays.select(
         "visit_id",
         "visit_date",
         "doctor_id",
@@ -85,10 +83,8 @@ def treatment_groups(
     observed. ``treatment_cost`` repeats on every joined row of a visit, so it
     is weighted with the number of copies.
     """
-    stays = visit_stays(
-        visit.select("visit_id", "patient_id", "doctor_id", "visit_date"), bed_allocation
-    )
-    rows = _with_visit_facts(stays, diagnosis, outcome, treatment, medicine)
+    rows = _visit_rows(visit, diagnosis, outcome, treatment, medicine)
+    rows = visit_stays(rows, bed_allocation, visits=visit)
     copies, cost = F.col("copies"), F.col("treatment_cost")
 
     def cases_with(status: str):

@@ -15,6 +15,7 @@ from ..functions.dates import month_label, request_window
 from ..functions.numbers import MONEY, change_percentage, exact_ratio, or_zero, percentage, spend
 from ..operators.ordering import rank_rows
 from ..operators.skew import left_join_sliced, slices_for
+from ..sources.catalog import in_window
 from .warehouse import Warehouse
 
 MONTH = ["year_num", "month_num"]
@@ -304,8 +305,8 @@ def doctor_monthly_from_visits(
     first, last = request_window(date_from, date_to)
     day, status = F.col("visit_date"), F.col("status")
     totals = (
-        visit.select("visit_id", "doctor_id", "visit_date")
-        .filter(day.between(F.lit(first), F.lit(last)))
+        in_window(visit, "visit_date", first, last)
+        .select("visit_id", "doctor_id", "visit_date")
         .join(outcome.select("visit_id", "status"), "visit_id", "left")
         .groupBy("doctor_id", F.year(day).alias("year_num"), F.month(day).alias("month_num"))
         .agg(

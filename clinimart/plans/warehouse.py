@@ -56,12 +56,24 @@ class Warehouse:
     def load_rows(self) -> DataFrame:
         """All groups of the load with natural and surrogate keys; skipped
         groups carry their reason."""
+        return self._stored_rows().drop("load_id")
+
+    def _stored_rows(self) -> DataFrame:
         if not self.parts:
-            return self.spark.createDataFrame([], FACT_LOAD)
+            return self.spark.createDataFrame([], f"{FACT_LOAD}, load_id STRING")
         base = f"{self.base}/fact_load"
         folders = [f"{base}/load_id={p[0]}/load_status={p[1]}/year_num={p[2]}" for p in self.parts]
         rows = self.spark.read.schema(f"{FACT_LOAD}, load_id STRING").option("basePath", base)
-        return rows.parquet(*folders).drop("load_id")
+        return rows.parquet(*folders)
+
+    def partitions(self) -> DataFrame:
+        """Fact partitions with their rows, and whether this load wrote them or took
+        them over."""
+        return (
+            self._stored_rows()
+            .groupBy("load_status", "year_num", (F.col("load_id") == self.load_id).alias("rewritten"))
+            .agg(F.count("*").alias("fact_rows"))
+        )
 
     @property
     def skipped(self) -> DataFrame:

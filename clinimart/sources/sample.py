@@ -8,9 +8,12 @@ operational tables as it would in production.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import BUCKET_KEYS, bucket_count, read_bucketed, write_bucketed
 from .storage import new_folder, read_operational, write_operational
 
 
@@ -236,20 +239,33 @@ def with_days_stayed(allocations: DataFrame) -> DataFrame:
 
 
 class SampleTables:
-    """Operational tables of one sample folder, each written on first use."""
+    """Operational tables of one sample folder, each written on first use: in the
+    catalog where it has a bucket key, else as a folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.mapping = SampleMapping(spark, sf_dir)
         self.root = new_folder(spark, "operational")
-        self._written: set[str] = set()
+        self.database = "clinimart_" + self.root.rsplit("-", 1)[-1]
+        self._written: dict[str, str] = {}
+
+    @cached_property
+    def buckets(self) -> int:
+        return bucket_count(self.mapping.treatment().count())
 
     def path(self, table: str) -> str:
+        """Folder of a table, or its name in the catalog."""
         if table not in self._written:
-            write_operational(getattr(self.mapping, table)(), self.root, table)
-            self._written.add(table)
-        return f"{self.root}/{table}"
+            rows = getattr(self.mapping, table)()
+            if table in BUCKET_KEYS:
+                self._written[table] = write_bucketed(rows, self.root, self.database, table, self.buckets)
+            else:
+                write_operational(rows, self.root, table)
+                self._written[table] = f"{self.root}/{table}"
+        return self._written[table]
 
     def table(self, table: str, *columns: str) -> DataFrame:
-        self.path(table)
+        place = self.path(table)
+        if table in BUCKET_KEYS:
+            return read_bucketed(self.spark, place, list(columns) or None)
         return read_operational(self.spark, self.root, table, list(columns) or None)

@@ -13,6 +13,8 @@ import re
 SHORT_FROM, SHORT_TO = "1995-07-01", "2001-01-31"
 FALLBACK_FROM, FALLBACK_TO = "2001-03-01", "2001-03-31"
 FROM, TO = "1995-01-01", "2001-12-31"
+# Day of an earlier load, and a ward whose admissions from a day on were reported later.
+KNOWN_BEFORE, LATE_WARD, LATE_FROM = "2001-02-01", 3, "1999-06-01"
 WIN_FROM, WIN_TO = "1997-01-01", "1998-12-31"
 
 
@@ -158,6 +160,17 @@ SELECT visit_date, disease_code, doctor_id, ward_id, CAST(count(*) AS BIGINT) to
   CAST({ratio('sum(treatment_cost)', 'count(treatment_cost)')} AS DECIMAL(10,2)) avg_treatment_cost,
   CAST(sum(days_stayed) AS BIGINT) total_bed_days
 FROM raw_extract GROUP BY visit_date, disease_code, doctor_id, ward_id"""
+BLOCKS["touched_visits"] = f"""
+SELECT v.visit_date FROM visit v WHERE v.visit_date >= DATE '{KNOWN_BEFORE}'
+UNION ALL
+SELECT v.visit_date FROM visit v JOIN outcome o ON v.visit_id = o.visit_id
+WHERE o.outcome_date >= DATE '{KNOWN_BEFORE}'
+UNION ALL
+SELECT v.visit_date FROM visit v JOIN bed_allocation ba
+  ON v.patient_id = ba.patient_id AND ba.admit_date <= v.visit_date
+WHERE ba.admit_date >= DATE '{KNOWN_BEFORE}'
+  OR ba.admit_date + ba.days_stayed >= DATE '{KNOWN_BEFORE}'
+  OR (ba.ward_id = {LATE_WARD} AND ba.admit_date >= DATE '{LATE_FROM}')"""
 BLOCKS["fact"] = """
 SELECT CAST(year(visit_date) AS INT) year_num, CAST(month(visit_date) AS INT) month_num, *,
   CAST(coalesce(avg_treatment_cost, 0) * total_cases AS DECIMAL(18,2)) spend
@@ -477,6 +490,10 @@ def _queries() -> dict[str, str]:
         " ON v.patient_id = b.patient_id AND b.admit_date <= v.visit_date GROUP BY 1, 2, 3, 4",
         "raw_extract": "SELECT * FROM raw_extract",
         "fact_treatment": "SELECT * FROM fact_treatment",
+        "fact_refreshed": "SELECT * FROM fact_treatment",
+        "fact_refresh_partitions": "SELECT 'loaded' load_status, year_num, count(*) fact_rows,"
+        " year_num IN (SELECT year(visit_date) FROM touched_visits) rewritten"
+        " FROM fact GROUP BY year_num",
         "fact_date_semi": "SELECT visit_date, disease_code, doctor_id, ward_id, total_cases"
         f" FROM fact_groups WHERE visit_date BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}'",
         "fact_skipped_rows": "SELECT visit_date, disease_code, doctor_id, ward_id, total_cases,"

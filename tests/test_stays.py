@@ -8,20 +8,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinimart.operators import skew
-from clinimart.operators.stays import expand_copies, visit_stays
+from clinimart.operators.stays import expand_copies, stays_by_day, visit_stays
 
 VISITS = "visit_id BIGINT, patient_id INT, visit_date DATE"
 STAYS = "patient_id INT, ward_id INT, admit_date DATE, days_stayed INT"
 
 
-def make(seed: int, visits: int, stays: int):
+def make(seed: int, visits: int, stays: int, span: int = 20):
     rng, start = random.Random(seed), dt.date(2022, 1, 1)
 
     def patient():
         return 1 if rng.random() < 0.4 else rng.randrange(2, 12)
 
     def date():
-        return start + dt.timedelta(days=rng.randrange(20))
+        return start + dt.timedelta(days=rng.randrange(span))
 
     v = [(i, patient(), date()) for i in range(visits)]
     b = [(patient(), rng.randrange(3), date(), rng.choice([None, 2, 5, 20])) for _ in range(stays)]
@@ -35,9 +35,9 @@ def brute(v, b):
             yield visit_id, ward, days
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_compact_rows_hold_the_joined_rows(spark, seed):
-    v, b = make(seed, 150, 120)
+@pytest.mark.parametrize("seed,span", [(0, 20), (1, 20), (2, 3000), (3, 3000)])
+def test_compact_rows_hold_the_joined_rows(spark, seed, span):
+    v, b = make(seed, 150, 120, span)
     visits, stays = spark.createDataFrame(v, VISITS), spark.createDataFrame(b, STAYS)
     rows = expand_copies(visit_stays(visits, stays, ("ward_id", "days_stayed")))
     got = Counter((r.visit_id, r.ward_id, r.days_stayed) for r in rows.collect())
@@ -100,3 +100,30 @@ def test_slices_spread_one_key(spark, monkeypatch):
     rows = joined.collect()
     assert sizes.first().slices == 11
     assert sorted(r.id for r in rows) == list(range(1000)) and {r.label for r in rows} == {"x"}
+
+
+def test_long_history_is_joined_year_by_year(spark):
+    """One patient with every row: the stays are looked up under a key per year, and a
+    year's days meet only the intervals that reach into it."""
+    start = dt.date(1990, 1, 1)
+    v = [(i, 1, start + dt.timedelta(days=i)) for i in range(0, 9000, 3)]
+    b = [(1, k % 2, start + dt.timedelta(days=5 * k), 2) for k in range(1800)]
+    visits, stays = spark.createDataFrame(v, VISITS), spark.createDataFrame(b, STAYS)
+    found = visit_stays(visits, stays)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in plan and "year(" in plan
+    rows = found.groupBy("ward_id").agg(F.sum("copies").alias("n")).collect()
+    want = Counter()
+    for visit_id, _, day in v:
+        for ward in (0, 1):
+            want[ward] += sum(1 for _, w, admitted, _ in b if w == ward and admitted <= day)
+        if day < b[0][2]:
+            want[None] += 1
+    assert {r.ward_id: r.n for r in rows if r.ward_id is not None} == {0: want[0], 1: want[1]}
+    by_day = stays_by_day(visits.select("patient_id", "visit_date").distinct(), stays)
+    assert by_day.count() == sum(len({w for _, w, a, _ in b if a <= day}) for _, _, day in v)
+
+
+def test_no_days(spark):
+    none = spark.createDataFrame([], VISITS)
+    assert visit_stays(none, spark.createDataFrame([(1, 1, dt.date(2020, 1, 1), 2)], STAYS)).count() == 0
