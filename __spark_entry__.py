@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle  # noqa: E402
-from clinimart.functions.dates import month_labels  # noqa: E402
 from clinimart.functions.text import slug  # noqa: E402
 from clinimart.operators import admission, quality, tables  # noqa: E402
 from clinimart.operators.stays import visit_stays  # noqa: E402
 from clinimart.plans import changes, fact, reports, summaries  # noqa: E402
 from clinimart.plans.warehouse import Warehouse, refresh  # noqa: E402
-from clinimart.schemas import WAREHOUSE, WAREHOUSE_KEYS  # noqa: E402
+from clinimart.schemas import PRIMARY_KEYS, WAREHOUSE, WAREHOUSE_KEYS  # noqa: E402
 from clinimart.sources.sample import (  # noqa: E402
     SampleTables,
     with_days_stayed,
@@ -158,13 +157,9 @@ def _dedup_append(s: Site) -> DataFrame:
 
 
 def _duplicate_keys(s: Site) -> DataFrame:
-    lines = quality.duplicates_of(
-        s.table("treatment"), "treatment", ["visit_id", "medicine_id", "duration_days"]
-    )
-    found = quality.duplicate_keys(s.table).unionByName(lines)
-    for name, key in WAREHOUSE_KEYS.items():
-        found = found.unionByName(quality.duplicates_of(s.any_table(name), name, key))
-    return found
+    keys = {name: [key] for name, key in PRIMARY_KEYS.items()}
+    keys["treatment"] = [["visit_id", "medicine_id", "duration_days"]]
+    return quality.duplicate_keys(s.any_table, keys | WAREHOUSE_KEYS)
 
 
 def _alert_stream(s: Site) -> DataFrame:
@@ -206,10 +201,37 @@ def _doctor_fallback(s: Site, wh: Warehouse, date_from: str, date_to: str) -> Da
     )
 
 
-def _table_sort(s: Site) -> DataFrame:
+def _disease_rows(s: Site) -> DataFrame:
     rows = summaries.disease_totals(s.report("disease_resources"))
-    rows = rows.select("disease_name", "total_cases")
-    return tables.sort_table(rows, "disease_name")
+    return rows.select("disease_name", "total_cases", "total_bed_days")
+
+
+def _table_sort(s: Site) -> DataFrame:
+    return tables.sort_table(_disease_rows(s).drop("total_bed_days"), "disease_name")
+
+
+def _sorted(table: str, column: str, **how) -> Callable[[Site], DataFrame]:
+    """A sorted table with positions; equal rows stay in the order of their entity."""
+
+    def build(s: Site) -> DataFrame:
+        if table == "diseases":
+            return tables.sorted_table(_disease_rows(s), column, then=["disease_name"], **how)
+        rows = s.report("doctor_ranking").select("doctor_id", "specialization", "recovery_rate_pct")
+        labelled = rows.withColumn("doctor_label", F.concat(F.lit("Dr "), F.col("doctor_id").cast("string")))
+        return tables.sorted_table(labelled, column, then=["doctor_id"], **how)
+
+    return build
+
+
+def _ordered(report: str, *order: str) -> Callable[[Site], DataFrame]:
+    """A stored report with the place of each row in the report's order."""
+
+    def build(s: Site) -> DataFrame:
+        columns = [F.col(o.removesuffix(" desc")) for o in order]
+        columns = [c.desc() if o.endswith(" desc") else c for c, o in zip(columns, order, strict=True)]
+        return tables.with_position(s.report(report), columns)
+
+    return build
 
 
 QUERIES: dict[str, Callable[[Site], DataFrame]] = {
@@ -314,8 +336,7 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "ward_summary": lambda s: summaries.ward_summary(s.report("ward_utilization")),
     "ward_heatmap": lambda s: summaries.ward_heatmap(s.report("ward_utilization")),
     "ward_heatmap_matrix": lambda s: summaries.ward_heatmap_matrix(
-        summaries.ward_heatmap(s.report("ward_utilization")),
-        month_labels(oracle.FROM, oracle.TO),
+        summaries.ward_heatmap(s.report("ward_utilization"))
     ),
     "ward_kpis": lambda s: summaries.ward_kpis(s.report("ward_utilization")),
     "readmitted_by_month": lambda s: summaries.readmitted_by_month(
@@ -356,6 +377,22 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
         ["doctor_id", "specialization", "department", "total_cases", "recovery_rate_pct"],
     ),
     "table_sort": _table_sort,
+    "table_sort_number": _sorted("diseases", "total_cases"),
+    "table_sort_number_descending": _sorted("doctors", "recovery_rate_pct", descending=True),
+    "table_sort_natural": _sorted("diseases", "disease_name"),
+    "table_sort_natural_descending": _sorted("doctors", "doctor_label", descending=True),
+    "table_sort_plain": _sorted("diseases", "disease_name", natural=False),
+    "table_sort_plain_descending": _sorted("doctors", "specialization", descending=True, natural=False),
+    "disease_resources_order": _ordered(
+        "disease_resources", "year_num", "month_num", "total_treatment_spend desc", "disease_name"
+    ),
+    "doctor_ranking_order": _ordered("doctor_ranking", "performance_rank", "doctor_id"),
+    "ward_utilization_order": _ordered(
+        "ward_utilization", "year_num", "month_num", "utilization_pct desc", "ward_id"
+    ),
+    "readmission_monthly_order": _ordered(
+        "readmission_monthly", "year_num", "month_num", "readmission_rate_pct desc", "disease_name"
+    ),
     "display_table": _display_wards,
     "display_money": _display_money,
     # quality
@@ -363,6 +400,7 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "dq_orphans": lambda s: quality.orphans(s.table),
     "dq_warehouse_orphans": lambda s: quality.warehouse_orphans(s.any_table),
     "dq_nulls": lambda s: quality.null_violations(s.table, oracle.NULL_TABLES),
+    "dq_warehouse_nulls": lambda s: quality.null_violations(s.any_table, list(WAREHOUSE)),
     "dq_domains": lambda s: quality.domain_violations(s.table),
     "dq_row_counts": lambda s: quality.row_counts(
         s.any_table, [*oracle.NULL_TABLES, *WAREHOUSE]

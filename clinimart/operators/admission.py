@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import or_zero
-from .ordering import id_bucket, number_rows
+from .ordering import number_in_order
 
 # Messages of a rejected request.
 WARD_FULL = "Ward is at full capacity. Cannot admit patient."
@@ -36,15 +36,11 @@ def admission_decisions(
 
     A request is accepted while the ward's occupancy plus its place in the queue
     stays within capacity; this is what one call after the other would decide,
-    as a full ward stays full within the batch. Queues are numbered day by day
-    and in ranges of request ids, so a crowded ward is not sorted in one task.
+    as a full ward stays full within the batch. Queues are numbered over ranges of
+    (ward, day, request), so a crowded ward is neither sorted nor listed in one task.
     """
-    queued = number_rows(
-        requests,
-        order=["request_id"],
-        buckets={"_day": F.col("request_date"), "_range": id_bucket("request_id")},
-        into="queue_position",
-        within=["ward_id"],
+    queued = number_in_order(
+        requests, ["request_date", "request_id"], "queue_position", within=["ward_id"]
     )
     wards = ward_occupancy(ward, bed_allocation).select("ward_id", "capacity", "current_occupancy")
     fits = F.col("current_occupancy") + F.col("queue_position") <= F.col("capacity")
@@ -58,9 +54,8 @@ def admission_decisions(
 
 def _numbered(accepted: DataFrame, after: DataFrame, key: str) -> DataFrame:
     last = after.agg(or_zero(F.max(key)).alias("last")).scalar()
-    return number_rows(
-        accepted, ["request_id"], {"_range": id_bucket("request_id")}, "_number"
-    ).withColumn(key, F.col("_number") + last)
+    numbered = number_in_order(accepted, ["request_id"], "_number")
+    return numbered.withColumn(key, F.col("_number") + last)
 
 
 def admitted_visits(decisions: DataFrame, visit: DataFrame) -> DataFrame:

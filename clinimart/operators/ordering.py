@@ -23,48 +23,6 @@ from ..sources.storage import written_once
 
 _PLACE_BITS = 33
 
-# Rows of a unique integer key that can fall in one bucket of ``id_bucket``.
-BUCKET_WIDTH = 1_000_000
-
-
-def id_bucket(key: str) -> Column:
-    """Order-preserving bucket of an integer key; a unique key puts at most
-    ``BUCKET_WIDTH`` rows in one bucket."""
-    return F.call_function("div", F.col(key), F.lit(BUCKET_WIDTH))
-
-
-def number_rows(
-    df: DataFrame,
-    order: Sequence[str],
-    buckets: dict[str, Column],
-    into: str,
-    within: Sequence[str] = (),
-) -> DataFrame:
-    """Number rows from 1 in ``order``, separately for each ``within`` key.
-
-    ``buckets`` must be ordered consistently with ``order``: sorting by the
-    buckets and then by ``order`` inside each bucket equals sorting by ``order``.
-    Keys must not be NULL.
-    """
-    marked = df.withColumns(buckets)
-    keys = [*within, *buckets]
-    earlier = (
-        Window.partitionBy(*within)
-        .orderBy(*buckets)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        marked.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        marked.join(offsets, keys)
-        .withColumn(into, F.col("_before") + F.row_number().over(inside))
-        .drop("_before", *buckets)
-    )
-
 
 def rank_rows(df: DataFrame, order: Sequence[tuple[str, str]], into: str) -> DataFrame:
     """SQL ``RANK()`` over ``order``, a list of (column, "asc" or "desc").

@@ -1,8 +1,8 @@
 """Declared constraints as checks, and load reconciliation.
 
 Every check gives one row per rule with the number of rows looked at and the
-number that break it, also when none does. All rules of a table that look at
-single rows are counted in one pass over it.
+number that break it, also when none does. All rules of a table are counted in
+one pass over it, keys and references included.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_label
+from ..functions.numbers import or_zero
 from ..schemas import (
     DOMAIN_RULES,
     FOREIGN_KEYS,
@@ -48,7 +49,8 @@ def _count_rules(df: DataFrame, table: str, rules: list[tuple[str, Column]]) ->
 
 
 def null_violations(tables: Tables, names: Sequence[str]) -> DataFrame:
-    """Missing values in required columns."""
+    """Missing values in required columns of operational or warehouse tables, all
+    columns of a table in one pass."""
     parts = []
     for table in names:
         rules = [(c, F.col(c).isNull()) for c in required_columns(table)]
@@ -66,55 +68,85 @@ def domain_violations(tables: Tables) -> DataFrame:
     return _union([_count_rules(tables(table), table, checks) for table, checks in rules.items()])
 
 
-def duplicate_keys(tables: Tables, names: Sequence[str] | None = None) -> DataFrame:
-    """Keys that occur more than once, and the rows beyond the first of each."""
+def _key_text(columns: Sequence[str]) -> Column:
+    """A key as text, one text per key: each part with its length, NULL as ``-``."""
     parts = []
-    for table in names or PRIMARY_KEYS:
-        parts.append(duplicates_of(tables(table), table, PRIMARY_KEYS[table]))
-    return _union(parts)
+    for column in columns:
+        text = F.col(column).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(*parts)
 
 
-def duplicates_of(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
-    return (
-        df.groupBy(*key)
-        .agg(F.count("*").alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("checked_rows"),
-            F.count_if(F.col("n") > 1).alias("duplicate_keys"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"),
-        )
-        .select(
-            F.lit(table).alias("table_name"),
-            F.lit(", ".join(key)).alias("key_columns"),
-            "checked_rows",
-            "duplicate_keys",
-            "surplus_rows",
-        )
+def _rules(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
+    """The list of rules as rows, so that a rule without data is reported too."""
+    return spark.createDataFrame(list(rows), columns)
+
+
+def duplicate_keys(
+    tables: Tables, keys: dict[str, Sequence[Sequence[str]]] | None = None
+) -> DataFrame:
+    """Keys that occur more than once, and the rows beyond the first of each.
+
+    ``keys`` lists the keys of each table. A table is scanned once for all its keys:
+    every row gives one (rule, key) pair per key, pairs are counted before and after one
+    shuffle that all tables share, and the counts are summed per rule."""
+    keys = keys or {table: [key] for table, key in PRIMARY_KEYS.items()}
+    names = [(table, ", ".join(key)) for table, own in keys.items() for key in own]
+    pairs = []
+    for table, own in keys.items():
+        entries = [
+            F.struct(F.lit(", ".join(key)).alias("key_columns"), _key_text(key).alias("key")) for key in own
+        ]
+        rows = tables(table).select(F.explode(F.array(*entries)).alias("k"))
+        pairs.append(rows.select(F.lit(table).alias("table_name"), "k.key_columns", "k.key"))
+    counts = _union(pairs).groupBy("table_name", "key_columns", "key").agg(F.count("*").alias("n"))
+    found = counts.groupBy("table_name", "key_columns").agg(
+        F.sum("n").alias("checked_rows"),
+        F.count_if(F.col("n") > 1).alias("duplicate_keys"),
+        F.sum(F.col("n") - 1).alias("surplus_rows"),
+    )
+    rules = _rules(found.sparkSession, names, "table_name string, key_columns string")
+    counted = ["checked_rows", "duplicate_keys", "surplus_rows"]
+    return rules.join(found, ["table_name", "key_columns"], "left").select(
+        "table_name", "key_columns", *[or_zero(F.col(c)).alias(c) for c in counted]
     )
 
 
 def orphans(tables: Tables, keys: Sequence[tuple[str, str, str, str]] = FOREIGN_KEYS) -> DataFrame:
-    """Foreign keys without a parent; NULL keys refer to nothing and pass. The
-    child is reduced to its distinct keys with counts before the join."""
-    parts = []
-    for child, column, parent, parent_column in keys:
-        values = (
-            tables(child)
-            .filter(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("value"))
-            .agg(F.count("*").alias("n"))
-        )
-        known = tables(parent).select(F.col(parent_column).alias("value"))
-        parts.append(
-            values.join(known, "value", "left_anti").agg(
-                F.lit(child).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                F.lit(parent).alias("parent_table"),
-                F.count("*").alias("orphan_keys"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"),
-            )
-        )
-    return _union(parts)
+    """Foreign keys without a parent; NULL keys refer to nothing and pass.
+
+    A child table is scanned once for all its foreign keys, a parent once for all that
+    refer to it: rows become (rule, value) pairs, children's pairs are counted before
+    and after one shuffle, and one join with the parents' pairs answers all rules."""
+    rules = [(i, child, column, parent) for i, (child, column, parent, _) in enumerate(keys)]
+
+    def pairs(table: str, columns: list[tuple[int, str]]) -> DataFrame:
+        entries = [
+            F.struct(F.lit(i).alias("rule"), F.col(c).cast("string").alias("value")) for i, c in columns
+        ]
+        rows = tables(table).select(F.explode(F.array(*entries)).alias("p")).select("p.*")
+        return rows.filter("value is not null")
+
+    children: dict[str, list[tuple[int, str]]] = {}
+    parents: dict[str, list[tuple[int, str]]] = {}
+    for i, (child, column, parent, parent_column) in enumerate(keys):
+        children.setdefault(child, []).append((i, column))
+        parents.setdefault(parent, []).append((i, parent_column))
+    used = _union([pairs(table, columns) for table, columns in children.items()])
+    used = used.groupBy("rule", "value").agg(F.count("*").alias("n"))
+    known = _union([pairs(table, columns) for table, columns in parents.items()])
+    lost = (
+        used.join(known, ["rule", "value"], "left_anti")
+        .groupBy("rule")
+        .agg(F.count("*").alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
+    )
+    names = _rules(
+        lost.sparkSession, rules, "rule int, table_name string, column_name string, parent_table string"
+    )
+    return names.join(lost, "rule", "left").select(
+        "table_name", "column_name", "parent_table",
+        *[or_zero(F.col(c)).alias(c) for c in ("orphan_keys", "orphan_rows")],
+    )
 
 
 def warehouse_orphans(tables: Tables) -> DataFrame:

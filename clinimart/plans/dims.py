@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import experience_band
 from ..functions.dates import as_date, date_id
-from ..operators.ordering import id_bucket, number_rows
+from ..operators.ordering import number_in_order
 from ..schemas import OUTCOME_LABELS
 
 
@@ -37,7 +37,6 @@ def dim_date(spark: SparkSession, start: str | dt.date, end: str | dt.date) -> D
 def with_surrogate(
     members: DataFrame,
     natural_key: str,
-    bucket: Column,
     surrogate: str,
     previous: DataFrame | None = None,
     kind: str = "int",
@@ -51,7 +50,7 @@ def with_surrogate(
     attributes = [c for c in members.columns if c != natural_key]
     order = [surrogate, natural_key, *attributes]
     if previous is None:
-        numbered = number_rows(members, [natural_key], {"_bucket": bucket}, surrogate)
+        numbered = number_in_order(members, [natural_key], surrogate)
         return numbered.withColumn(surrogate, F.col(surrogate).cast(kind)).select(*order)
     known = previous.select(*order).alias("p").join(
         members.withColumn("_present", F.lit(True)).alias("m"), natural_key, "left"
@@ -66,7 +65,7 @@ def with_surrogate(
     )
     fresh = members.join(previous.select(natural_key), natural_key, "left_anti")
     last = previous.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("last")).scalar()
-    added = number_rows(fresh, [natural_key], {"_bucket": bucket}, surrogate).withColumn(
+    added = number_in_order(fresh, [natural_key], surrogate).withColumn(
         surrogate, (F.col(surrogate) + last).cast(kind)
     )
     return kept.unionByName(added.select(*order))
@@ -74,8 +73,7 @@ def with_surrogate(
 
 def dim_disease(disease: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     members = disease.select("disease_code", "disease_name", "category", "severity_tier")
-    # A code list is small whatever the size of the fact, so one bucket orders it.
-    return with_surrogate(members, "disease_code", F.lit(0), "disease_sk", previous)
+    return with_surrogate(members, "disease_code", "disease_sk", previous)
 
 
 def dim_doctor(doctor: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -85,12 +83,12 @@ def dim_doctor(doctor: DataFrame, previous: DataFrame | None = None) -> DataFram
         experience_band(F.col("experience_years")).alias("experience_band"),
         "department",
     )
-    return with_surrogate(members, "doctor_id", id_bucket("doctor_id"), "doctor_sk", previous, "bigint")
+    return with_surrogate(members, "doctor_id", "doctor_sk", previous, "bigint")
 
 
 def dim_ward(ward: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     members = ward.select("ward_id", "ward_name", "ward_type", "capacity")
-    return with_surrogate(members, "ward_id", id_bucket("ward_id"), "ward_sk", previous)
+    return with_surrogate(members, "ward_id", "ward_sk", previous)
 
 
 def dim_outcome(spark: SparkSession) -> DataFrame:

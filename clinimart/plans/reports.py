@@ -16,6 +16,7 @@ from ..functions.numbers import MONEY, change_percentage, exact_ratio, or_zero,
 from ..operators.ordering import rank_rows
 from ..operators.skew import left_join_sliced, slices_for
 from ..sources.catalog import in_window
+from ..sources.storage import written_once
 from .warehouse import Warehouse
 
 MONTH = ["year_num", "month_num"]
@@ -97,8 +98,8 @@ def disease_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
 def doctor_ranking(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
     """Doctors with enough cases, ranked by recovery, then low readmission,
     then volume. Rates are rounded before they are ranked. Ranking reads the
-    scores several times; the plan reuses their exchange, so the fact is summed
-    once, and nothing runs before the report does."""
+    scores, one row per doctor, several times; they are written first, so the fact
+    is scanned and summed once."""
     fact = _with_spend(wh.fact_between(date_from, date_to))
     totals = _by_doctor(wh, fact, [], [*CASES, "spend"])
     scored = (
@@ -106,6 +107,7 @@ def doctor_ranking(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
         .withColumn("weighted_avg_treatment_cost", exact_ratio("spend", "total_cases"))
         .drop("spend")
     )
+    scored = written_once(scored, "scores")
     order = [("recovery_rate_pct", "desc"), ("readmission_rate_pct", "asc"), ("total_cases", "desc")]
     return (
         rank_rows(scored, order, "performance_rank")

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import readmission_severity, utilization_band
 from ..functions.dates import month_label
-from ..functions.numbers import MONEY, RATE, exact_ratio, or_zero, percentage
+from ..functions.numbers import MONEY, exact_ratio, or_zero, percentage
 
+# A rate that may have been worked out here and is not rounded.
+EXACT_RATE = "decimal(28,10)"
+# Label of a missing name, columns of the disease table, list lengths.
 UNKNOWN_DISEASE = "Unknown Disease"
 DISEASE_COLUMNS = ["disease_name", "total_treatment_spend", "total_cases", "total_bed_days"]
 DEFAULT_DISEASE_COLUMNS = DISEASE_COLUMNS[:3]
@@ -255,10 +258,14 @@ def ward_heatmap(utilization: DataFrame, ward_type: str | None = None, band: str
     )
 
 
-def ward_heatmap_matrix(cells: DataFrame, months: Sequence[str]) -> DataFrame:
-    """Wards by months. The month list is given (from the calendar), which
-    fixes the columns and saves a job that would look for them; a cell without
-    data is NULL."""
+def months_of(cells: DataFrame) -> list[str]:
+    """Months that occur, in order: at most those of the calendar."""
+    return sorted(r[0] for r in cells.select("month_label").distinct().collect())
+
+
+def ward_heatmap_matrix(cells: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
+    """Wards by the months that occur, or by those named; a cell without data is NULL."""
+    months = months_of(cells) if months is None else months
     return (
         cells.groupBy("ward_id", "ward_name")
         .pivot("month_label", list(months))
@@ -277,14 +284,16 @@ def ward_kpis(utilization: DataFrame, ward_type: str | None = None, band: str |
         F.count("*").alias("n"),
         F.max_by("capacity", "month_label").alias("capacity"),
         F.sum("month_occupied_bed_days").alias("bed_days"),
+        F.min(F.struct("month_label", -rate, F.col("ward_id"))).alias("first"),
     )
     mean = exact_ratio("rates", "n")
     exact_mean = F.col("rates").cast("decimal(24,2)") / F.col("n").cast("decimal(12,0)")
     ward = F.struct(F.col("ward_name"), mean.alias("mean"))
+    # equal wards: the one that comes first in the rows of the utilization report
     return per_ward.agg(
         exact_ratio("sum(rates)", "sum(n)").alias("avg_utilization_pct"),
-        F.min_by(ward, F.struct(-exact_mean, F.col("ward_name"))).alias("most"),
-        F.min_by(ward, F.struct(exact_mean, F.col("ward_name"))).alias("least"),
+        F.min_by(ward, F.struct(-exact_mean, F.col("first"))).alias("most"),
+        F.min_by(ward, F.struct(exact_mean, F.col("first"))).alias("least"),
         F.sum(F.col("capacity").cast("bigint")).alias("total_capacity_beds"),
         F.sum("bed_days").alias("total_used_bed_days"),
     ).select(
@@ -302,10 +311,12 @@ def ward_kpis(utilization: DataFrame, ward_type: str | None = None, band: str |
 
 
 def _stored_or_derived(rate: str, part: str) -> Column:
-    """A missing rate is worked out from the counts; no cases give zero."""
-    return F.coalesce(
-        F.col(rate), percentage(part, "total_cases"), F.lit(0).cast(RATE)
-    )
+    """A missing rate is worked out from the counts; no cases give zero. It is not
+    rounded, as its band is that of the exact rate: it is cut after ten decimals, which
+    keeps it on its side of every bound."""
+    exact = f"(CAST(100 * {part} AS DECIMAL(28,0)) * 10000000000) div nullif(total_cases, 0)"
+    derived = F.expr(f"CAST({exact} AS DECIMAL(28,0)) * 0.0000000001BD").cast(EXACT_RATE)
+    return F.coalesce(F.col(rate).cast(EXACT_RATE), derived, F.lit(0).cast(EXACT_RATE))
 
 
 def readmission_months(monthly: DataFrame) -> DataFrame:

@@ -82,13 +82,14 @@ PRIMARY_KEYS = {
     "allocation_change": ["allocation_id", "change_seq"],
 }
 
+# Surrogate and natural keys.
 WAREHOUSE_KEYS = {
-    "dim_date": ["date_id"],
-    "dim_disease": ["disease_sk"],
-    "dim_doctor": ["doctor_sk"],
-    "dim_ward": ["ward_sk"],
-    "dim_outcome": ["outcome_sk"],
-    "fact_treatment": ["fact_id"],
+    "dim_date": [["date_id"], ["full_date"]],
+    "dim_disease": [["disease_sk"], ["disease_code"]],
+    "dim_doctor": [["doctor_sk"], ["doctor_id"]],
+    "dim_ward": [["ward_sk"], ["ward_id"]],
+    "dim_outcome": [["outcome_sk"], ["outcome_label"]],
+    "fact_treatment": [["fact_id"], ["date_id", "disease_sk", "doctor_sk", "ward_sk"]],
 }
 
 # child table, child column, parent table, parent column
@@ -147,4 +148,5 @@ def operational_schema(table: str) -> StructType:
 
 
 def required_columns(table: str) -> list[str]:
-    return [f.name for f in operational_schema(table).fields if not f.nullable]
+    schema = StructType.fromDDL({**OPERATIONAL, **WAREHOUSE}[table])
+    return [f.name for f in schema.fields if not f.nullable]

@@ -318,76 +318,129 @@ def _union_checks(rows: list[str]) -> str:
     return "\nUNION ALL\n".join(rows)
 
 
-def _nulls() -> str:
-    from clinimart.schemas import OPERATIONAL
-
-    rows = []
-    for table in NULL_TABLES:
-        for column in re.findall(r"(\w+) [A-Z]+(?:\(\d+,\d+\))? NOT NULL", OPERATIONAL[table]):
-            rows.append(
-                f"SELECT '{table}' table_name, '{column}' rule_name, count(*) checked_rows,"
-                f" count(*) FILTER ({column} IS NULL) violations FROM {table}"
-            )
-    return _union_checks(rows)
+# The rules of the system, stated here once more: nothing is taken from the library, so
+# that a rule which is missing or wrong there shows.
+REQUIRED = {
+    "patient": "patient_id age_group gender",
+    "doctor": "doctor_id specialization experience_years",
+    "disease": "disease_code disease_name category severity_tier",
+    "medicine": "medicine_id medicine_name unit_cost",
+    "ward": "ward_id ward_name ward_type capacity",
+    "visit": "visit_id patient_id doctor_id visit_date visit_type",
+    "diagnosis": "visit_id disease_code severity",
+    "treatment": "visit_id medicine_id dosage_mg duration_days",
+    "bed_allocation": "allocation_id patient_id ward_id admit_date",
+    "outcome": "visit_id status outcome_date",
+    "admission_request": "request_id patient_id doctor_id ward_id visit_type request_date",
+}
+REQUIRED_IN_WAREHOUSE = {
+    "dim_date": "date_id full_date",
+    "dim_disease": "disease_sk disease_code",
+    "dim_doctor": "doctor_sk doctor_id",
+    "dim_ward": "ward_sk ward_id",
+    "dim_outcome": "outcome_sk outcome_label",
+    "fact_treatment": "fact_id date_id disease_sk doctor_sk total_cases recovered_cases readmitted_cases",
+}
+DOMAINS = [
+    ("patient", "gender", "gender IN ('M', 'F', 'O')"),
+    ("doctor", "experience_years", "experience_years >= 0"),
+    ("disease", "severity_tier", "severity_tier IN ('Low', 'Moderate', 'High', 'Critical')"),
+    ("medicine", "unit_cost", "unit_cost >= 0"),
+    ("ward", "capacity", "capacity > 0"),
+    ("visit", "visit_type", "visit_type IN ('OPD', 'IPD', 'Emergency')"),
+    ("diagnosis", "severity", "severity IN ('Mild', 'Moderate', 'Severe')"),
+    ("treatment", "duration_days", "duration_days > 0"),
+    ("outcome", "status", "status IN ('Recovered', 'Improved', 'Readmitted', 'Deceased')"),
+]
+LENGTHS = {
+    "patient": "age_group 20 gender 1 blood_group 5 city 50",
+    "doctor": "specialization 80 department 60",
+    "disease": "disease_code 10 disease_name 100 category 60",
+    "medicine": "medicine_name 100 medicine_type 50",
+    "ward": "ward_name 60 ward_type 40",
+}
+KEYS = [
+    ("patient", "patient_id"), ("doctor", "doctor_id"), ("disease", "disease_code"),
+    ("medicine", "medicine_id"), ("ward", "ward_id"), ("visit", "visit_id"),
+    ("diagnosis", "visit_id, disease_code"), ("bed_allocation", "allocation_id"),
+    ("outcome", "visit_id"), ("admission_request", "request_id"),
+    ("allocation_change", "allocation_id, change_seq"),
+    ("treatment", "visit_id, medicine_id, duration_days"),
+    ("dim_date", "date_id"), ("dim_date", "full_date"),
+    ("dim_disease", "disease_sk"), ("dim_disease", "disease_code"),
+    ("dim_doctor", "doctor_sk"), ("dim_doctor", "doctor_id"),
+    ("dim_ward", "ward_sk"), ("dim_ward", "ward_id"),
+    ("dim_outcome", "outcome_sk"), ("dim_outcome", "outcome_label"),
+    ("fact_treatment", "date_id, disease_sk, doctor_sk, ward_sk"),
+]
+REFERENCES = [
+    ("visit", "patient_id", "patient"), ("visit", "doctor_id", "doctor"),
+    ("diagnosis", "visit_id", "visit"), ("diagnosis", "disease_code", "disease"),
+    ("treatment", "visit_id", "visit"), ("treatment", "medicine_id", "medicine"),
+    ("bed_allocation", "patient_id", "patient"), ("bed_allocation", "ward_id", "ward"),
+    ("outcome", "visit_id", "visit"), ("admission_request", "ward_id", "ward"),
+]
+WAREHOUSE_REFERENCES = [
+    ("fact_treatment", "date_id", "dim_date"), ("fact_treatment", "disease_sk", "dim_disease"),
+    ("fact_treatment", "doctor_sk", "dim_doctor"), ("fact_treatment", "ward_sk", "dim_ward"),
+    ("fact_treatment", "outcome_sk", "dim_outcome"),
+]
 
 
-def _domains() -> str:
-    from clinimart.schemas import DOMAIN_RULES, LENGTH_RULES
+def _nulls(required: dict[str, str]) -> str:
+    # the fact's identifier is a hash of its grain and not made here; it is never NULL
+    return _union_checks(
+        [
+            f"SELECT '{table}' table_name, '{column}' rule_name, count(*) checked_rows,"
+            f" count(*) FILTER ({'false' if column == 'fact_id' else f'{column} IS NULL'}) violations FROM {table}"
+            for table, columns in required.items()
+            for column in columns.split()
+        ]
+    )
+
 
+def _domains() -> str:
     rows = [
         f"SELECT '{t}' table_name, '{c} domain' rule_name, count(*) checked_rows,"
         f" count(*) FILTER (NOT ({rule})) violations FROM {t}"
-        for t, c, rule in DOMAIN_RULES
-    ] + [
-        f"SELECT '{t}' table_name, '{c} length' rule_name, count(*) checked_rows,"
-        f" count(*) FILTER (length({c}) > {n}) violations FROM {t}"
-        for t, c, n in LENGTH_RULES
+        for t, c, rule in DOMAINS
     ]
+    for table, limits in LENGTHS.items():
+        parts = limits.split()
+        rows += [
+            f"SELECT '{table}' table_name, '{c} length' rule_name, count(*) checked_rows,"
+            f" count(*) FILTER (length({c}) > {n}) violations FROM {table}"
+            for c, n in zip(parts[::2], parts[1::2], strict=True)
+        ]
     return _union_checks(rows)
 
 
 def _duplicates() -> str:
-    from clinimart.schemas import PRIMARY_KEYS
-
-    keys = {**PRIMARY_KEYS, "treatment": ["visit_id", "medicine_id", "duration_days"]}
-    keys |= {
-        "dim_date": ["date_id"], "dim_disease": ["disease_sk"], "dim_doctor": ["doctor_sk"],
-        "dim_ward": ["ward_sk"], "dim_outcome": ["outcome_sk"],
-    }
-    grain = "visit_date, disease_code, doctor_id, ward_id"
-    fact = (
-        "SELECT 'fact_treatment' table_name, 'fact_id' key_columns, CAST(sum(n) AS BIGINT) checked_rows,"
-        " count(*) FILTER (n > 1) duplicate_keys, CAST(sum(n - 1) AS BIGINT) surplus_rows"
-        f" FROM (SELECT count(*) n FROM fact GROUP BY {grain})"
-    )
+    def one(table: str, shown: str, key: str) -> str:
+        return (
+            f"SELECT '{table}' table_name, '{shown}' key_columns, CAST(sum(n) AS BIGINT) checked_rows,"
+            " count(*) FILTER (n > 1) duplicate_keys, CAST(sum(n - 1) AS BIGINT) surplus_rows"
+            f" FROM (SELECT count(*) n FROM {table} GROUP BY {key})"
+        )
+
+    grain = "date_id, disease_sk, doctor_sk, ward_sk"
     return _union_checks(
-        [fact]
-        + [
-            f"SELECT '{t}' table_name, '{', '.join(k)}' key_columns,"
-            " CAST(sum(n) AS BIGINT) checked_rows, count(*) FILTER (n > 1) duplicate_keys,"
-            " CAST(sum(n - 1) AS BIGINT) surplus_rows"
-            f" FROM (SELECT count(*) n FROM {t} GROUP BY {', '.join(k)})"
-            for t, k in keys.items()
-        ]
+        [one("fact_treatment", "fact_id", grain), *[one(table, key, key) for table, key in KEYS]]
     )
 
 
-def _orphans(keys: list[tuple[str, str, str, str]], tables: dict[str, str]) -> str:
+def _orphans(references: list[tuple[str, str, str]]) -> str:
     return _union_checks(
         [
             f"SELECT '{child}' table_name, '{column}' column_name, '{parent}' parent_table,"
             f" count(DISTINCT {column}) orphan_keys, count(*) orphan_rows"
-            f" FROM {tables.get(child, child)} WHERE {column} IS NOT NULL AND {column} NOT IN"
-            f" (SELECT {parent_column} FROM {parent})"
-            for child, column, parent, parent_column in keys
+            f" FROM {child} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {column} FROM {parent})"
+            for child, column, parent in references
         ]
     )
 
 
-NULL_TABLES = [
-    "patient", "doctor", "disease", "medicine", "ward", "visit", "diagnosis", "treatment",
-    "bed_allocation", "outcome", "admission_request",
-]
+NULL_TABLES = list(REQUIRED)
 BLOCKS["fact_treatment"] = """
 SELECT CAST(strftime(visit_date, '%Y%m%d') AS INT) date_id, disease_sk, doctor_sk, ward_sk,
   CAST(NULL AS INT) outcome_sk, total_cases, recovered_cases, readmitted_cases,
@@ -406,13 +459,20 @@ _NATURAL = (
 )
 
 
-def _matrix() -> str:
-    months = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
-    cells = ", ".join(
-        f"max(CASE WHEN month_label = '{m}' THEN utilization_pct END) \"{m}\""
-        for m in months
-    )
-    return f"SELECT ward_id, ward_name, {cells} FROM ward_months GROUP BY ward_id, ward_name"
+def _natural(column: str) -> str:
+    return _NATURAL.replace("{c}", f"CAST({column} AS VARCHAR)")
+
+
+def _sorted(rows: str, order: str) -> str:
+    """Rows with their place in an order."""
+    return f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position FROM ({rows})"
+
+
+_DOCTOR_ROWS = (
+    "SELECT doctor_id, specialization, recovery_rate_pct, concat('Dr ', CAST(doctor_id AS VARCHAR))"
+    " doctor_label FROM doctor_ranking"
+)
+_DISEASE_ROWS = "SELECT disease_name, total_cases, total_bed_days FROM disease_totals"
 
 
 def _search(table: str, columns: list[str], text: str) -> str:
@@ -446,11 +506,10 @@ def _readmission_kpis(rows: str) -> str:
 _BEST = "recovery_rate_pct DESC, readmission_rate_pct ASC, total_cases DESC"
 _WORST = "recovery_rate_pct ASC, readmission_rate_pct DESC, total_cases DESC"
 _TXT = "CAST({} AS VARCHAR)"
+_EXACT = ", ".join(f"CAST({c} AS DECIMAL(28,10)) {c}" for c in ("readmission_rate_pct", "recovery_rate_pct"))
 
 
 def _queries() -> dict[str, str]:
-    from clinimart.schemas import FOREIGN_KEYS, WAREHOUSE_FOREIGN_KEYS
-
     best = (
         "concat('Dr. ', CAST(doctor_id AS VARCHAR), ' has highest recovery (',"
         f" CAST(recovery_rate_pct AS VARCHAR), '%) with ', {severity('readmission_rate_pct')},"
@@ -587,17 +646,20 @@ def _queries() -> dict[str, str]:
         "ward_heatmap": "SELECT ward_id, ward_name, month_label,"
         f" {ratio('sum(utilization_pct)', 'count(*)')} utilization_pct"
         " FROM ward_months GROUP BY 1, 2, 3",
-        "ward_heatmap_matrix": _matrix(),
+        "ward_heatmap_matrix": "SELECT * FROM (PIVOT (SELECT ward_id, ward_name, month_label,"
+        " utilization_pct FROM ward_months) ON month_label USING max(utilization_pct)"
+        " GROUP BY ward_id, ward_name)",
         "ward_kpis": "SELECT (SELECT "
         + ratio("sum(utilization_pct)", "count(*)")
         + " FROM ward_months) avg_utilization_pct, most.ward_name most_utilized_ward,"
         " most.m most_utilized_pct, least.ward_name least_utilized_ward, least.m least_utilized_pct,"
         " CAST(cap.c AS BIGINT) total_capacity_beds, CAST(cap.b AS BIGINT) total_used_bed_days FROM"
         f" (SELECT ward_name, {ratio('sum(utilization_pct)', 'count(*)')} m FROM ward_months"
-        " GROUP BY ward_id, ward_name ORDER BY sum(utilization_pct) / count(*) DESC, ward_name"
+        " GROUP BY ward_id, ward_name ORDER BY sum(utilization_pct) / count(*) DESC, min((month_label, -utilization_pct, ward_id))"
         f" LIMIT 1) most, (SELECT ward_name, {ratio('sum(utilization_pct)', 'count(*)')} m"
         " FROM ward_months GROUP BY ward_id, ward_name"
-        " ORDER BY sum(utilization_pct) / count(*), ward_name LIMIT 1) least,"
+        " ORDER BY sum(utilization_pct) / count(*), min((month_label, -utilization_pct, ward_id))"
+        " LIMIT 1) least,"
         " (SELECT sum(c) c, sum(b) b FROM (SELECT max_by(capacity, month_label) c,"
         " sum(month_occupied_bed_days) b FROM ward_months GROUP BY ward_id)) cap",
         "readmitted_by_month": f"SELECT {label()} month_label,"
@@ -609,10 +671,10 @@ def _queries() -> dict[str, str]:
         " CAST(sum(readmitted_cases) AS BIGINT) readmitted_cases FROM readmission_monthly"
         " GROUP BY year_num, month_num",
         "readmission_severity": "SELECT month_label, disease_name, total_cases, readmitted_cases,"
-        f" recovered_cases, readmission_rate_pct, recovery_rate_pct, {severity('readmission_rate_pct')}"
+        f" recovered_cases, {_EXACT}, {severity('readmission_rate_pct')}"
         " severity FROM readmission_monthly",
         "readmission_risk_filtered": "SELECT * FROM (SELECT month_label, disease_name, total_cases,"
-        " readmitted_cases, recovered_cases, readmission_rate_pct, recovery_rate_pct,"
+        f" readmitted_cases, recovered_cases, {_EXACT},"
         f" {severity('readmission_rate_pct')} severity FROM readmission_monthly)"
         " WHERE severity = 'high' AND total_cases >= 20",
         "readmission_kpis": _readmission_kpis("share_base"),
@@ -638,7 +700,29 @@ def _queries() -> dict[str, str]:
             "asia",
         ),
         "table_sort": "SELECT disease_name, total_cases, CAST(NULL AS DOUBLE) sort_number,"
-        f" {_NATURAL.replace('{c}', 'disease_name')} sort_text FROM disease_totals",
+        f" {_natural('disease_name')} sort_text FROM disease_totals",
+        "table_sort_number": _sorted(_DISEASE_ROWS, f"total_cases, {_natural('total_cases')}, disease_name"),
+        "table_sort_number_descending": _sorted(
+            _DOCTOR_ROWS, f"recovery_rate_pct DESC, {_natural('recovery_rate_pct')} DESC, doctor_id"
+        ),
+        "table_sort_natural": _sorted(_DISEASE_ROWS, f"{_natural('disease_name')}, disease_name"),
+        "table_sort_natural_descending": _sorted(
+            _DOCTOR_ROWS, f"{_natural('doctor_label')} DESC, doctor_id"
+        ),
+        "table_sort_plain": _sorted(_DISEASE_ROWS, "lower(disease_name), disease_name"),
+        "table_sort_plain_descending": _sorted(
+            _DOCTOR_ROWS, "lower(specialization) DESC, specialization DESC, doctor_id"
+        ),
+        "disease_resources_order": _sorted(
+            "SELECT * FROM disease_resources", "year_num, month_num, total_treatment_spend DESC, disease_name"
+        ),
+        "doctor_ranking_order": _sorted("SELECT * FROM doctor_ranking", "performance_rank, doctor_id"),
+        "ward_utilization_order": _sorted(
+            "SELECT * FROM ward_utilization", "year_num, month_num, utilization_pct DESC, ward_id"
+        ),
+        "readmission_monthly_order": _sorted(
+            "SELECT * FROM readmission_monthly", "year_num, month_num, readmission_rate_pct DESC, disease_name"
+        ),
         "display_table": "SELECT ward_name, ward_type, format('{:,}', capacity) capacity,"
         " format('{:,}', month_occupied_bed_days) month_occupied_bed_days,"
         " concat(CAST(utilization_pct AS VARCHAR), '%') utilization_pct, utilization_band,"
@@ -650,9 +734,10 @@ def _queries() -> dict[str, str]:
         " FROM disease_totals",
         # quality
         "dq_duplicate_keys": _duplicates(),
-        "dq_orphans": _orphans(FOREIGN_KEYS, {}),
-        "dq_warehouse_orphans": _orphans(WAREHOUSE_FOREIGN_KEYS, {}),
-        "dq_nulls": _nulls(),
+        "dq_orphans": _orphans(REFERENCES),
+        "dq_warehouse_orphans": _orphans(WAREHOUSE_REFERENCES),
+        "dq_nulls": _nulls(REQUIRED),
+        "dq_warehouse_nulls": _nulls(REQUIRED_IN_WAREHOUSE),
         "dq_domains": _domains(),
         "dq_row_counts": _union_checks(
             [

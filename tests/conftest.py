@@ -30,6 +30,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables in several ranges, as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def day(text: str) -> dt.date:
     return dt.date.fromisoformat(text)
 

@@ -5,9 +5,11 @@ from decimal import Decimal
 
 import pytest
 from conftest import day
+from pyspark.sql import functions as F
 
-from clinimart.operators import admission, ordering, quality, tables
-from clinimart.schemas import OPERATIONAL
+from clinimart.operators import admission, quality, tables
+from clinimart.plans.warehouse import refresh
+from clinimart.schemas import OPERATIONAL, WAREHOUSE, WAREHOUSE_KEYS
 from clinimart.streaming import alerts
 
 # --- admission ----------------------------------------------------------------
@@ -42,8 +44,7 @@ def test_unknown_ward_is_rejected(hospital):
     assert [r.reason for r in admission.rejected_requests(decisions).collect()] == [admission.WARD_UNKNOWN]
 
 
-def test_batch_decides_like_one_call_after_the_other(hospital, monkeypatch):
-    monkeypatch.setattr(ordering, "BUCKET_WIDTH", 5)
+def test_batch_decides_like_one_call_after_the_other(spark, hospital, many_ranges):
     rng = random.Random(5)
     wards = [(w, f"W{w}", "General", rng.randrange(1, 12)) for w in range(1, 5)]
     stays = [(i, 1, rng.randrange(1, 5), day("2021-12-01"), rng.choice([None, day("2021-12-09")])) for i in range(25)]
@@ -176,6 +177,56 @@ def test_sort_puts_numbers_by_value_then_text(listing):
     assert names("amount") == ["ward 2", "Ward 10", "9", "12"]
 
 
+def test_sorts_give_positions(spark, many_ranges):
+    cells = ["10", "9", "1e1", "b10", "B9", "a", None, "", " 7 ", "12D", "b2", "10.0"]
+    listing = spark.createDataFrame(list(enumerate(cells)), "id INT, cell STRING")
+
+    def order(descending=False, natural=True):
+        rows = tables.sorted_table(listing, "cell", descending, natural, then=["id"]).collect()
+        assert sorted(r.position for r in rows) == list(range(1, len(cells) + 1))
+        return [r.cell for r in sorted(rows, key=lambda r: r.position)]
+
+    assert order() == [None, "", " 7 ", "9", "1e1", "10", "10.0", "12D", "a", "b2", "B9", "b10"]
+    assert order(natural=False) == [None, "", " 7 ", "9", "10", "10.0", "1e1", "12D", "a", "b10", "b2", "B9"]
+    down = order(descending=True)
+    assert down[:5] == ["b10", "B9", "b2", "a", "12D"] and down[-2:] == [None, ""]
+    assert [r.cell for r in tables.sort_table(listing, "cell").collect()][-5:] == ["12D", "a", "b2", "B9", "b10"]
+    assert tables.with_position(listing.limit(0), ["id"]).count() == 0
+
+
+def test_all_rules_of_a_table_in_one_scan(spark, hospital, folder):
+    h = hospital(admission_request=[], allocation_change=[])
+    wh = refresh(spark, folder, h.table, "2022-01-01", "2022-12-31")
+
+    def table(name):
+        return wh.fact if name == "fact_treatment" else wh.dimension(name)
+
+    def scans(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return sum("Relation" in line and "total_cases" in line for line in plan.splitlines())
+
+    assert scans(quality.warehouse_orphans(table)) == 1
+    assert scans(quality.duplicate_keys(table, WAREHOUSE_KEYS)) == 1
+    found = {(r.table_name, r.key_columns): r.checked_rows for r in quality.duplicate_keys(table, WAREHOUSE_KEYS).collect()}
+    assert found["dim_date", "full_date"] == 365 and len(found) == 12
+    assert {r.violations for r in quality.null_violations(table, list(WAREHOUSE)).collect()} == {0}
+    spoilt = wh.fact.withColumn("doctor_sk", F.lit(77).cast("bigint"))
+    lost = quality.warehouse_orphans(lambda name: spoilt if name == "fact_treatment" else wh.dimension(name))
+    assert {r.column_name: (r.orphan_keys, r.orphan_rows) for r in lost.collect()} == {
+        "date_id": (0, 0), "disease_sk": (0, 0), "doctor_sk": (1, wh.fact.count()), "ward_sk": (0, 0),
+        "outcome_sk": (0, 0),
+    }
+
+
+def test_keys_of_several_parts_are_told_apart(spark):
+    rows = [("1", "11"), ("11", "1"), (None, "11"), ("-", "11"), ("1:1", "1"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "a STRING, b STRING")
+    got = quality.duplicate_keys(lambda _: df, {"t": [["a", "b"], ["b"]]}).collect()
+    assert {r.key_columns: (r.checked_rows, r.duplicate_keys, r.surplus_rows) for r in got} == {
+        "a, b": (7, 1, 1), "b": (7, 3, 4),
+    }
+
+
 def test_display(listing):
     shown = tables.display(listing, {"amount": "money"}).collect()
     assert [tuple(r) for r in shown] == [("Ward 10", "5.50"), ("ward 2", "0.00"), ("12", "100.00"), ("9", "20.25")]

@@ -3,39 +3,23 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from clinimart.operators import ordering
 
 
-@pytest.fixture
-def narrow(monkeypatch):
-    monkeypatch.setattr(ordering, "BUCKET_WIDTH", 7)
-
-
-@pytest.fixture
-def many_ranges(spark):
-    """Small tables in several ranges, as large ones are."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
-def test_number_rows_over_the_whole_table(spark, narrow):
+def test_numbers_over_the_whole_table(spark, many_ranges):
     ids = random.Random(1).sample(range(500), 120)
     df = spark.createDataFrame([(i,) for i in ids], "id BIGINT")
-    got = ordering.number_rows(df, ["id"], {"_b": ordering.id_bucket("id")}, "n")
+    got = ordering.number_in_order(df, ["id"], "n")
     assert {r.id: r.n for r in got.collect()} == {k: i for i, k in enumerate(sorted(ids), 1)}
 
 
-def test_number_rows_within_a_hot_key(spark, narrow):
+def test_numbers_within_a_hot_key(spark, many_ranges):
     rng = random.Random(2)
     rows = [(i, rng.choice(["hot", "hot", "hot", "a", "b"]), rng.randrange(4)) for i in range(300)]
     df = spark.createDataFrame(rows, "id BIGINT, ward STRING, day INT")
-    got = ordering.number_rows(
-        df, ["id"], {"_d": F.col("day"), "_b": ordering.id_bucket("id")}, "n", within=["ward"]
-    )
+    got = ordering.number_in_order(df, ["day", "id"], "n", within=["ward"])
     want, seen = {}, defaultdict(int)
     for i, ward, _ in sorted(rows, key=lambda r: (r[2], r[0])):
         seen[ward] += 1

@@ -389,7 +389,11 @@ def test_ward_summaries(wards):
     assert kpis.avg_utilization_pct == Decimal("63.33")
     assert (kpis.most_utilized_ward, kpis.least_utilized_ward) == ("ICU", "Bay")
     assert (kpis.total_capacity_beds, kpis.total_used_bed_days) == (17, 320)
-    matrix = summaries.ward_heatmap_matrix(summaries.ward_heatmap(wards), ["2022-01", "2022-02"]).collect()
+    cells = summaries.ward_heatmap(wards)
+    matrix = summaries.ward_heatmap_matrix(cells, ["2022-01", "2022-02"]).collect()
+    assert summaries.ward_heatmap_matrix(cells).columns[2:] == summaries.months_of(cells) == ["2022-01", "2022-02"]
+    later = cells.unionByName(cells.limit(1).withColumn("month_label", F.lit("2031-07")))
+    assert summaries.ward_heatmap_matrix(later).columns[2:] == ["2022-01", "2022-02", "2031-07"]
     assert [tuple(r)[1:] for r in matrix] == [
         ("Bay", Decimal("10.00"), None), ("ICU", Decimal("96.77"), Decimal("83.23")),
     ]
@@ -420,6 +424,41 @@ def test_missing_rates_are_derived(spark):
     assert got == {"Unknown Disease": (Decimal("12.50"), Decimal("25.00")), "A": (Decimal("0.00"), Decimal("0.00"))}
 
 
+def test_derived_rate_keeps_its_band(spark):
+    """24.996 % shows as 25.00 but is not high; a stored 25.00 is."""
+    df = spark.createDataFrame(
+        [("2022-01", "A", 10000, 2499, 0, None, None), ("2022-01", "B", 100000, 24996, 0, None, None),
+         ("2022-01", "C", 100000, 24996, 0, Decimal("25.00"), None), ("2022-01", "D", 4, 1, 0, None, None),
+         ("2022-01", "E", 3_000_000_000, 749_999_999, 0, None, None)],
+        "month_label STRING, disease_name STRING, total_cases BIGINT, readmitted_cases BIGINT, "
+        "recovered_cases BIGINT, readmission_rate_pct DECIMAL(18,2), recovery_rate_pct DECIMAL(18,2)",
+    )
+    got = summaries.with_severity(summaries.readmission_months(df)).collect()
+    assert {r.disease_name: r.severity for r in got} == {
+        "A": "moderate", "B": "moderate", "C": "high", "D": "high", "E": "moderate",
+    }
+    assert {r.disease_name: round(r.readmission_rate_pct, 3) for r in got}["B"] == Decimal("24.996")
+
+
+def test_equal_wards_follow_the_rows_of_the_report(spark):
+    rows = [(2022, 2, 1, "Alpha", "ICU", 4, 5, Decimal("40.00"), "Low Utilization"),
+            (2022, 1, 3, "Zulu", "ICU", 4, 5, Decimal("40.00"), "Low Utilization"),
+            (2022, 1, 2, "Mike", "ICU", 4, 5, Decimal("30.00"), "Low Utilization"),
+            (2022, 2, 2, "Mike", "ICU", 4, 5, Decimal("50.00"), "Low Utilization")]
+    df = spark.createDataFrame(
+        rows, "year_num INT, month_num INT, ward_id INT, ward_name STRING, ward_type STRING, capacity INT, "
+        "month_occupied_bed_days BIGINT, utilization_pct DECIMAL(18,2), utilization_band STRING",
+    )
+    got = summaries.ward_kpis(df).first()
+    assert (got.most_utilized_ward, got.least_utilized_ward) == ("Zulu", "Zulu")
+
+
+def test_ranking_scans_the_fact_once(spark, mixed, folder):
+    wh = refresh(spark, folder, mixed.table, *CALENDAR)
+    plan = reports.doctor_ranking(wh)._jdf.queryExecution().executedPlan().toString()
+    assert "load_status" not in plan  # the scores are written, ranking reads them alone
+
+
 def test_fact_total_equals_kept_rows(spark, mixed, folder):
     wh = refresh(spark, folder, mixed.table, *CALENDAR)
     sums = wh.fact.agg(F.sum("total_cases").alias("n"), F.sum("recovered_cases").alias("a"),
