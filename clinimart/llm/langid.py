@@ -11,17 +11,21 @@ is the sum, over all its bytes, of the code length in the longest context kept.
 The language with the shortest code is predicted; of equal ones the first by code
 point.
 
-Fitting uses a bounded sample: for each language the ``sample`` labelled documents
-that come first in the order of an id digest, of texts up to ``sample_bytes``
-bytes; contexts seen ``least`` times are kept, the ``contexts`` most frequent. All
-texts are scored whole. A-Z are lower-cased, in training and scoring.
+Fitting uses a bounded sample: of the ``most_langs`` languages with most labelled
+documents, for each the ``sample`` documents that come first in the order of an id
+digest, of texts up to ``sample_bytes`` bytes; other languages are not learned.
+Documents are chosen by digest, and the texts of those chosen are fetched; no other
+text leaves its task. Contexts seen ``least`` times are kept, the most frequent
+``contexts``, or ``cells`` / languages if that is fewer, which bounds the tree (64
+languages: 750 contexts, 49 MB). All texts are scored whole. A-Z are lower-cased, in
+training and scoring.
 
 ``score`` is the share of the predicted language among all, with code lengths
 tempered by the square root of the text's length. ``und`` with score 0 is given to
 texts that are null or have no letter, and to all when nothing was learned.
 
 Nulls: a null id folds like an empty id; labelled rows with a null text teach
-nothing. Repeated rows each give a row. An empty table gives an empty result. No
+nothing. Repeated rows each give a row and are learned from once. An empty table gives an empty result. No
 other column is read, and language and source are not read in scoring.
 """
 
@@ -34,24 +38,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written_once
 from .text import LOWERED, flat, fold, small_batches, with_bytes
 
 PAD = 32
 SCORED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def sampled(docs: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
-    """``lang`` and ``text`` of the documents to learn from. A frequent language is
-    first thinned by digest to about four times the sample, so that no task sorts
-    more than that."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    usable = usable.filter(F.octet_length("text") <= sample_bytes)
+def sampled(docs: DataFrame, sample: int, sample_bytes: int, most_langs: int) -> DataFrame:
+    """``lang``, ``digest`` and ``text`` of the documents to learn from. Only languages
+    and digests are counted, thinned (to about four times the sample) and sorted; at
+    most ``sample * most_langs`` digests are then looked up in the documents."""
     digest = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
-    counts = usable.groupBy("lang").agg((F.lit(4.0 * sample) / F.count("*")).alias("share"))
-    thin = usable.select("lang", "text", digest.alias("digest")).join(counts, "lang")
-    thin = thin.filter((F.col("digest") / F.lit(2.0**64) + 0.5) < F.col("share"))
-    first = Window.partitionBy("lang").orderBy("digest", "text")
-    return thin.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample).select("lang", "text")
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = usable.filter(F.octet_length("text") <= sample_bytes).withColumn("digest", digest)
+    light = usable.select("lang", "digest").distinct()
+    counts = written_once(light.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    largest = counts.orderBy(F.col("n").desc(), "lang").limit(most_langs)
+    shares = F.broadcast(largest.select("lang", (F.lit(4.0 * sample) / F.col("n")).alias("share")))
+    thin = light.join(shares, "lang").filter((F.col("digest") / F.lit(2.0**64) + 0.5) < F.col("share"))
+    first = Window.partitionBy("lang").orderBy("digest")
+    chosen = thin.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample)
+    chosen = F.broadcast(written_once(chosen.select("lang", "digest"), "chosen"))  # bounded, see above
+    return usable.select("lang", "digest", "text").join(chosen, ["lang", "digest"])
 
 
 def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,12 +156,20 @@ def fit(texts: dict[str, list[bytes]], order: int = 5, least: int = 12, contexts
     return ContextTree(langs, child, (-np.log2(chance)).astype(np.float32), order)
 
 
-def train(docs: DataFrame, sample: int = 250, sample_bytes: int = 1 << 14) -> ContextTree | None:
+def train(
+    docs: DataFrame,
+    sample: int = 250,
+    sample_bytes: int = 1 << 14,
+    most_langs: int = 64,
+    contexts: int = 6000,
+    cells: int = 48_000,
+) -> ContextTree | None:
+    found = sampled(docs, sample, sample_bytes, most_langs).dropDuplicates(["lang", "digest"])
     texts: dict[str, list[bytes]] = {}
-    for lang, text in sampled(docs, sample, sample_bytes).collect():  # bounded by both settings
+    for lang, _, text in found.collect():  # bounded by the settings
         texts.setdefault(lang, []).append(text.encode())
     texts = {lang: sorted(t) for lang, t in texts.items() if any(t)}
-    return fit(texts) if texts else None
+    return fit(texts, contexts=min(contexts, cells // len(texts))) if texts else None
 
 
 def judge(lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,14 +182,15 @@ def languages(docs: DataFrame, folds: int = 3, held_out: int = 1, **settings) ->
     """``doc_id, held_out, lang_pred, score``, one row per document."""
     out = fold(F.col("doc_id"), folds) == held_out
     tree = train(docs.filter(~out).select("doc_id", "lang", "text"), **settings)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    parts = tree and (tree.langs, tree.child, tree.cost, tree.order)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), letter.alias("letter"), "text"
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.value and ContextTree(*shared.value)
         for batch in small_batches(batches):
             letters = batch.column("letter").to_pylist()
             names, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
