@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written_once
 from .text import code_points, flat, fold, rows_of, small_batches, with_bytes, word_hashes, words
 
 PREFIXES = (4, 5, 6)
@@ -116,6 +117,12 @@ class Tagger:
         self.owner[at], self.weight[at] = features[order].astype(np.uint32), weights[order]
         self.bias, self.chain, self.start, self.curve = 0.0, np.zeros((2, 2)), 0.0, np.zeros(3)
 
+    @classmethod
+    def of(cls, state: dict) -> Tagger:
+        tagger = cls.__new__(cls)
+        vars(tagger).update(state)
+        return tagger
+
     def tag(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         first = np.zeros(features.shape[1], bool)
         first[bounds[:-1][np.diff(bounds) > 0]] = True
@@ -217,17 +224,20 @@ def fit(
 
 
 def sampled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample: int, sample_bytes: int) -> DataFrame:
-    """``text`` and ``toxic`` of the rows to learn from. Labels are chosen first, with
-    their texts' sizes unknown, so that no text is moved: at most 2 * ``sample`` ids
-    are looked up."""
+    """``text`` and ``toxic`` of the rows to learn from. Ids are chosen first, among
+    those with a text of a usable size, so that no text is moved: ids and labels meet by
+    id, and the texts of at most 2 * ``sample`` ids are looked up."""
+    usable_texts = docs.filter(F.octet_length("text") <= sample_bytes)
+    there = usable_texts.select(F.col("doc_id").cast("long").alias("id")).distinct()
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
-    usable = usable.filter(fold(F.col("id"), folds) != held_out)
+    usable = usable.filter(fold(F.col("id"), folds) != held_out).join(there, "id", "left_semi")
+    usable = written_once(usable, "toxic-labels")
     order = [F.xxhash64("id", F.lit(11)), F.col("id")]
     chosen = [usable.filter(F.col("toxic") == side).orderBy(*order).limit(sample) for side in (True, False)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
-    found = docs.join(ids, F.col("doc_id").cast("long") == F.col("id"))
-    few = found.filter(F.octet_length("text") <= sample_bytes).select("id", "text", "toxic")
+    found = usable_texts.join(ids, F.col("doc_id").cast("long") == F.col("id"))
+    few = found.select("id", "text", "toxic")
     return few.orderBy("id", "text").limit(4 * sample)  # an id may have any number of rows
 
 
@@ -275,12 +285,14 @@ def score_batch(batch: pa.RecordBatch, tagger: Tagger | None) -> list[pa.Array]:
 
 def tagged(docs: DataFrame, tagger: Tagger | None, keep: tuple[str, ...], types: str) -> DataFrame:
     """The columns ``keep`` with ``score, predicted, spans``."""
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    state = tagger and vars(tagger)  # plain arrays: workers need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast(state)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value and Tagger.of(shared.value)
         for batch in small_batches(batches):
             kept = [batch.column(name) for name in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *score_batch(batch, shared.value)], names=[*keep, *FOUND])
+            yield pa.RecordBatch.from_arrays([*kept, *score_batch(batch, known)], names=[*keep, *FOUND])
 
     return with_bytes(docs, *keep).mapInArrow(task, f"{types}, {FOUND_TYPES}")
 
