@@ -1,12 +1,17 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 Documents come in batches of rising doc_id. A run holds the hashes of the line
-keys first seen in one batch, each once, sorted and spread by hash. A new batch
-merge-anti-joins the runs: what is in no run is new, belongs to its smallest
-document of this batch and forms a run of its own on level 0. When a level has
-``fan`` runs they are merged into one of the next level, so a batch reads few runs
-and a hash is rewritten once per level. Runs lie in the shared folder; a rerun of
-a lost task writes the same run.
+keys first seen in one batch, each once, with the document that owns it, bucketed and
+sorted by hash; it is a table of the catalog, so Spark knows its buckets. A new batch is
+shuffled once, into the same buckets, and merge-anti-joins the runs one after the
+other without moving them: what is in no run is new, belongs to its smallest document
+of this batch and forms a run of its own on level 0. When a level has ``fan`` runs they
+are merged, bucket by bucket, into one of the next level, so a batch reads few runs
+and a hash is rewritten once per level. At the end all runs become one, which the lines
+meet. Runs lie in the shared folder; a rerun of a lost task writes the same run.
+
+There are as many buckets as shuffle partitions, and a batch for every ``batch_rows``
+documents, ``batches`` at least; neither changes the result.
 
 A line's key is the line stripped of ASCII white space at both ends with A-Z in
 lower case; keys shorter than ``least`` code points are never dropped. Two 64-bit
@@ -21,7 +26,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import new_folder
@@ -55,21 +60,37 @@ def line_rows(docs: DataFrame, least: int) -> DataFrame:
 class Runs:
     """Sorted runs by level; ``add`` compacts levels that are full."""
 
-    def __init__(self, docs: DataFrame, fan: int):
-        self.spark = docs.sparkSession
-        self.fan = fan
+    def __init__(self, spark: SparkSession, fan: int):
+        self.spark, self.fan = spark, fan
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
-    def _write(self, hashes: DataFrame) -> str:
+    def _write(self, rows: DataFrame) -> str:
         folder = new_folder(self.spark, "line-run")
-        hashes.repartition(*KEY).sortWithinPartitions(*KEY).write.parquet(folder)
-        return folder
-
-    def read(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long").parquet(*folders)
-
-    def add(self, hashes: DataFrame) -> None:
-        run, level = self._write(hashes), 0
+        name = "line_run_" + folder.rsplit("-", 1)[-1]
+        # rows come in the buckets of the table, one per task
+        writer = rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        writer.option("path", folder).saveAsTable(name)
+        return name
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """Runs with no hash in common, side by side in their buckets."""
+        both = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnRenamed("owner", "_owner").hint("merge")
+            both = both.join(other, KEY, "full_outer")
+            both = both.select(*KEY, F.coalesce("owner", "_owner").alias("owner"))
+        return both
+
+    def _replace(self, names: list[str]) -> str:
+        run = self._write(self._merged(names))
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")  # from the catalog; its files stay
+        return run
+
+    def add(self, first: DataFrame) -> None:
+        """A run of what ``first`` (a row per key and its owner) has and no run does."""
+        run, level = self._write(self.unseen(first)), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
@@ -77,46 +98,46 @@ class Runs:
             if len(self.levels[level]) < self.fan:
                 return
             full, self.levels[level] = self.levels[level], []
-            run, level = self._write(self.read(full)), level + 1
+            run, level = self._replace(full), level + 1
+
+    def unseen(self, first: DataFrame) -> DataFrame:
+        for name in [run for level in reversed(self.levels) for run in level]:
+            first = first.join(self.spark.table(name).hint("merge"), KEY, "left_anti")
+        return first
 
-    def unseen(self, hashes: DataFrame) -> DataFrame:
-        folders = [run for level in self.levels for run in level]
-        if not folders:
-            return hashes
-        return hashes.join(self.read(folders).hint("merge"), KEY, "left_anti")
+    def all(self) -> DataFrame:
+        names = [run for level in self.levels for run in level]
+        return self.spark.table(names[0] if len(names) == 1 else self._replace(names))
 
 
-def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
+def batch_bounds(docs: DataFrame, batches: int, batch_rows: int) -> list[int]:
     """Upper doc_id of each batch; they only spread the work, never the result."""
+    batches = max(batches, -(-docs.count() // batch_rows))
     steps = [k / batches for k in range(1, batches)]
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), steps, 1000)).first()[0]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), steps, 1000)).first()[0] if steps else []
     return sorted({*(cuts or []), LAST})
 
 
 def owners(lines: DataFrame, bounds: list[int], fan: int) -> DataFrame:
     """The smallest document of each key, found batch by batch against the runs."""
-    runs, spark, found = Runs(lines, fan), lines.sparkSession, []
-    below = -(2**63)
+    runs, below = Runs(lines.sparkSession, fan), -(2**63)
     for k, bound in enumerate(bounds):
         batch = lines.filter((F.col("doc") > below) | F.lit(not k)).filter(F.col("doc") <= bound)
-        first = batch.groupBy(*KEY).agg(F.min("doc").alias("owner"), F.max("doc").alias("other"))
-        folder = new_folder(spark, "line-owners")
-        runs.unseen(first).write.parquet(folder)
-        found.append(folder)
-        if k + 1 < len(bounds):
-            runs.add(spark.read.parquet(folder).select(*KEY))
+        runs.add(batch.groupBy(*KEY).agg(F.min("doc").alias("owner")))
         below = bound
-    return spark.read.schema("h1 long, h2 long, owner long, other long").parquet(*found)
+    return runs.all()
 
 
-def dropped_lines(docs: DataFrame, least: int = 10, batches: int = 4, fan: int = 2) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame, least: int = 10, batches: int = 4, batch_rows: int = 100_000_000, fan: int = 2
+) -> DataFrame:
     """Places of the lines to drop, an array for each document and text that has any."""
     spark = docs.sparkSession
     folder = new_folder(spark, "lines")
     line_rows(docs, least).write.parquet(folder)
     lines = spark.read.parquet(folder)
-    first = owners(lines, batch_bounds(docs, batches), fan)
-    late = lines.join(first.select(*KEY, "owner"), KEY).filter(F.col("doc") > F.col("owner"))
+    first = owners(lines, batch_bounds(docs, batches, batch_rows), fan)
+    late = lines.join(first.hint("merge"), KEY).filter(F.col("doc") > F.col("owner"))
     return late.groupBy("doc", "of_text").agg(F.collect_set("at").alias("dropped"))
 
 
