@@ -21,7 +21,7 @@ import oracle  # noqa: E402
 from clinimart.functions.text import slug  # noqa: E402
 from clinimart.operators import admission, quality, tables  # noqa: E402
 from clinimart.operators.stays import visit_stays  # noqa: E402
-from clinimart.plans import changes, fact, reports, summaries  # noqa: E402
+from clinimart.plans import changes, fact, reports, summaries, views  # noqa: E402
 from clinimart.plans.warehouse import Warehouse, refresh  # noqa: E402
 from clinimart.schemas import PRIMARY_KEYS, WAREHOUSE, WAREHOUSE_KEYS  # noqa: E402
 from clinimart.sources.sample import (  # noqa: E402
@@ -115,6 +115,11 @@ class Site:
             return self.wh.fact.drop("year_num")
         return self.wh.dimension(name) if name in WAREHOUSE else self.table(name)
 
+    @cached_property
+    def views(self) -> dict[str, str]:
+        """Names of the registered views of this site."""
+        return views.register(self.spark, self.wh, self.table, self.sample.database)
+
     def report(self, name: str) -> DataFrame:
         """A stored report, computed and written on first use."""
         if name not in self._stored:
@@ -266,7 +271,8 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
         "visit_date", "disease_code", "doctor_id", "ward_id", "total_cases", "skip_reason"
     ),
     "fact_labelled_sample": lambda s: reports.labelled_sample(s.wh, 5),
-    "etl_counters": lambda s: quality.load_counters(s.short_wh.load_rows),
+    "etl_counters": lambda s: s.short_wh.counters(),
+    "etl_counters_recounted": lambda s: quality.load_counters(s.short_wh.load_rows),
     # reports
     "disease_trend": lambda s: reports.disease_trend(s.wh),
     "disease_trend_windowed": lambda s: reports.disease_resources(s.wh, *WINDOW),
@@ -286,6 +292,23 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "overview_from": lambda s: reports.overview(s.wh, date_from=oracle.WIN_FROM),
     "overview_until": lambda s: reports.overview(s.wh, date_to=oracle.WIN_TO),
     "overview_default_window": lambda s: reports.overview_request(s.wh),
+    "overview_own_default_window": lambda s: reports.overview_request(s.wh, default=WINDOW),
+    "overview_half_open_request": lambda s: reports.overview_request(
+        s.wh, date_to=oracle.REQUEST_TO, default=WINDOW
+    ),
+    "overview_window_sql": lambda s: views.run(
+        s.spark, s.views, "overview", **views.window(default=WINDOW)
+    ),
+    "overview_empty_window_sql": lambda s: views.run(s.spark, s.views, "overview", **views.window()),
+    "disease_resources_sql": lambda s: views.run(
+        s.spark, s.views, "disease_resources", **views.window(*WINDOW)
+    ),
+    "doctor_performance_view_sql": lambda s: s.spark.sql(
+        f"SELECT * FROM {s.views[views.DOCTOR_VIEW]}"
+    ),
+    "doctors_by_specialization_sql": lambda s: views.run(
+        s.spark, s.views, "doctors_by_specialization", specialization="NATION_7", min_visits=100
+    ),
     "monthly_trend": lambda s: reports.monthly_trend(s.wh),
     "doctor_monthly": lambda s: reports.doctor_monthly(s.wh),
     "doctor_monthly_ops": lambda s: reports.doctor_monthly_from_visits(
@@ -402,8 +425,8 @@ QUERIES: dict[str, Callable[[Site], DataFrame]] = {
     "dq_nulls": lambda s: quality.null_violations(s.table, oracle.NULL_TABLES),
     "dq_warehouse_nulls": lambda s: quality.null_violations(s.any_table, list(WAREHOUSE)),
     "dq_domains": lambda s: quality.domain_violations(s.table),
-    "dq_row_counts": lambda s: quality.row_counts(
-        s.any_table, [*oracle.NULL_TABLES, *WAREHOUSE]
+    "dq_row_counts": lambda s: quality.row_counts(s.table, oracle.NULL_TABLES).unionByName(
+        s.wh.row_counts()
     ),
     "dq_reconcile": lambda s: quality.reconcile(
         s.wh.fact_between(), s.wh.dimension("dim_outcome"), s.table("outcome")

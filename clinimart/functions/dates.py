@@ -27,9 +27,13 @@ def as_date(value: str | dt.date | None) -> dt.date | None:
     return dt.date.fromisoformat(value)
 
 
-def request_window(date_from: str | None = None, date_to: str | None = None):
+def request_window(
+    date_from: str | None = None,
+    date_to: str | None = None,
+    default: tuple[str, str] = (DEFAULT_FROM, DEFAULT_TO),
+):
     """Bounds of a dashboard request; a missing or empty bound takes its default."""
-    return as_date(date_from or DEFAULT_FROM), as_date(date_to or DEFAULT_TO)
+    return as_date(date_from or default[0]), as_date(date_to or default[1])
 
 
 def date_key(day: dt.date) -> int:

@@ -34,7 +34,12 @@ def exact_ratio(numerator: str, denominator: str) -> Column:
     with up to four decimals, the denominator is not negative, and the result is
     below 10^16 as its type says (more is an error, not a wrong number). Ordinary
     values stay in BIGINT arithmetic; only huge ones take the decimal way."""
-    return F.expr(_RATIO.format(n=f"({numerator})", d=f"({denominator})")).cast(RATE)
+    return F.expr(ratio_sql(numerator, denominator)).cast(RATE)
+
+
+def ratio_sql(numerator: str, denominator: str) -> str:
+    """The same as text of a SQL expression."""
+    return _RATIO.format(n=f"({numerator})", d=f"({denominator})")
 
 
 def percentage(part: str, whole: str) -> Column:

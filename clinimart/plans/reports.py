@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import MIN_DISEASE_CASES, MIN_DOCTOR_CASES, utilization_band
-from ..functions.dates import month_label, request_window
+from ..functions.dates import DEFAULT_FROM, DEFAULT_TO, month_label, request_window
 from ..functions.numbers import MONEY, change_percentage, exact_ratio, or_zero, percentage, spend
 from ..operators.ordering import rank_rows
 from ..operators.skew import left_join_sliced, slices_for
@@ -223,10 +223,13 @@ def overview(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:
 
 
 def overview_request(
-    wh: Warehouse, date_from: str | None = None, date_to: str | None = None
+    wh: Warehouse,
+    date_from: str | None = None,
+    date_to: str | None = None,
+    default: tuple[str, str] = (DEFAULT_FROM, DEFAULT_TO),
 ) -> DataFrame:
     """Overview as a dashboard asks for it: a missing bound takes its default."""
-    return overview(wh, *request_window(date_from, date_to))
+    return overview(wh, *request_window(date_from, date_to, default))
 
 
 def monthly_trend(wh: Warehouse, date_from=None, date_to=None) -> DataFrame:

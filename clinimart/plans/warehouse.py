@@ -8,7 +8,13 @@ A warehouse folder holds
 
 A log row lists the fact partitions of its load, each with the load that wrote it, so a
 load that changes a few years (``plans.changes``) names the others where they are.
-Readers see a load only by its row in the log.
+Readers see a load only by its row in the log. The row also holds what was counted
+while the load was written: rows of each dimension, rows and cases of each fact
+partition; counts of a load are answered from there without reading its tables.
+
+Old loads are removed in two steps: ``expire`` first marks them in a log of its own,
+and removes their folders only when the mark is older than a grace period, so that
+readers which opened such a load can finish.
 """
 
 from __future__ import annotations
@@ -16,33 +22,42 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, date_key
+from ..functions.numbers import or_zero
 from ..schemas import FACT_COLUMNS, FACT_LOAD
-from ..sources.storage import read_dimension
+from ..sources.storage import read_dimension, remove_folder
 from . import dims, fact
 
-PART = "STRUCT<load_id: STRING, load_status: STRING, year_num: INT>"
-LOADS_SCHEMA = f"load_id STRING, finished_at TIMESTAMP, parts ARRAY<{PART}>"
+PART_COLUMNS = "load_id: STRING, load_status: STRING, year_num: INT, fact_rows: BIGINT, cases: BIGINT"
+PART = f"STRUCT<{PART_COLUMNS}>"
+LOADS_SCHEMA = (
+    f"load_id STRING, finished_at TIMESTAMP, parts ARRAY<{PART}>, table_rows MAP<STRING, BIGINT>"
+)
+EXPIRED_SCHEMA = "load_id STRING, marked_at TIMESTAMP"
 EXTRACT = ("visit", "diagnosis", "outcome", "bed_allocation", "treatment", "medicine")
 Tables = Callable[[str], DataFrame]
+Part = tuple[str, str, int, int, int]
 Reports = dict[str, Callable[["Warehouse"], DataFrame]]
 
 
 @dataclass
 class Warehouse:
-    """Tables of one load. ``parts``: load, status and year of its fact partitions, of
-    which there are two for each year of the calendar at most."""
+    """Tables of one load. ``parts``: load, status, year, rows and cases of its fact
+    partitions, of which there are two for each year of the calendar at most.
+    ``table_rows``: rows of each dimension."""
 
     spark: SparkSession
     base: str
     load_id: str
-    parts: Sequence[tuple[str, str, int]]
+    parts: Sequence[Part] = ()
+    table_rows: dict[str, int] = field(default_factory=dict)
 
     @property
     def root(self) -> str:
@@ -68,13 +83,33 @@ class Warehouse:
 
     def partitions(self) -> DataFrame:
         """Fact partitions with their rows, and whether this load wrote them or took
-        them over."""
-        return (
-            self._stored_rows()
-            .groupBy("load_status", "year_num", (F.col("load_id") == self.load_id).alias("rewritten"))
-            .agg(F.count("*").alias("fact_rows"))
+        them over, as the load log has them."""
+        return self._logged_parts().select(
+            "load_status", "year_num", (F.col("load_id") == self.load_id).alias("rewritten"), "fact_rows"
+        )
+
+    def _logged_parts(self) -> DataFrame:
+        return self.spark.createDataFrame(list(self.parts), PART_COLUMNS.replace(":", ""))
+
+    def counters(self) -> DataFrame:
+        """Extracted rows, groups, loaded and skipped groups of the load, from the log."""
+        rows, status = F.col("fact_rows"), F.col("load_status")
+        sums = {
+            "extracted_rows": F.col("cases"),
+            "transformed_groups": rows,
+            "loaded_groups": F.when(status == "loaded", rows),
+            "skipped_groups": F.when(status == "skipped", rows),
+        }
+        return self._logged_parts().agg(
+            *[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in sums.items()]
         )
 
+    def row_counts(self) -> DataFrame:
+        """Rows of the load's tables, from the log."""
+        fact_rows = sum(part[3] for part in self.parts if part[1] == "loaded")
+        counted = {**self.table_rows, "fact_treatment": fact_rows}
+        return self.spark.createDataFrame(list(counted.items()), "table_name STRING, row_count BIGINT")
+
     @property
     def skipped(self) -> DataFrame:
         return self.load_rows.filter(F.col("load_status") == "skipped")
@@ -138,9 +173,11 @@ def write_dimensions(
         "dim_ward": dims.dim_ward(table("ward"), before("dim_ward")),
         "dim_outcome": dims.dim_outcome(spark),
     }
-    done = Warehouse(spark, base, load_id, ())
+    done = Warehouse(spark, base, load_id)
     for name, df in built.items():
-        df.write.parquet(f"{done.root}/{name}")
+        seen = Observation(name)
+        df.observe(seen, F.count("*").alias("rows")).write.parquet(f"{done.root}/{name}")
+        done.table_rows[name] = seen.get["rows"]
     return done
 
 
@@ -150,9 +187,11 @@ def keyed_groups(groups: DataFrame, wh: Warehouse) -> DataFrame:
     return fact.with_surrogates(groups, *[wh.dimension(name) for name in names])
 
 
-def write_fact(groups: DataFrame, wh: Warehouse) -> list[tuple[str, str, int]]:
-    """Write groups as the load's own partitions and return these."""
+def write_fact(groups: DataFrame, wh: Warehouse) -> list[Part]:
+    """Write groups as the load's own partitions and return these. What the write
+    itself counted must be what is found in the folder; else the load is not finished."""
     folder = f"{wh.base}/fact_load/load_id={wh.load_id}"
+    seen, totals = Observation("fact"), {"rows": F.count("*"), "cases": or_zero(F.sum("total_cases"))}
     (
         keyed_groups(groups, wh)
         .withColumns(
@@ -163,12 +202,18 @@ def write_fact(groups: DataFrame, wh: Warehouse) -> list[tuple[str, str, int]]:
         )
         .hint("rebalance", "load_status", "year_num")
         .withColumn("fact_id", fact.grain_key())
+        .observe(seen, *[total.alias(name) for name, total in totals.items()])
         .write.partitionBy("load_status", "year_num")
         .parquet(folder)
     )
     written = wh.spark.read.schema(FACT_LOAD).parquet(folder)
-    found = written.select("load_status", "year_num").distinct().collect()
-    return [(wh.load_id, r.load_status, r.year_num) for r in found]
+    sums = [total.alias(name) for name, total in totals.items()]
+    found = written.groupBy("load_status", "year_num").agg(*sums).collect()
+    parts = [(wh.load_id, r["load_status"], r["year_num"], r["rows"], r["cases"]) for r in found]
+    kept = {"rows": sum(p[3] for p in parts), "cases": sum(p[4] for p in parts)}
+    if seen.get != kept:
+        raise RuntimeError(f"load {wh.load_id} wrote {seen.get} and keeps {kept}")
+    return parts
 
 
 def publish(wh: Warehouse, stored_reports: Reports | None = None) -> Warehouse:
@@ -176,7 +221,8 @@ def publish(wh: Warehouse, stored_reports: Reports | None = None) -> Warehouse:
     for name, build in (stored_reports or {}).items():
         wh.store_report(name, build(wh))
     now = wh.spark.range(1).select(F.current_timestamp()).first()[0]
-    row = wh.spark.createDataFrame([(wh.load_id, now, [tuple(p) for p in wh.parts])], LOADS_SCHEMA)
+    entry = (wh.load_id, now, [tuple(p) for p in wh.parts], wh.table_rows)
+    row = wh.spark.createDataFrame([entry], LOADS_SCHEMA)
     row.coalesce(1).write.mode("append").parquet(f"{wh.base}/loads")
     return wh
 
@@ -203,13 +249,53 @@ def refresh(
     return publish(wh, stored_reports)
 
 
-def latest(spark: SparkSession, root: str) -> Warehouse | None:
-    """The last published load, or None before the first."""
+def _logged(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of a log; none before the first is written."""
     try:
-        loads = spark.read.schema(LOADS_SCHEMA).parquet(f"{root}/loads")
+        return spark.read.schema(schema).parquet(folder)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
-    newest = loads.agg(F.max_by(F.struct("load_id", "parts"), "finished_at")).first()[0]
-    return Warehouse(spark, root, newest.load_id, [tuple(p) for p in newest.parts]) if newest else None
+        return spark.createDataFrame([], schema)
+
+
+def _opened(spark: SparkSession, root: str, row: Row) -> Warehouse:
+    return Warehouse(spark, root, row.load_id, [tuple(p) for p in row.parts], dict(row.table_rows or {}))
+
+
+def latest(spark: SparkSession, root: str) -> Warehouse | None:
+    """The last published load, or None before the first."""
+    loads = _logged(spark, f"{root}/loads", LOADS_SCHEMA)
+    last = F.max_by(F.struct("load_id", "parts", "table_rows"), "finished_at")
+    newest = loads.agg(last).first()[0]
+    return _opened(spark, root, newest) if newest else None
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2, grace: timedelta = timedelta(days=1)) -> list[str]:
+    """Mark all but the last ``keep`` loads as expired, and remove the folders of those
+    marked longer than ``grace`` ago. Fact partitions that a later load took over stay as
+    long as any load that is not removed names them. Returns the loads removed now; a
+    run that was broken off is finished by the next one."""
+    if keep < 1:
+        raise ValueError("the last load must be kept")
+    loads = _logged(spark, f"{root}/loads", LOADS_SCHEMA).orderBy(F.col("finished_at").desc()).collect()
+    marks = _logged(spark, f"{root}/expired", EXPIRED_SCHEMA).groupBy("load_id").agg(F.min("marked_at").alias("at"))
+    marked = {r.load_id: r["at"] for r in marks.collect()}
+    now = spark.range(1).select(F.current_timestamp()).first()[0]
+    fresh = [(row.load_id, now) for row in loads[keep:] if row.load_id not in marked]
+    if fresh:
+        spark.createDataFrame(fresh, EXPIRED_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/expired")
+    marked.update(fresh)
+    old = {load for load, at in marked.items() if at + grace <= now}
+    needed = {tuple(part)[:3] for row in loads if row.load_id not in old for part in row.parts}
+    removed = []
+    for row in loads:
+        if row.load_id in old:
+            own = [tuple(p)[:3] for p in row.parts if p.load_id == row.load_id]
+            gone = [p for p in own if p not in needed]
+            folders = [f"fact_load/load_id={p[0]}/load_status={p[1]}/year_num={p[2]}" for p in gone]
+            if len(gone) == len(own):
+                folders = [f"fact_load/load_id={row.load_id}"]
+            found = [remove_folder(spark, f"{root}/{f}") for f in [f"load={row.load_id}", *folders]]
+            removed += [row.load_id] if any(found) else []
+    return removed

@@ -35,6 +35,12 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder of any file system that Spark writes to; False if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_operational(
     spark: SparkSession, root: str, table: str, columns: list[str] | None = None
 ) -> DataFrame:

@@ -16,6 +16,7 @@ FROM, TO = "1995-01-01", "2001-12-31"
 # Day of an earlier load, and a ward whose admissions from a day on were reported later.
 KNOWN_BEFORE, LATE_WARD, LATE_FROM = "2001-02-01", 3, "1999-06-01"
 WIN_FROM, WIN_TO = "1997-01-01", "1998-12-31"
+REQUEST_TO = "1997-09-30"
 
 
 def ratio(num: str, den: str) -> str:
@@ -243,6 +244,9 @@ for _bound, _sign, _day in (("from", ">=", WIN_FROM), ("until", "<=", WIN_TO)):
     BLOCKS[f"overview_{_bound}"] = REPORTS["overview"].replace(
         "{F}", f"fact WHERE visit_date {_sign} DATE '{_day}'"
     )
+BLOCKS["overview_request"] = REPORTS["overview"].replace(
+    "{F}", f"fact WHERE visit_date BETWEEN DATE '{WIN_FROM}' AND DATE '{REQUEST_TO}'"
+)
 BLOCKS["ward_utilization"] = f"""
 SELECT year_num, month_num, ward_id, ward_name, ward_type, capacity, month_occupied_bed_days,
   {pct('month_occupied_bed_days', 'capacity * dim')} utilization_pct,
@@ -253,6 +257,18 @@ FROM (SELECT CAST(year(full_date) AS INT) year_num, CAST(month(full_date) AS INT
         day(last_day(max(full_date))) dim
       FROM ward_day GROUP BY 1, 2, 3, 4, 5, 6)"""
 BLOCKS["ward_months"] = f"SELECT *, {label()} month_label FROM ward_utilization"
+BLOCKS["doctor_view"] = (
+    "SELECT d.doctor_id, d.specialization, d.experience_years,"
+    " CAST(count(DISTINCT v.visit_id) AS BIGINT) total_visits, "
+    + ratio("sum(ba.days_stayed)", "count(ba.days_stayed)")
+    + " avg_patient_stay,"
+    " CAST(count(*) FILTER (o.status = 'Recovered') AS BIGINT) recovered_count,"
+    " CAST(count(*) FILTER (o.status = 'Readmitted') AS BIGINT) readmission_count, "
+    + pct("count(*) FILTER (o.status = 'Recovered')", "count(DISTINCT v.visit_id)")
+    + " recovery_rate_pct FROM doctor d LEFT JOIN visit v ON d.doctor_id = v.doctor_id"
+    " LEFT JOIN bed_allocation ba ON v.patient_id = ba.patient_id"
+    " LEFT JOIN outcome o ON v.visit_id = o.visit_id GROUP BY 1, 2, 3"
+)
 BLOCKS["doctor_monthly_ops"] = f"""
 SELECT doctor_id, specialization, department, year_num, month_num, {label()} month_label,
   total_cases, recovered_cases, readmitted_cases, {RATES}
@@ -567,6 +583,11 @@ def _queries() -> dict[str, str]:
         f" count(*) FILTER (visit_date BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}') loaded_groups,"
         f" count(*) FILTER (visit_date NOT BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}') skipped_groups"
         " FROM fact_groups",
+        "etl_counters_recounted": "SELECT CAST(sum(total_cases) AS BIGINT) extracted_rows,"
+        " count(*) transformed_groups,"
+        f" count(*) FILTER (visit_date BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}') loaded_groups,"
+        f" count(*) FILTER (visit_date NOT BETWEEN DATE '{SHORT_FROM}' AND DATE '{SHORT_TO}') skipped_groups"
+        " FROM fact_groups",
         # reports
         "disease_trend": "SELECT *, "
         + ratio(
@@ -593,6 +614,14 @@ def _queries() -> dict[str, str]:
         "overview": "SELECT * FROM overview",
         "overview_window": "SELECT * FROM overview_w",
         "overview_default_window": "SELECT * FROM overview_empty",
+        "overview_own_default_window": "SELECT * FROM overview_w",
+        "overview_half_open_request": "SELECT * FROM overview_request",
+        "overview_window_sql": "SELECT * FROM overview_w",
+        "overview_empty_window_sql": "SELECT * FROM overview_empty",
+        "disease_resources_sql": "SELECT * FROM disease_resources_w",
+        "doctor_performance_view_sql": "SELECT * FROM doctor_view",
+        "doctors_by_specialization_sql": "SELECT * FROM doctor_view"
+        " WHERE specialization = 'NATION_7' AND total_visits >= 100",
         "overview_from": "SELECT * FROM overview_from",
         "overview_until": "SELECT * FROM overview_until",
         "monthly_trend": f"SELECT {label()} month_label, CAST(sum(total_cases) AS BIGINT) total_cases,"
@@ -603,16 +632,7 @@ def _queries() -> dict[str, str]:
         "doctor_monthly_ops": "SELECT * FROM doctor_monthly_ops",
         "doctor_monthly_with_fallback": "SELECT * FROM doctor_monthly_w",
         "doctor_monthly_fallback_used": "SELECT * FROM doctor_monthly_late",
-        "doctor_performance_view": "SELECT d.doctor_id, d.specialization, d.experience_years,"
-        " CAST(count(DISTINCT v.visit_id) AS BIGINT) total_visits, "
-        + ratio("sum(ba.days_stayed)", "count(ba.days_stayed)")
-        + " avg_patient_stay,"
-        " CAST(count(*) FILTER (o.status = 'Recovered') AS BIGINT) recovered_count,"
-        " CAST(count(*) FILTER (o.status = 'Readmitted') AS BIGINT) readmission_count, "
-        + pct("count(*) FILTER (o.status = 'Recovered')", "count(DISTINCT v.visit_id)")
-        + " recovery_rate_pct FROM doctor d LEFT JOIN visit v ON d.doctor_id = v.doctor_id"
-        " LEFT JOIN bed_allocation ba ON v.patient_id = ba.patient_id"
-        " LEFT JOIN outcome o ON v.visit_id = o.visit_id GROUP BY 1, 2, 3",
+        "doctor_performance_view": "SELECT * FROM doctor_view",
         "default_doctor_trend": trend,
         "requested_doctor_trend": "SELECT * FROM doctor_monthly WHERE doctor_id = 7",
         "doctor_monthly_filtered": "SELECT * FROM doctor_monthly WHERE specialization = 'NATION_7'"
