@@ -7,8 +7,9 @@ shuffled once, into the same buckets, and merge-anti-joins the runs one after th
 other without moving them: what is in no run is new, belongs to its smallest document
 of this batch and forms a run of its own on level 0. When a level has ``fan`` runs they
 are merged, bucket by bucket, into one of the next level, so a batch reads few runs
-and a hash is rewritten once per level. At the end all runs become one, which the lines
-meet. Runs lie in the shared folder; a rerun of a lost task writes the same run.
+and a hash is rewritten once per level. Runs lie in the shared folder; a rerun of a
+lost task writes the same run. In the end the lines meet the runs in a join of which
+Spark can split a partition that a very common line fills.
 
 There are as many buckets as shuffle partitions, and a batch for every ``batch_rows``
 documents, ``batches`` at least; neither changes the result.
@@ -62,6 +63,7 @@ class Runs:
 
     def __init__(self, spark: SparkSession, fan: int):
         self.spark, self.fan = spark, fan
+        self.folders: dict[str, str] = {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
@@ -71,6 +73,7 @@ class Runs:
         # rows come in the buckets of the table, one per task
         writer = rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
         writer.option("path", folder).saveAsTable(name)
+        self.folders[name] = folder
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
@@ -88,14 +91,15 @@ class Runs:
             self.spark.sql(f"DROP TABLE {name}")  # from the catalog; its files stay
         return run
 
-    def add(self, first: DataFrame) -> None:
-        """A run of what ``first`` (a row per key and its owner) has and no run does."""
+    def add(self, first: DataFrame, last: bool = False) -> None:
+        """A run of what ``first`` (a row per key and its owner) has and no run does.
+        After the ``last`` nothing is compacted."""
         run, level = self._write(self.unseen(first)), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
-            if len(self.levels[level]) < self.fan:
+            if last or len(self.levels[level]) < self.fan:
                 return
             full, self.levels[level] = self.levels[level], []
             run, level = self._replace(full), level + 1
@@ -106,8 +110,10 @@ class Runs:
         return first
 
     def all(self) -> DataFrame:
-        names = [run for level in self.levels for run in level]
-        return self.spark.table(names[0] if len(names) == 1 else self._replace(names))
+        """The rows of all runs, read as files: the bucket of a very common key would be
+        one task, whatever meets it there."""
+        folders = [self.folders[run] for level in self.levels for run in level]
+        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*folders)
 
 
 def batch_bounds(docs: DataFrame, batches: int, batch_rows: int) -> list[int]:
@@ -123,13 +129,13 @@ def owners(lines: DataFrame, bounds: list[int], fan: int) -> DataFrame:
     runs, below = Runs(lines.sparkSession, fan), -(2**63)
     for k, bound in enumerate(bounds):
         batch = lines.filter((F.col("doc") > below) | F.lit(not k)).filter(F.col("doc") <= bound)
-        runs.add(batch.groupBy(*KEY).agg(F.min("doc").alias("owner")))
+        runs.add(batch.groupBy(*KEY).agg(F.min("doc").alias("owner")), last=bound == bounds[-1])
         below = bound
     return runs.all()
 
 
 def dropped_lines(
-    docs: DataFrame, least: int = 10, batches: int = 4, batch_rows: int = 100_000_000, fan: int = 2
+    docs: DataFrame, least: int = 10, batches: int = 4, batch_rows: int = 100_000_000, fan: int = 3
 ) -> DataFrame:
     """Places of the lines to drop, an array for each document and text that has any."""
     spark = docs.sparkSession
@@ -137,7 +143,7 @@ def dropped_lines(
     line_rows(docs, least).write.parquet(folder)
     lines = spark.read.parquet(folder)
     first = owners(lines, batch_bounds(docs, batches, batch_rows), fan)
-    late = lines.join(first.hint("merge"), KEY).filter(F.col("doc") > F.col("owner"))
+    late = lines.join(first, KEY).filter(F.col("doc") > F.col("owner"))
     return late.groupBy("doc", "of_text").agg(F.collect_set("at").alias("dropped"))
 
 
