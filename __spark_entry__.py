@@ -69,8 +69,7 @@ class Site:
     @cached_property
     def wh(self) -> Warehouse:
         """A load whose calendar covers all visits."""
-        day = F.col("visit_date")
-        return self._load(*self.table("visit", "visit_date").agg(F.min(day), F.max(day)).first())
+        return self._load(*self.span)
 
     @cached_property
     def short_wh(self) -> Warehouse:
@@ -99,15 +98,22 @@ class Site:
         return written_once(changes.changes_between(self.earlier_table(name), self.table(name)), "changes")
 
     @cached_property
-    def changed_wh(self) -> Warehouse:
-        """A load of that day, then a refresh of what changed since."""
-        folder = new_folder(self.spark, "warehouse")
+    def span(self) -> tuple:
+        """First and last day with a visit."""
         day = F.col("visit_date")
-        span = self.table("visit", "visit_date").agg(F.min(day), F.max(day)).first()
-        refresh(self.spark, folder, self.earlier_table, *span)
+        return tuple(self.table("visit", "visit_date").agg(F.min(day), F.max(day)).first())
+
+    @cached_property
+    def earlier_wh(self) -> Warehouse:
+        """A load of that day, with a calendar up to now."""
+        return refresh(self.spark, new_folder(self.spark, "warehouse"), self.earlier_table, *self.span)
+
+    @cached_property
+    def changed_wh(self) -> Warehouse:
+        """The same warehouse after a refresh of what changed since."""
         return changes.refresh_changed(
-            self.spark, folder, self.table,
-            lambda name: self.changed(name) if name in CHANGING else None, *span,
+            self.spark, self.earlier_wh.base, self.table,
+            lambda name: self.changed(name) if name in CHANGING else None, *self.span,
         )
 
     def any_table(self, name: str) -> DataFrame:
