@@ -5,8 +5,14 @@ from random edges; then each vector, in batches, searches the graph greedily, an
 its neighbours are chosen from what the search visited: the nearest one is kept and
 all others drop out that are ``alpha`` times nearer to it than to the vector, which
 keeps diverse edges; edges are made both ways and pruned the same way. Two rounds
-are run, the second with ``alpha`` above 1. A query searches every shard with a beam
-of ``beam`` and the best of all shards are merged by exact score.
+are run, the second with ``alpha`` above 1. A query searches every shard with a beam,
+and the best of all shards are merged by exact score.
+
+How wide the beam must be depends on the data, so it is measured: when a shard is
+built, ``tried`` of its vectors, spread evenly, are searched in it, and what is found is
+held against their exact nearest. Starting with ``beam``, the width is doubled until
+``goal`` of these are found; a shard where no width below half its size does it is
+scanned by blocked products instead. Width and measured recall are kept with the shard.
 
 Nearness is the inner product. Graph distances are Euclidean after one more
 coordinate, sqrt(M^2 - |x|^2) for the largest norm M of the shard, which puts the
@@ -173,11 +179,37 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
     return np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))])
 
 
-def index_shard(group: pa.Table, degree: int, beam: int, alpha: float) -> pa.Table:
+def fitted_beam(
+    vectors: np.ndarray, edges: np.ndarray, start: int, count: int, beam: int, goal: float, tried: int
+) -> tuple[int, float]:
+    """The width at which a sample's searches reach the goal, and the recall measured;
+    width 0 stands for the exact scan."""
+    some = np.unique(np.linspace(0, len(vectors) - 1, tried).astype(int))
+    aim = vectors[some]
+    scores = aim @ vectors.T
+    most = min(count + 1, len(vectors))
+    least = np.partition(scores, -most, axis=1)[:, -most]  # the score that the last of them has
+    points, width = lifted(vectors), max(beam, count + 1)
+    targets = np.column_stack([aim, np.zeros(len(aim))])
+    while 2 * width < len(vectors):
+        found, _ = search(points, edges, start, targets, width)
+        there = np.where(found >= 0, np.take_along_axis(scores, np.maximum(found, 0), 1), -np.inf)
+        good = (there >= least[:, None] - 1e-9 * np.abs(least[:, None])).sum(1)
+        recall = float(np.minimum(good, most).sum() / (most * len(aim)))
+        if recall >= goal:
+            return width, recall
+        width *= 2
+    return 0, 1.0
+
+
+def index_shard(
+    group: pa.Table, count: int, degree: int, beam: int, alpha: float, goal: float, tried: int
+) -> pa.Table:
     vectors = np.array(group.column("vec").to_pylist(), np.float64)
     order = np.lexsort(vectors.T[::-1])
     vectors, ids = vectors[order], group.column("ids").take(pa.array(order))
     edges, start = build_graph(lifted(vectors), degree, beam, alpha)
+    width, recall = fitted_beam(vectors, edges, start, count, beam, goal, tried)
     count = len(vectors)
     return pa.table(
         {
@@ -187,24 +219,29 @@ def index_shard(group: pa.Table, degree: int, beam: int, alpha: float) -> pa.Tab
             "ids": ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids,
             "edges": pa.array([e[e >= 0].astype(np.int32) for e in edges], pa.list_(pa.int32())),
             "start": pa.array(np.full(count, start, np.int32)),
+            "beam": pa.array(np.full(count, width, np.int32)),
+            "recall": pa.array(np.full(count, recall)),
         }
     )
 
 
-GRAPH = "shard int, node int, vec array<double>, ids array<long>, edges array<int>, start int"
+GRAPH = (
+    "shard int, node int, vec array<double>, ids array<long>, edges array<int>, start int, "
+    "beam int, recall double"
+)
 
 
 EMPTY = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def search_shards(queries: pa.Table, shards: pa.Table, count: int, beam: int) -> pa.Table:
+def search_shards(queries: pa.Table, shards: pa.Table, count: int) -> pa.Table:
     """The ``count`` best of each query over a few shards, searched one by one."""
     found: list[pd.DataFrame] = []
     if queries.num_rows and shards.num_rows:
         numbers = shards.column("shard").to_numpy()
         for number in np.unique(numbers):
             shard = shards.filter(pa.array(numbers == number))
-            found = [best_of([*found, *search_shard(queries, shard, count, beam)], count)]
+            found = [best_of([*found, *search_shard(queries, shard, count)], count)]
     if not found or not len(found[0]):
         return EMPTY.empty_table()
     return pa.Table.from_pandas(found[0], preserve_index=False).cast(EMPTY)
@@ -216,7 +253,18 @@ def best_of(frames: list[pd.DataFrame], count: int) -> pd.DataFrame:
     return frame.groupby("query_id").head(count)
 
 
-def search_shard(queries: pa.Table, shard: pa.Table, count: int, beam: int) -> list[pd.DataFrame]:
+def exact_best(vectors: np.ndarray, part: np.ndarray, count: int) -> np.ndarray:
+    """The nearest points of each query by the product with all of them, and any that
+    are as near as the last within rounding (-1: none)."""
+    scores = part @ vectors.T
+    count = min(count, len(vectors))
+    last = np.partition(scores, -count, axis=1)[:, -count]
+    near = scores >= (last - 1e-9 * np.abs(last))[:, None]
+    order = np.argsort(~near, axis=1, kind="stable")[:, : int(near.sum(1).max())]
+    return np.where(np.take_along_axis(near, order, 1), order, -1)
+
+
+def search_shard(queries: pa.Table, shard: pa.Table, count: int) -> list[pd.DataFrame]:
     shard = shard.take(pa.array(np.argsort(shard.column("node").to_numpy())))
     vectors = np.array(shard.column("vec").to_pylist(), np.float64)
     lists = shard.column("edges").to_pylist()
@@ -225,13 +273,16 @@ def search_shard(queries: pa.Table, shard: pa.Table, count: int, beam: int) -> l
         edges[k, : len(row)] = row
     members = shard.column("ids").to_pylist()
     points, start = lifted(vectors), int(shard.column("start")[0].as_py())
+    beam = int(shard.column("beam")[0].as_py())
     wanted = np.array(queries.column("vec").to_pylist(), np.float64)
     names = queries.column("query_id").to_numpy()
     out: list[pd.DataFrame] = []
     for at in range(0, len(wanted), 512):
         part = wanted[at : at + 512]
-        aim = np.column_stack([part, np.zeros(len(part))])
-        found, _ = search(points, edges, start, aim, max(beam, count + 1))
+        if beam:
+            found, _ = search(points, edges, start, np.column_stack([part, np.zeros(len(part))]), beam)
+        else:
+            found = exact_best(vectors, part, count + 1)
         rows, columns = np.nonzero(found >= 0)
         at_node = found[rows, columns]
         scores = (vectors[at_node] * part[rows]).sum(1)
@@ -257,6 +308,8 @@ def nearest(
     degree: int = 32,
     beam: int = 64,
     alpha: float = 1.2,
+    goal: float = 0.98,
+    tried: int = 64,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``count`` nearest found of each query,
     the rows whose id is divisible by ``every``."""
@@ -280,7 +333,8 @@ def nearest(
     place = F.pmod(F.xxhash64("vec"), by_width(shards)).cast("int")
     graph = points.withColumn("shard", by_width(firsts(shards)) + place).groupBy("shard")
     index = new_folder(spark, "ann-index")
-    graph.applyInArrow(lambda group: index_shard(group, degree, beam, alpha), GRAPH).write.parquet(index)
+    build = lambda group: index_shard(group, count, degree, beam, alpha, goal, tried)
+    graph.applyInArrow(build, GRAPH).write.parquet(index)
     in_group = F.floor((F.col("shard") - by_width(firsts(shards))) / F.lit(together)).cast("int")
     built = spark.read.schema(GRAPH).parquet(index).withColumn("part", by_width(firsts(groups)) + in_group)
 
@@ -295,7 +349,7 @@ def nearest(
     )
     held = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block"))
-    found = pairs.applyInArrow(lambda q, s: search_shards(q, s, count, beam), FOUND)
+    found = pairs.applyInArrow(lambda q, s: search_shards(q, s, count), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= count)
     return ranked.select("query_id", "rank", "vec_id", "score")

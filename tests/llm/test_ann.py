@@ -44,6 +44,37 @@ def test_recall_of_the_whole_table(spark, shard_size):
     assert all(s == pytest.approx(scores[q, j], rel=1e-12) for q in got for j, s in got[q] if (q, j) in scores)
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "spread norms", "far tail"])
+def test_recall_on_hard_vectors(spark, kind):
+    """Vectors without structure: a fixed beam of 64 finds half of the nearest."""
+    rng = np.random.RandomState(7)
+    vectors = rng.normal(size=(8000, 64))
+    if kind != "gaussian":
+        vectors *= rng.lognormal(0, 1 if kind == "spread norms" else 2.5, size=(8000, 1))
+    vectors = vectors.astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = found(table)
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(400), np.arange(400) * 20] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    hits = [len({j for j, _ in got[20 * k]} & set(near.tolist())) for k, near in enumerate(want)]
+    assert np.mean(hits) / 20 >= 0.95
+
+
+def test_width_is_measured_and_the_scan_is_exact():
+    rng = np.random.RandomState(3)
+    vectors = rng.normal(size=(900, 48))
+    edges, start = ann.build_graph(ann.lifted(vectors), 16, 32, 1.2)
+    width, recall = ann.fitted_beam(vectors, edges, start, 10, 16, 0.5, 40)
+    assert 16 <= width < 450 and 0.5 <= recall <= 1
+    assert ann.fitted_beam(vectors, np.full((900, 1), -1), start, 10, 16, 0.5, 40) == (0, 1.0)
+    best = ann.exact_best(vectors, vectors[:5], 10)
+    for k in range(5):
+        assert set(best[k][best[k] >= 0]) == set(np.argsort(-(vectors @ vectors[k]))[:10])
+    tied = np.vstack([vectors[:3], vectors[:3]])
+    assert (ann.exact_best(tied, vectors[:1], 1) >= 0).sum() == 2
+
+
 def test_odd_rows(spark):
     rng = np.random.RandomState(0)
     same = [float(x) for x in rng.normal(size=4)]
