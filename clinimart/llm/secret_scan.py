@@ -36,11 +36,15 @@ ASSIGN = (
 PATTERNS = (("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
 HEX_RUN = "[0-9a-f]{24,}"  # the same matches of hex that are long enough
 # Candidate classes: kind, pattern of a run, what a candidate must also have, limit in
-# thousandths of a bit.
+# thousandths of a bit; and the characters of each class.
 CLASSES = (
     ("mixed", "[A-Za-z0-9+/_-]{20,}", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3600),
     ("digits", "[0-9A-F]{24,}", "^(?=.*[0-9])(?=.*[A-F])", 2800),
 )
+CHARACTERS = {
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
+    "digits": "0123456789ABCDEF",
+}
 # Not secrets: placeholders, words in one case joined by marks, one character repeated.
 # Repeated groups are possessive: without that a very long candidate overflows the stack.
 ALLOWED = ("(?i)example|placeholder|changeme|dummy|x{6,}", "^[a-z]++(?:[-_/][a-z]++)++$", "^(.)\\1+$")
@@ -88,16 +92,17 @@ def steps_of(window: int) -> list[int]:
     return [0, *(round(1000 * c * math.log2(c)) for c in range(1, window + 2))]
 
 
-def hot_windows(part: Column, limit: int, window: int) -> Column:
+def hot_windows(part: Column, alphabet: str, limit: int, window: int) -> Column:
     """Array of (start, end) within the string, where windows reach the limit. The
-    state holds the count of each character in the window, the sum of c log2 c, and
-    the spans found."""
-    chars = F.split(part, "")
+    state holds the count of each character of the class in the window, in an array by
+    the character's place in the alphabet, the sum of c log2 c, the span that is open,
+    and the spans closed before."""
+    codes = F.transform(F.split(part, ""), lambda c: F.instr(F.lit(alphabet), c))
     places = F.sequence(F.lit(1), F.char_length(part))
     # entering and leaving character of each step, in one array that is made once
-    left = F.concat(F.array_repeat(F.lit(""), window), chars)
+    left = F.concat(F.array_repeat(F.lit(1), window), codes)
     steps = F.slice(
-        F.arrays_zip(chars.alias("new"), left.alias("old"), places.alias("at")), F.lit(1), F.char_length(part)
+        F.arrays_zip(codes.alias("new"), left.alias("old"), places.alias("at")), F.lit(1), F.char_length(part)
     )
     table = F.array(*[F.lit(n) for n in steps_of(window)])
     most = round(1000 * window * math.log2(window)) - limit * window
@@ -106,36 +111,40 @@ def hot_windows(part: Column, limit: int, window: int) -> Column:
         return F.element_at(table, count + 1)
 
     start = F.struct(
-        F.create_map().cast("map<string,int>").alias("counts"),
+        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
         F.lit(0).alias("sum"),
+        F.lit(-1).alias("open"),
+        F.lit(-1).alias("until"),
         F.array().cast("array<struct<start:int,end:int>>").alias("out"),
     )
 
-    def put(counts: Column, char: Column, count: Column) -> Column:
-        others = F.map_filter(counts, lambda k, v: k != char)
-        return F.map_concat(others, F.create_map(char, count))
+    def closed(state: Column) -> Column:
+        span = F.struct(state["open"].alias("start"), state["until"].alias("end"))
+        return F.when(state["open"] < 0, state["out"]).otherwise(F.concat(state["out"], F.array(span)))
 
     def move(state: Column, step: Column) -> Column:
-        new, old, at = step["new"], step["old"], step["at"]
-        here = F.coalesce(F.try_element_at(state["counts"], new), F.lit(0))
-        entered = F.struct(
-            put(state["counts"], new, here + 1).alias("counts"), (state["sum"] + cost(here + 1) - cost(here)).alias("sum")
-        )
-        gone = F.coalesce(F.try_element_at(entered["counts"], old), F.lit(1))
+        new, old, at = step["new"], step["old"], step["at"].cast("int")
         full = at > window
-        counts = F.when(full, put(entered["counts"], old, gone - 1)).otherwise(entered["counts"])
-        total = F.when(full, entered["sum"] + cost(gone - 1) - cost(gone)).otherwise(entered["sum"])
+        here = F.element_at(state["counts"], new)
+        gone = F.element_at(state["counts"], old) + F.when(old == new, 1).otherwise(0)
+        entered = state["sum"] + cost(here + 1) - cost(here)
+        total = F.when(full, entered + cost(gone - 1) - cost(gone)).otherwise(entered)
+        leaving = F.when(full, old).otherwise(0)
+        counts = F.transform(
+            state["counts"],
+            lambda c, i: c + F.when(i == new - 1, 1).otherwise(0) - F.when(i == leaving - 1, 1).otherwise(0),
+        )
         hot = (at >= window) & (total <= most)
-        last = F.try_element_at(state["out"], F.lit(-1))
-        span = F.struct((at - window).cast("int").alias("start"), at.cast("int").alias("end"))
-        longer = F.struct(last["start"].alias("start"), at.cast("int").alias("end"))
-        joined = F.concat(F.slice(state["out"], 1, F.greatest(F.size(state["out"]) - 1, F.lit(0))), F.array(longer))
-        out = F.when(~hot, state["out"]).when(
-            last["end"] >= at - window, joined
-        ).otherwise(F.concat(state["out"], F.array(span)))
-        return F.struct(counts.alias("counts"), total.alias("sum"), out.alias("out"))
+        apart = hot & (state["until"] < at - window)  # a new span; the open one is done
+        return F.struct(
+            counts.alias("counts"),
+            total.alias("sum"),
+            F.when(apart, at - window).otherwise(state["open"]).alias("open"),
+            F.when(hot, at).otherwise(state["until"]).alias("until"),
+            F.when(apart, closed(state)).otherwise(state["out"]).alias("out"),
+        )
 
-    return F.aggregate(steps, start, move, lambda state: state["out"])
+    return F.aggregate(steps, start, move, closed)
 
 
 def entropy_spans(text: Column, kind: str, known: Column, window: int = WINDOW) -> Column:
@@ -150,7 +159,7 @@ def entropy_spans(text: Column, kind: str, known: Column, window: int = WINDOW)
 
     def shifted(m: Column) -> Column:
         return F.transform(
-            hot_windows(m["part"], limit, window),
+            hot_windows(m["part"], CHARACTERS[kind], limit, window),
             lambda s: F.struct(
                 (m["start"] + s["start"]).alias("start"), (m["start"] + s["end"]).alias("end"), F.lit("").alias("part")
             ),
