@@ -8,19 +8,31 @@ from collections import Counter
 from clinimart.llm import secret_scan as scan
 
 SF_DIR = "/root/testdata/sf0.001"
+# The contract's patterns, the group to measure and its least length; the method's own
+# classes with what a candidate must have and its limit; and the allow-list.
+PATTERNS = (
+    ("assign", r"""(?a:((?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+)
+CLASSES = (
+    ("mixed", "[A-Za-z0-9+/_-]{20,}", ("[0-9]", "[a-z]", "[A-Z]"), 3600),
+    ("digits", "[0-9A-F]{24,}", ("[0-9]", "[A-F]"), 2800),
+)
+ALLOWED = ("(?i)example|placeholder|changeme|dummy|x{6,}", r"\A[a-z]+(?:[-_/][a-z]+)+\Z", r"\A(.)\1+\Z")
 
 
 def slow_spans(text):
     text = text or ""
     base, more = [], []
-    for rank, (kind, pattern, group, least) in enumerate(scan.PATTERNS):
+    for rank, (kind, pattern, group, least) in enumerate(PATTERNS):
         for m in re.finditer(pattern, text):
             if len(m[group]) >= least:
                 base.append((m.start(), rank, m.end(), kind))
-    for rank, (kind, pattern, must, limit) in enumerate(scan.CLASSES, len(scan.PATTERNS)):
+    for rank, (kind, pattern, must, limit) in enumerate(CLASSES, len(PATTERNS)):
         for m in re.finditer(pattern, text):
             part, spans = m[0], []
-            if not re.search(must, part) or any(re.search(a, part) for a in scan.ALLOWED):
+            if not all(re.search(c, part) for c in must) or any(re.search(a, part) for a in ALLOWED):
                 continue
             if any(a <= m.start() and m.end() <= b for a, _, b, _ in base):
                 continue

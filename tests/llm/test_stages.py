@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import defaultdict
@@ -141,6 +142,51 @@ def test_held_out_toxicity(spark):
     assert np.mean([r["predicted"] == 0 for r in rows if not r["toxic"]]) > 0.97
 
 
+def slow_toxicity(tagger, text):
+    """Score of one text from the tagger's weights: forward and backward sums over the
+    chain, word by word, and the curve over the text's summary."""
+    data, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    features = toxicity.word_features(data, *toxicity.words(data, bounds)[:2]) if text.split() else np.empty((4, 0))
+    evidence = []
+    for word in range(features.shape[1]):
+        total = tagger.bias
+        for feature in features[:, word]:
+            at = int(feature) >> (64 - toxicity.TABLE_BITS)
+            if tagger.owner[at] == int(feature) % 2**32:
+                total += float(tagger.weight[at])
+        evidence.append(min(30, max(-30, total)))
+    ahead, behind = [], [np.zeros(2)]
+    for k, e in enumerate(evidence):
+        now = np.array([0.0, e + (tagger.start if k == 0 else 0)])
+        if k:
+            now = now + np.logaddexp(ahead[-1][0] + tagger.chain[0], ahead[-1][1] + tagger.chain[1])
+        ahead.append(now)
+    for e in evidence[:0:-1]:
+        following = behind[-1] + np.array([0.0, e])
+        behind.append(np.logaddexp(tagger.chain[:, 0] + following[0], tagger.chain[:, 1] + following[1]))
+    marginal = []
+    for a, b in zip(ahead, reversed(behind), strict=False) if evidence else ():
+        both = a + b
+        marginal.append(float(np.exp(both[1] - np.logaddexp(*both))))
+    largest = min(1 - 1e-4, max(1e-4, max(marginal, default=0.0)))
+    x = np.array([np.log(largest / (1 - largest)), np.log1p(sum(m >= 0.5 for m in marginal)), 1.0]) @ tagger.curve
+    return 1 / (1 + np.exp(-x)), [m >= 0.5 for m in marginal]
+
+
+def test_scores_equal_the_chain_word_by_word(spark):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    tagger = toxicity.train(docs.select("doc_id", "text"), labels, 5, 0)
+    found = {r["doc_id"]: r for r in toxicity.scores(docs.withColumn("score", docs["doc_id"]), labels).collect()}
+    toxic = 0
+    for row in docs.filter("doc_id % 3 = 0").collect():
+        score, bad = slow_toxicity(tagger, row["text"].encode())
+        assert found[row["doc_id"]]["score"] == pytest.approx(score, rel=1e-4, abs=1e-6)
+        assert bool(found[row["doc_id"]]["spans"]) == any(bad)
+        toxic += any(bad)
+    assert toxic > 5
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
@@ -173,6 +219,71 @@ def test_code_lengths_equal_the_slow_way():
     assert np.allclose(np.exp2(-tree.cost.astype(float)).sum(1), 1, atol=1e-5)
 
 
+def slow_length(texts, text, order):
+    """Code length of a text by escapes, from the counts of all contexts of the texts:
+    the longest context seen in any language, then its shorter ones."""
+    counts = {lang: defaultdict(lambda: defaultdict(int)) for lang in texts}
+    for lang, own in texts.items():
+        for t in own:
+            line = b" " * order + t.lower()
+            for k in range(order, len(line)):
+                for back in range(order + 1):
+                    counts[lang][line[k - back : k]][line[k]] += 1
+    known = {context for own in counts.values() for context in own}
+
+    @functools.cache
+    def chance(lang, context, byte):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        here = counts[lang].get(context)
+        if not here:
+            return chance(lang, shorter, byte)
+        n, d = sum(here.values()), len(here)
+        if byte in here:
+            return here[byte] / (n + d)
+        unseen = sum(chance(lang, shorter, b) for b in range(256) if b not in here)
+        return d / (n + d) * chance(lang, shorter, byte) / unseen
+
+    line, total = b" " * order + text.lower(), []
+    for lang in sorted(texts):
+        bits = 0.0
+        for k in range(order, len(line)):
+            back = max(b for b in range(order + 1) if line[k - b : k] in known)
+            bits -= np.log2(chance(lang, line[k - back : k], line[k]))
+        total.append(bits)
+    return total
+
+
+def test_code_lengths_equal_brute_force_from_counts():
+    texts = {"a": [b"abab Abba abab", b"aab", b""], "b": [b"bcbc bccb", b"a c\xc3\xa9"], "c": [b"zzz"]}
+    tree = langid.fit(texts, order=3, least=1, contexts=10_000)
+    for text in (b"abcab", b"zz", b"ABab c\xc3\xa9!", b"b"):
+        found = tree.lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert np.allclose(found, slow_length(texts, text, 3), rtol=1e-5)
+
+
+def test_many_languages_repeated_rows_and_equal_lengths(spark):
+    rows = [(k, f"text of {k % 5000} ", f"l{k % 5000:04d}") for k in range(6000)]
+    rows += [(10_000 + k, "the cat sat on the mat", "en") for k in range(30)] * 2
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, lang string, digest string")
+    tree = langid.train(docs.select("doc_id", "lang", "text"))
+    assert len(tree.langs) == 64 and "en" in tree.langs and tree.cost.nbytes < 50_000_000
+    chosen = langid.sampled(docs, 250, 1 << 14, 64).filter("lang = 'en'")
+    assert chosen.select("digest").distinct().count() == 30
+    same = [(k, "one two", lang) for k in range(12) for lang in ("b", "a")]
+    found = langid.languages(spark.createDataFrame(same, "doc_id long, text string, lang string"))
+    assert found.count() == 24 and {r["lang_pred"] for r in found.collect()} == {"a"}  # equal: the first
+
+
+def test_language_sample_moves_no_text(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = langid.sampled(docs, 20, 1 << 14, 8)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_held_out_language(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
     found = queries.op7_language(spark, SF_DIR).filter("held_out").join(docs, "doc_id").filter("lang is not null")
@@ -203,6 +314,90 @@ def test_stages_follow_their_operators(spark):
     assert corpus_pipeline.drop_near_copies(spark, twice, SMALL).count() == corpus_pipeline.drop_near_copies(spark, docs, SMALL).count()
 
 
+def slow_kept_lines(rows):
+    """Texts after line dedup."""
+    strip = " \t\n\x0b\x0c\r"
+
+    def key(line):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(strip))
+
+    owner = {}
+    for i, text in sorted(rows):
+        for line in text.split("\n"):
+            owner.setdefault(key(line), i)
+    return [
+        (i, "\n".join(x for x in text.split("\n") if len(key(x)) < 10 or owner[key(x)] == i)) for i, text in rows
+    ]
+
+
+def slow_contaminated(text, items):
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+
+    words, hit = split(text), set()
+    for item in map(split, items):
+        size = min(13, len(item))
+        windows = {tuple(item[a : a + size]) for a in range(len(item) - size + 1)} if item else set()
+        for a in range(len(words) - size + 1):
+            if windows and tuple(words[a : a + size]) in windows:
+                hit.update(range(a, a + size))
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def test_run_equals_plain_stages(spark):
+    """The whole pipeline against the stages written out: the trained tagger's verdicts
+    are taken, all else is plain code or SQL."""
+    from test_simhash import slow_components
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    verdicts = queries.op2_toxicity(spark, SMALL).collect()
+    rows = [(r["doc_id"], docs[r["doc_id"]]["text"]) for r in verdicts if r["predicted"] == 0]
+    assert 0 < len(rows) < len(docs)
+    rows = slow_kept_lines(rows)
+    kept = {i for i, _, least in slow_components(rows) if i == least}
+    assert len(kept) < len(rows)
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    clean = [(i, t, docs[i]["source"]) for i, t in rows if i in kept and not slow_contaminated(t, items)]
+    assert len(clean) < len(kept)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", clean)
+    reference = db.execute(oracles.STATEMENTS["op4_source_mixing"])
+    frame = corpus_pipeline.run(spark, SMALL)
+    at = [[d[0] for d in reference.description].index(c) for c in frame.columns]
+    assert rows_of(frame) == sorted((tuple(r[k] for k in at) for r in reference.fetchall()), key=repr)
+
+
+def test_filtering_stages_of_odd_rows(spark):
+    """Nulls, repeated rows and columns with names that the stages use themselves."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    line = "a line that occurs in several documents"
+    odd = [(None, None, None, None, None), (None, line, "en", "s", 1), (9001, f"{line}\nown words here now", None, "s", None),
+           (9002, f"own text first\n{line}", "en", None, 5), (9002, f"own text first\n{line}", "en", None, 5), (9003, "", "en", "s", 0)]
+    frame = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name in ("score", "predicted", "_row", "h1", "owner", "dropped", "of_text", "spans"):
+        frame = frame.withColumn(name, frame["doc_id"])
+    safe = toxicity.harmless(frame, labels)
+    assert safe.columns == frame.columns
+    counts = {r["doc_id"]: r["count"] for r in safe.groupBy("doc_id").count().collect()}
+    assert counts[9002] == 2 and counts[9001] == counts[9003] == 1 and counts[None] == 2
+    after = line_dedup.deduplicated(frame)
+    assert after.columns == frame.columns and after.count() == frame.count()
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in after.filter("doc_id > 9000").collect()}
+    assert texts == {9001: (f"{line}\nown words here now", None), 9002: ("own text first", 14), 9003: ("", 0)}
+    assert sorted("-" if r["text"] is None else r["text"] for r in after.filter("doc_id is null").collect()) == ["", "-"]
+
+
+def test_a_very_long_text_is_scanned_whole(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(20)))], "item_id long, text string")
+    text = "filler, " * 400_000 + " ".join(f"Q{k}" for k in range(2, 18)) + " end" * 100_000
+    found = decontamination.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).first()
+    assert (found["n_words"], found["n_hit"], found["contaminated"]) == (500_016, 16, False)
+    a, b = found["spans"][0]
+    assert text[a:b].startswith("Q2 ") and text[a:b].endswith(" Q17")
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], DOC)
     for _, stage in corpus_pipeline.STAGES:
