@@ -7,9 +7,12 @@ fewer words, but not none, is one window. A text's word inside any occurrence of
 a window is hit. The words of item and text are joined by single spaces, with one
 at each end, so that windows match whole words only.
 
-The automaton grows with the benchmark, not with the documents. Its size is
-checked: windows are put into groups of at most ``group_bytes`` and a text is
-scanned once for each group; one group holds about a hundred thousand questions.
+The automaton grows with the benchmark, not with the documents. Windows are made,
+united and counted on Spark and dealt by hash to groups of about ``group_bytes``; one
+group at a time reaches the driver and the tasks, where a task builds its automaton
+once. With one group (about a hundred thousand questions) the documents are read once
+and nothing is shuffled. With more, they are written once with a number, scanned once
+per group, and the hit runs of a document from all groups are united by its number.
 
 Nulls: a null text has no words. Items without text or words have no window. A
 null item_id is left out of the item counts, its windows still hit. Repeated
@@ -19,57 +22,61 @@ benchmark contaminates nothing. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written_once
 from .text import LOWERED, code_points, rows_of, small_batches, with_bytes
 
 _codes = np.arange(256)
 _WORD = (_codes >= 128) | ((_codes >= 48) & (_codes <= 57)) | ((_codes >= 97) & (_codes <= 122))
 TABLE = bytes(int(LOWERED[c]) if _WORD[LOWERED[c]] else 32 for c in range(256))
-ADDED = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-    ]
-)
+RUN = "struct<first: bigint, last: bigint, start: bigint, end: bigint>"
+FOUND = f"n_words bigint, item_ids array<string>, runs array<{RUN}>"
+_RUN = pa.struct([(name, pa.int64()) for name in ("first", "last", "start", "end")])
+WINDOWS = "key binary, size int, item string"
 
 
 def normal_words(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-def windows_of(items: list[tuple], window: int) -> dict[bytes, tuple[int, set]]:
-    """Each window's key, with its number of words and the items that have it."""
-    found: dict[bytes, tuple[int, set]] = {}
-    for item_id, text in items:
-        words = normal_words(text)
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if words else 0):
-            key = b" " + b" ".join(words[at : at + size]) + b" "
-            found.setdefault(key, (size, set()))[1].add(item_id)
-    return found
+def window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """A row per item and distinct window of it."""
+    for batch in small_batches(batches, limit=1 << 20):
+        keys, sizes, owners = [], [], []
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("_utf8").to_pylist(), strict=True):
+            words = normal_words(text)
+            size = min(window, len(words))
+            spans = range(len(words) - size + 1 if words else 0)
+            own = {b" " + b" ".join(words[at : at + size]) + b" " for at in spans}
+            keys += own
+            sizes += [size] * len(own)
+            owners += [item] * len(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(owners, pa.string())],
+            names=["key", "size", "item"],
+        )
+
 
+def window_table(benchmark: DataFrame, window: int) -> DataFrame:
+    """Each window once, with its number of words and the items that have it."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    rows = with_bytes(items, "item").mapInArrow(lambda batches: window_batches(batches, window), WINDOWS)
+    united = rows.groupBy("key").agg(F.max("size").alias("size"), F.collect_set("item").alias("items"))
+    return written_once(united, "windows")
 
-def groups_of(windows: dict, group_bytes: int) -> list[list[tuple]]:
-    groups: list[list[tuple]] = []
-    room = 0
-    for key, (size, ids) in windows.items():
-        if not groups or room < len(key):
-            groups.append([])
-            room = group_bytes
-        groups[-1].append((key.decode("latin-1"), size, tuple(i for i in ids if i is not None)))
-        room -= len(key)
-    return groups
+
+def group_of(windows: DataFrame, number: int, groups: int) -> list[tuple]:
+    """The windows of one group, about ``group_bytes`` of them."""
+    rows = windows.filter(F.pmod(F.xxhash64("key"), F.lit(groups)) == number).collect()
+    return [(bytes(row["key"]).decode("latin-1"), row["size"], tuple(row["items"])) for row in rows]
 
 
 def automaton(group: list[tuple]) -> ahocorasick.Automaton:
@@ -80,65 +87,110 @@ def automaton(group: list[tuple]) -> ahocorasick.Automaton:
     return built
 
 
-def word_spans(data: bytes, hit: np.ndarray) -> list[list[int]]:
-    """Code points of the original text from the first to the last word of each
-    run of hit words, end exclusive."""
+def runs_of(data: bytes, hit: np.ndarray) -> list[dict]:
+    """Runs of hit words: first and last+1 word, and the code points of the original
+    text from the first to the last word, end exclusive."""
     inside = np.frombuffer(data.translate(TABLE), np.uint8) != 32
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     counts = code_points(np.frombuffer(data, np.uint8))
     runs = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-    first, last = runs[::2], runs[1::2] - 1
-    begin, end = counts[edges[::2][first]], counts[edges[1::2][last]]
-    return [[int(a), int(b)] for a, b in zip(begin, end, strict=True)]
+    first, last = runs[::2], runs[1::2]
+    begin, end = counts[edges[::2][first]], counts[edges[1::2][last - 1]]
+    rows = zip(first.tolist(), last.tolist(), begin.tolist(), end.tolist(), strict=True)
+    return [dict(zip(("first", "last", "start", "end"), row, strict=True)) for row in rows]
 
 
-def scan(text: bytes, built: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray | None, set]:
-    """Which words are hit (None: no word), and the items whose windows occur."""
+def scan(text: bytes, built: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[dict], set]:
+    """The runs of hit words, and the items whose windows occur."""
     line = " " + b" ".join(words).decode("latin-1") + " "
     hits, ids = [], set()
     for end, (length, size, owners) in built.iter(line):
         hits.append((end - length + 1, size))
         ids.update(owners)
     if not hits:
-        return None, ids
+        return [], ids
     places = np.cumsum([0, *(len(w) + 1 for w in words)])
     firsts = np.searchsorted(places, [at for at, _ in hits])
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, firsts, 1)
     np.add.at(change, firsts + [size for _, size in hits], -1)
-    return np.cumsum(change[:-1]) > 0, ids
+    return runs_of(text, np.cumsum(change[:-1]) > 0), ids
 
 
-def scan_batches(batches: Iterator[pa.RecordBatch], groups: list) -> Iterator[pa.RecordBatch]:
-    single = automaton(groups[0]) if len(groups) == 1 else None
+def scan_batches(batches: Iterator[pa.RecordBatch], group: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The batches' columns but the text, with the words, items and runs of each text."""
+    built = automaton(group) if group else None
     for batch in small_batches(batches, limit=1 << 24):
-        texts = batch.column("_utf8").to_pylist()
-        split = [normal_words(t) for t in texts]
-        hit: list[np.ndarray | None] = [None] * len(texts)
-        ids: dict[int, set] = defaultdict(set)
-        for group in groups:
-            built = single or automaton(group)
-            for k, words in enumerate(split):
-                if words:
-                    found, owners = scan(texts[k], built, words)
-                    if found is not None:
-                        hit[k] = found if hit[k] is None else hit[k] | found
-                        ids[k] |= owners
+        counts, items, runs = [], [], []
+        for text in batch.column("_utf8").to_pylist():
+            words = normal_words(text)
+            found, owners = scan(text, built, words) if words and built else ([], set())
+            counts.append(len(words))
+            items.append(sorted(owners))
+            runs.append(found)
+        kept = [name for name in batch.schema.names if name != "_utf8"]
         yield pa.RecordBatch.from_arrays(
             [
-                *[batch.column(name) for name in batch.schema.names if name != "_utf8"],
-                pa.array([len(w) for w in split], pa.int64()),
-                pa.array([0 if h is None else int(h.sum()) for h in hit], pa.int64()),
-                pa.array([sorted(map(str, ids.get(k, ()))) for k in range(len(texts))], pa.list_(pa.string())),
-                pa.array(
-                    [[] if h is None else word_spans(t, h) for t, h in zip(texts, hit, strict=True)],
-                    pa.list_(pa.list_(pa.int64())),
-                ),
+                *[batch.column(name) for name in kept],
+                pa.array(counts, pa.int64()),
+                pa.array(items, pa.list_(pa.string())),
+                pa.array(runs, pa.list_(_RUN)),
             ],
-            names=[*[n for n in batch.schema.names if n != "_utf8"], *ADDED.names],
+            names=[*kept, "n_words", "item_ids", "runs"],
         )
 
 
+def _scanned(rows: DataFrame, group: list[tuple], keep: tuple[str, ...]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(group)
+    fields = [*[rows.schema[name] for name in keep], *T.StructType.fromDDL(FOUND).fields]
+    task = lambda batches: scan_batches(batches, shared.value)
+    return rows.select(*keep, "_utf8").mapInArrow(task, T.StructType(fields))
+
+
+def _united(runs: Column) -> Column:
+    """Runs that meet or touch as one, in order."""
+
+    def add(done: Column, run: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(
+            last["first"].alias("first"), F.greatest(last["last"], run["last"]).alias("last"),
+            last["start"].alias("start"), F.greatest(last["end"], run["end"]).alias("end"),
+        )
+        new = (F.size(done) == 0) | (run["first"] > F.try_element_at(done, F.lit(-1))["last"])
+        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(new, F.concat(done, F.array(run))).otherwise(F.concat(head, F.array(longer)))
+
+    return F.aggregate(F.sort_array(runs), F.array().cast(f"array<{RUN}>"), add)
+
+
+def _by_groups(source: DataFrame, windows: DataFrame, groups: int, keep: tuple[str, ...]) -> DataFrame:
+    """One scan of the documents per group, united by document."""
+    numbered = written_once(source.withColumn("_place", F.monotonically_increasing_id()), "texts")
+    words, hits = None, []
+    for number in range(groups):
+        found = _scanned(numbered, group_of(windows, number, groups), ("_place",))
+        if words is None:  # the first scan also counts the words of all documents
+            found = written_once(found, "scanned")
+            words = found.select("_place", "n_words")
+            hits.append(found.filter(F.size("runs") > 0))
+        else:
+            hits.append(written_once(found.filter(F.size("runs") > 0), "scanned"))
+    union = hits[0]
+    for more in hits[1:]:
+        union = union.unionByName(more)
+    per_document = union.groupBy("_place").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        _united(F.flatten(F.collect_list("runs"))).alias("runs"),
+    )
+    none = {"item_ids": "array<string>", "runs": f"array<{RUN}>"}
+    return (
+        numbered.select("_place", *keep)
+        .join(words, "_place")
+        .join(per_document, "_place", "left")
+        .select(*keep, "n_words", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()])
+    )
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -150,19 +202,22 @@ def contamination(
     """For each document, next to the columns ``keep``: its number of words, of hit
     words, the items found, the hit spans of the original text, and whether it is
     contaminated: some word hit and at least one word in ``one_in``."""
-    spark = docs.sparkSession
-    rows = with_bytes(benchmark.filter(F.col("text").isNotNull()), "item_id").distinct().collect()
-    items = sorted(((r[0], bytes(r[1])) for r in rows), key=repr)
-    groups = spark.sparkContext.broadcast(groups_of(windows_of(items, window), group_bytes))
-    source = with_bytes(docs, *keep)
-    schema = T.StructType([*[source.schema[name] for name in keep], *ADDED.fields])
-
-    def task(batches):
-        return scan_batches(batches, groups.value)
-
-    found = source.mapInArrow(task, schema)
+    windows, source = window_table(benchmark, window), with_bytes(docs, *keep)
+    size = windows.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()[0]
+    groups = -(-size // group_bytes)
+    if groups > 1:
+        found = _by_groups(source, windows, groups, keep)
+    else:
+        found = _scanned(source, group_of(windows, 0, 1) if groups else [], keep)
+    hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, run: n + run["last"] - run["first"])
     judged = (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words"))
-    return found.withColumn("contaminated", judged)
+    return found.select(
+        *keep,
+        "n_words",
+        hit.alias("n_hit"),
+        "item_ids",
+        F.transform("runs", lambda run: F.array(run["start"], run["end"])).alias("spans"),
+    ).withColumn("contaminated", judged)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -113,6 +113,23 @@ def test_hits_and_spans_of_odd_rows(spark):
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_groups_of_windows_give_what_one_gives(spark):
+    """Windows of one passage fall in different groups; their runs overlap and touch."""
+    rng = np.random.RandomState(4)
+    item = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(item[a : a + 20])) for k, a in enumerate(range(0, 41, 4))] + [(99, "short one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = []
+    for _ in range(40):
+        a, b = sorted(rng.randint(0, 60, 2))
+        texts.append("é, " * rng.randint(0, 4) + " ".join(item[a:b]) + " short one; " * rng.randint(0, 2) + "x " * rng.randint(0, 9))
+    docs = spark.createDataFrame([(k % 30, t, k) for k, t in enumerate(texts)], "doc_id long, text string, _place int")
+    one = rows_of(decontamination.contamination(docs, bench))
+    assert sum(r[-1] for r in one) > 10
+    for size in (100, 700, 2000):
+        assert rows_of(decontamination.contamination(docs, bench, group_bytes=size)) == one
+
+
 # Toxicity.
 
 
