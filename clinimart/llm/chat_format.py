@@ -46,6 +46,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,11 +119,15 @@ class Coder:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pieces, mergeable_ranks=ranks, special_tokens={})
         first = max(ranks.values()) + 1
         self.marks = {mark: first + i for i, mark in enumerate(CONTROLS)}
-        self.pieces = [b""] * (first + len(CONTROLS))
+        words = [b""] * (first + len(CONTROLS))
         for piece, rank in ranks.items():
-            self.pieces[rank] = piece
+            words[rank] = piece
         for mark, token in self.marks.items():
-            self.pieces[token] = mark.encode()
+            words[token] = mark.encode()
+        # all tokens' bytes in a row, with each one's place and size
+        self.bytes = np.frombuffer(b"".join(words), np.uint8)
+        self.sizes = np.array([len(word) for word in words], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
 
     def plain(self, text: str) -> list[np.ndarray]:
         parts = stretches(text) if len(text) >= LONG_RUN else [text]
@@ -139,8 +144,14 @@ class Coder:
         end = sum(map(len, parts))
         return np.concatenate([*parts, np.array([self.marks[after]], np.int32)]), start, end
 
-    def decode(self, tokens: list[int]) -> str:
-        return b"".join([self.pieces[token] for token in tokens]).decode()
+    def decode(self, tokens: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of the tokens, and where each of them ends."""
+        tokens = np.asarray(tokens, np.int64)
+        sizes = self.sizes[tokens]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.places[tokens] - (ends - sizes), sizes) + np.arange(total)
+        return self.bytes[at].tobytes(), ends
 
 
 def _hash_parts(role: str, text: str) -> tuple[int, ...]:
@@ -318,23 +329,34 @@ def pack(conversations: DataFrame, vocabulary: str = VOCABULARY, pieces: str = P
 
 def _read_batches(batches: Iterator[pa.RecordBatch], coder: Coder) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("parts")
+        parts, of_row = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        columns = {c: pc.struct_field(parts, c) for c in ("role", "tokens", "loss_from", "loss_to")}
+        tokens = columns["tokens"].flatten().to_numpy()
+        of_part = np.cumsum([0, *columns["tokens"].value_lengths().to_pylist()])
+        roles, begin, end = (columns[c].to_pylist() for c in ("role", "loss_from", "loss_to"))
         found = []
-        for tree, idx, parts in zip(*(batch.column(c).to_pylist() for c in ("tree", "idx", "parts")), strict=True):
-            formatted = "".join(coder.decode(part["tokens"]) for part in parts)
-            turns = parse(formatted)
+        for row in range(batch.num_rows):
+            own = range(of_row[row], of_row[row + 1])
+            base = of_part[own.start]
+            data, ends = coder.decode(tokens[base : of_part[own.stop]])
+            cuts = np.concatenate(([0], ends))
             learned = "".join(
-                unescape(coder.decode(part["tokens"][part["loss_from"] : part["loss_to"]]))
-                for part in parts
-                if part["role"] == LEARNED
+                unescape(data[cuts[of_part[k] - base + begin[k]] : cuts[of_part[k] - base + end[k]]].decode())
+                for k in own
+                if roles[k] == LEARNED
             )
+            formatted = data.decode()
+            turns = parse(formatted)
             said = "".join(f"{role}\n{text}\n" for role, text in turns)
             digests = [hashlib.sha256(text.encode()).hexdigest() for text in (said, learned)]
-            found.append((tree, idx, len(turns), digests[0], len(learned), digests[1], len(formatted)))
-        if found:
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = [field.split()[0] for field in READ.split(", ")]
-            columns = zip(zip(*found, strict=True), kinds, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names=names)
+            found.append((len(turns), digests[0], len(learned), digests[1], len(formatted)))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+        names = [field.split()[0] for field in READ.split(", ")]
+        yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("idx"), *columns], names=names)
 
 
 def read_back(packed: Packed, vocabulary: str = VOCABULARY, pieces: str = PIECES) -> DataFrame:

@@ -147,8 +147,9 @@ def test_packed_sequences(spark, many_ranges):
         assert len(path) == member.n_turns == len(turns)
         assert s.conversations == passing[turns]
         for part, (role, text) in zip(path, turns, strict=True):
-            assert coder.decode(part.tokens) == formatted(role, text)
-            assert unescape(coder.decode(part.tokens[part.loss_from : part.loss_to])) == text
+            assert coder.decode(part.tokens)[0].decode() == formatted(role, text)
+            learned = coder.decode(part.tokens[part.loss_from : part.loss_to])[0]
+            assert unescape(learned.decode()) == text
 
 
 def test_odd_rows(spark, many_ranges):
