@@ -476,5 +476,14 @@ def test_jobs(spark, mixed, folder):
     main(["refresh", f"{folder}/ops", f"{folder}/wh", *CALENDAR])
     main(["report", f"{folder}/wh", "overview", f"{folder}/out", "--from", "2022-05-01"])
     assert spark.read.parquet(f"{folder}/out").first().total_cases == 1
+    for name in ("disease", "doctor", "ward", "visit", "diagnosis", "bed_allocation", "treatment", "medicine"):
+        write_operational(mixed.table(name), f"{folder}/later", name)
+    write_operational(mixed.table("outcome").filter("false"), f"{folder}/later", "outcome")
+    main(["update", f"{folder}/ops", f"{folder}/later", f"{folder}/wh", *CALENDAR])
+    whole = refresh(spark, f"{folder}/whole", lambda name: spark.read.parquet(f"{folder}/later/{name}"), *CALENDAR)
+    a, b = (wh.fact.drop("fact_id") for wh in (latest(spark, f"{folder}/wh"), whole))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    main(["expire", f"{folder}/wh", "--keep", "1", "--grace-days", "0"])
+    assert latest(spark, f"{folder}/wh").fact.count() == whole.fact.count()
     with pytest.raises(SystemExit):
         main(["report", f"{folder}/none", "overview", f"{folder}/out2"])
