@@ -14,8 +14,10 @@ bits at any corpus size, which bounds the broadcast (2^29 bits, 64 MB). As long
 levels fit at the error rate 2^-probes (93 million of them) the unit is 1 and nothing
 is lost: words and pairs seen once have a level. Beyond that the smallest unit for
 which all levels fit is taken, from the histogram of all counts, first for pairs
-alone; counts below one unit then read as zero, which is the resolution a filter of
-that size has.
+alone. Counts below one unit are then not in the filter but stay in the tables of
+counts: tokens for which the filter finds at most one level of a word or pair are
+joined with these by key, get the same quantised counts as from a larger filter, and
+are added to their text's score (``late_scores``). So no count is lost at any size.
 
 The score is the sum over tokens of log10(mix * pair / word before + (1 - mix) *
 (word + 1) / (N + V + 1)), with all counts from the filter, the pair's not above
@@ -234,12 +236,12 @@ class Filter:
         self.data, self.bits, self.lift, self.base, self.probes = data, bits, lift, base, probes
         self.segment_bits = 8 * len(data) >> bits
 
-    def counts(self, keys: np.ndarray, kind: int, block: int = 1 << 15) -> np.ndarray:
+    def levels(self, keys: np.ndarray, kind: int, block: int = 1 << 15) -> np.ndarray:
         if not len(keys):
-            return np.zeros(0)
-        return np.concatenate([self._counts(keys[a : a + block], kind) for a in range(0, len(keys), block)])
+            return np.zeros(0, np.int64)
+        return np.concatenate([self._levels(keys[a : a + block], kind) for a in range(0, len(keys), block)])
 
-    def _counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
+    def _levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         begin = bucket_of(keys, self.bits) * self.segment_bits
@@ -251,9 +253,16 @@ class Filter:
             alive = alive[there]
             found[alive] = level
             level += 1
-        # the middle of a level on the logarithmic scale
+        return found
+
+    def counts(self, found: np.ndarray, kind: int) -> np.ndarray:
+        """Counts that levels stand for: the middle of a level on the logarithmic scale."""
         return np.where(found > 0, self.base ** (found - self.lift[kind] + 0.5 * (self.base > 1.01)), 0.0)
 
+    def doubtful(self, found: np.ndarray, kind: int) -> np.ndarray:
+        """Whether a key may have a count below one unit, or be read a level too high."""
+        return (found <= 1) if self.lift[kind] < 1 else np.zeros(len(found), bool)
+
 
 def build_filter(counts: DataFrame, bits: int, base: float, filter_bits: int, probes: int) -> tuple[tuple, dict]:
     """What the filter is made of, and N and V."""
@@ -298,16 +307,49 @@ def score_batch(batch: pa.RecordBatch, model: dict) -> pa.RecordBatch:
     kinds, place = np.unique(tokens, return_inverse=True)
     n, v, table = model["N"], model["V"], Filter(*model["filter"])
 
-    word = table.counts(kinds, WORDS)[place]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[bounds[:-1]] = float(table.counts(np.array([END]), WORDS)[0])
+    def shifted(values, first):
+        """What the token before each one has."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[bounds[:-1]] = first
+        return out
+
+    end = table.levels(np.array([END]), WORDS)
+    found = table.levels(kinds, WORDS)
+    word = table.counts(found, WORDS)[place]
+    before = shifted(word, table.counts(end, WORDS)[0])
     pairs, pair_place = np.unique(pair_hashes(tokens, bounds), return_inverse=True)
-    pair = np.minimum(table.counts(pairs, PAIRS)[pair_place], np.minimum(word, before))
+    found_pairs = table.levels(pairs, PAIRS)
+    read = table.counts(found_pairs, PAIRS)[pair_place]
+    pair = np.minimum(read, np.minimum(word, before))
     follows = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
     alone = np.minimum((word + 1) / (n + v + 1), 1.0)
     mix = model["mix"] * (before > 0)
-    score = np.add.reduceat(np.log10(mix * follows + (1 - mix) * alone), bounds[:-1])
+    logs = np.log10(mix * follows + (1 - mix) * alone)
+    extra, names = [], []
+    if model["late"]:
+        ask_word = table.doubtful(found, WORDS)[place]
+        ask_before = shifted(ask_word, table.doubtful(end, WORDS)[0])
+        ask_pair = table.doubtful(found_pairs, PAIRS)[pair_place]
+        late = np.flatnonzero(ask_word | ask_before | ask_pair)
+        logs[late] = 0.0
+        pair_key = (bucket_of(pairs, table.bits) << 32 | stored(pairs, PAIRS, table.bits).astype(np.int64))[pair_place]
+        parts = {
+            "word_key": tokens.view(np.int64),
+            "before_key": shifted(tokens, END).view(np.int64),
+            "pair_key": pair_key,
+            "ask_word": ask_word,
+            "ask_before": ask_before,
+            "ask_pair": ask_pair,
+            "word": word,
+            "before": before,
+            "pair": read,
+        }
+        entries = pa.StructArray.from_arrays([pa.array(x[late]) for x in parts.values()], names=list(parts))
+        counted = np.cumsum(np.bincount(texts[late], minlength=batch.num_rows))
+        extra = [pa.ListArray.from_arrays(np.concatenate(([0], counted)).astype(np.int32), entries)]
+        names = ["late"]
+    score = np.add.reduceat(logs, bounds[:-1])
 
     hot_keys, hot_counts = model["hot"]
     at = np.searchsorted(hot_keys, kinds)
@@ -327,14 +369,59 @@ def score_batch(batch: pa.RecordBatch, model: dict) -> pa.RecordBatch:
                 np.concatenate(([0], np.cumsum(np.bincount(texts[rest], minlength=batch.num_rows)))).astype(np.int32),
                 pa.array(tokens[rest].view(np.int64)),
             ),
+            *extra,
         ],
-        names=["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "rest"],
+        names=["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "rest", *names],
     )
 
 
+LATE = (
+    ", late array<struct<word_key: long, before_key: long, pair_key: long, ask_word: boolean, ask_before: boolean, "
+    "ask_pair: boolean, word: double, before: double, pair: double>>"
+)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, score double, rest array<long>"
 
 
+def left_out(counts: DataFrame, kind: int, lift: int, base: float) -> DataFrame:
+    """Words or pairs that have no level in the filter: key ``k`` and exact count ``c``."""
+
+    def task(batches):
+        for batch in batches:
+            for bucket, keys, numbers in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                k, c = unpack([keys], [numbers], kind)
+                rare = levels(c, lift, base) == 0
+                k, c = k[rare], c[rare]
+                k = k.view(np.int64) if kind == WORDS else bucket << 32 | k.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
+
+    return counts.filter(F.col("kind") == kind).select("bucket", "keys", "counts").mapInArrow(task, "k long, c long")
+
+
+def late_scores(scored: DataFrame, counts: DataFrame, lift: dict, base: float, mix: float, total: dict) -> DataFrame:
+    """Per row the sum over the tokens that the filter left open, with the counts of what
+    it has no room for. Each asked key is rare in training; tokens that do not ask go to
+    any task and match nothing."""
+    tokens = scored.select("row", F.posexplode("late").alias("at", "t")).select("row", "at", "t.*")
+    for name, kind in (("word", WORDS), ("before", WORDS), ("pair", PAIRS)):
+        if lift[kind] >= 1:
+            continue
+        asks, key = F.col(f"ask_{name}"), F.col(f"{name}_key")
+        steps = F.floor(F.ln("c") / F.lit(float(np.log(base))) + F.lit(1e-9))
+        rare = left_out(counts, kind, lift[kind], base).select(
+            F.lit(True).alias(f"ask_{name}"),
+            F.col("k").alias(f"{name}_key"),
+            F.pow(F.lit(float(base)), steps + F.lit(0.5 * (base > 1.01))).alias("_count"),
+        )
+        spread = tokens.withColumn(f"{name}_key", F.when(asks, key).otherwise(F.xxhash64("row", "at")))
+        found = spread.join(rare, [f"ask_{name}", f"{name}_key"], "left")
+        tokens = found.withColumn(name, F.coalesce("_count", name)).drop("_count", f"ask_{name}", f"{name}_key")
+    word, before = F.col("word"), F.col("before")
+    follows = F.when(before > 0, F.least("pair", word, before) / before).otherwise(0.0)
+    alone = F.least((word + 1) / F.lit(float(total["N"] + total["V"] + 1)), F.lit(1.0))
+    part = F.when(before > 0, F.lit(float(mix))).otherwise(0.0)
+    return tokens.groupBy("row").agg(F.sum(F.log10(part * follows + (1 - part) * alone)).alias("late_sum"))
+
+
 def score_documents(
     docs: DataFrame,
     folds: int = 7,
@@ -361,8 +448,10 @@ def score_documents(
     hot = vocabulary.filter(F.col("c") > least).toArrow()  # at most ``frequent`` rows
     keys, numbers = hot.column("h").to_numpy().view(np.uint64), hot.column("c").to_numpy()
     order = np.argsort(keys)
+    lift = table[2]
+    late = min(lift.values()) < 1
     model = spark.sparkContext.broadcast(
-        total | {"filter": table, "mix": mix, "hot": (keys[order], numbers[order])}
+        total | {"filter": table, "mix": mix, "hot": (keys[order], numbers[order]), "late": late}
     )
 
     def task(batches):
@@ -370,7 +459,7 @@ def score_documents(
             yield score_batch(batch, model.value)
 
     folder = new_folder(spark, "lm-scored")
-    with_bytes(rows, "doc_id", "held_out").mapInArrow(task, SCORED).withColumn(
+    with_bytes(rows, "doc_id", "held_out").mapInArrow(task, SCORED + LATE * late).withColumn(
         "row", F.monotonically_increasing_id()
     ).write.parquet(folder)
     scored = spark.read.parquet(folder)
@@ -380,12 +469,16 @@ def score_documents(
         F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_sum")
     )
     floor = float(np.log10(total["N"] + total["V"] + 1))
-    return scored.drop("rest").join(found, "row", "left").select(
+    full, score = scored.drop("rest", "late").join(found, "row", "left"), F.col("score")
+    if late:
+        full = full.join(late_scores(scored, counts, lift, base, mix, total), "row", "left")
+        score = score + F.coalesce("late_sum", F.lit(0.0))
+    return full.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total["N"]).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
+        score.alias("score"),
     )
