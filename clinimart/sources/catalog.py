@@ -24,7 +24,7 @@ BUCKET_KEYS = {
 }
 YEAR_OF = {"visit": ("visit_year", "visit_date"), "bed_allocation": ("admit_year", "admit_date")}
 # Rows of the largest table that one bucket takes, and the least number of buckets.
-ROWS_PER_BUCKET = 5_000_000
+ROWS_PER_BUCKET = 500_000
 LEAST_BUCKETS = 8
 
 
