@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .skew import left_join_sliced, slices_for
 
+DAY = ["patient_id", "visit_date"]
+
 
 def stay_intervals(bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",)) -> DataFrame:
     """Running stay totals per patient and ``split``, with their validity.
@@ -71,6 +73,12 @@ def stays_by_day(
     )
 
 
+def _days(visits: DataFrame) -> DataFrame:
+    """Days to look up, with the slices that each one's visits are spread over."""
+    counted = visits.groupBy(*DAY).agg(F.count("*").alias("_visits"))
+    return counted.select(*DAY, slices_for(F.col("_visits")).alias("slices"))
+
+
 def visit_stays(
     rows: DataFrame,
     bed_allocation: DataFrame,
@@ -85,21 +93,30 @@ def visit_stays(
     up, far fewer than visits for a busy patient, and tells which of them are so
     crowded that their visits are spread over several tasks.
     """
-    day = ["patient_id", "visit_date"]
-    days = (
-        (rows if visits is None else visits)
-        .groupBy(*day)
-        .agg(F.count("*").alias("_visits"))
-        .select(*day, slices_for(F.col("_visits")).alias("slices"))
-    )
+    days = _days(rows if visits is None else visits)
     totals = stays_by_day(days, bed_allocation, split)
     return (
-        left_join_sliced(rows, totals, days, day, spread="visit_id")
+        left_join_sliced(rows, totals, days, DAY, spread="visit_id")
         .withColumn("copies", F.coalesce("stays", F.lit(1).cast("bigint")))
         .drop("stays")
     )
 
 
+def visit_stay_lists(rows: DataFrame, bed_allocation: DataFrame, visits: DataFrame) -> DataFrame:
+    """``rows`` with their stays as the list ``stay_list``, an entry per ward; NULL without
+    a stay. As ``visit_stays``, but a row stays one row. The lists are made where the days
+    were looked up, which is by patient and year."""
+    days = _days(visits)
+    totals = stays_by_day(days, bed_allocation)
+    entry = F.struct("ward_id", "stays", "known_stays", "stay_days")
+    lists = (
+        totals.groupBy("patient_id", F.year("visit_date").alias("_year"), "visit_date", "slices")
+        .agg(F.collect_list(entry).alias("stay_list"))
+        .drop("_year")
+    )
+    return left_join_sliced(rows, lists, days, DAY, spread="visit_id")
+
+
 def expand_copies(df: DataFrame) -> DataFrame:
     """Write a compact row ``copies`` times: the joined rows themselves."""
     return df.withColumn(

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_id
 from ..functions.numbers import exact_ratio
-from ..operators.stays import expand_copies, visit_stays
+from ..operators.stays import expand_copies, visit_stay_lists, visit_stays
 
 GRAIN = ["visit_date", "disease_code", "doctor_id", "ward_id"]
+# Visits whose groups one task sums, and tasks for fewer visits.
+VISITS_PER_TASK = 100_000
+LEAST_TASKS, FEW_VISITS = 8, 5_000
 
 
 def visit_treatment_cost(treatment: DataFrame, medicine: DataFrame) -> DataFrame:
@@ -69,6 +72,36 @@ def raw_extract(
     return expand_copies(compact)
 
 
+def _visits(
+    visit: DataFrame,
+    diagnosis: DataFrame,
+    outcome: DataFrame,
+    treatment: DataFrame,
+    medicine: DataFrame,
+) -> DataFrame:
+    """The same with a row per visit: its ``diseases`` are a list with how often each was
+    recorded, no longer than there are diseases."""
+    recorded = (
+        diagnosis.filter(F.col("visit_id").isNotNull())
+        .groupBy("visit_id", "disease_code")
+        .agg(F.count("*").alias("times"))
+        .groupBy("visit_id")
+        .agg(F.collect_list(F.struct("disease_code", "times")).alias("diseases"))
+    )
+    status = outcome.select("visit_id", F.col("status").alias("outcome_status"))
+    return (
+        visit.select("visit_id", "patient_id", "doctor_id", "visit_date")
+        .join(recorded, "visit_id")
+        .join(status, "visit_id", "left")
+        .join(visit_treatment_cost(treatment, medicine), "visit_id", "left")
+    )
+
+
+def group_tasks(visits: int) -> int:
+    """Tasks that sum the groups, so that one has about as many whatever the size."""
+    return max(1, -(-visits // VISITS_PER_TASK), min(LEAST_TASKS, -(-visits // FEW_VISITS)))
+
+
 def treatment_groups(
     visit: DataFrame,
     diagnosis: DataFrame,
@@ -82,9 +115,21 @@ def treatment_groups(
     Cases count joined rows. Averages and bed days are NULL when nothing was
     observed. ``treatment_cost`` repeats on every joined row of a visit, so it
     is weighted with the number of copies.
+
+    Visits move with lists of their diseases and stays, and by day and doctor, which
+    every group has one of. They are written out as rows only where their groups are
+    summed, so neither these rows nor the groups are shuffled.
     """
-    rows = _visit_rows(visit, diagnosis, outcome, treatment, medicine)
-    rows = visit_stays(rows, bed_allocation, visits=visit)
+    visits = _visits(visit, diagnosis, outcome, treatment, medicine)
+    placed = visit_stay_lists(visits, bed_allocation, visit).repartition(
+        group_tasks(visit.count()), "visit_date", "doctor_id"
+    )
+    kept = ["visit_date", "doctor_id", "outcome_status", "treatment_cost"]
+    rows = (
+        placed.select(*kept, "stay_list", F.inline("diseases"))
+        .select(*kept, "disease_code", "times", F.inline_outer("stay_list"))
+        .withColumn("copies", F.coalesce("stays", F.lit(1).cast("bigint")) * F.col("times"))
+    )
     copies, cost = F.col("copies"), F.col("treatment_cost")
 
     def cases_with(status: str):
@@ -96,8 +141,8 @@ def treatment_groups(
             F.sum(copies).alias("total_cases"),
             cases_with("Recovered").alias("recovered_cases"),
             cases_with("Readmitted").alias("readmitted_cases"),
-            F.sum("stay_days").alias("total_bed_days"),
-            F.sum("known_stays").alias("_known"),
+            F.sum(F.col("stay_days") * F.col("times")).alias("total_bed_days"),
+            F.sum(F.col("known_stays") * F.col("times")).alias("_known"),
             F.sum((cost * copies).cast("decimal(28,4)")).alias("_cost"),
             F.sum(F.when(cost.isNotNull(), copies)).alias("_costed"),
         )

@@ -200,7 +200,6 @@ def write_fact(groups: DataFrame, wh: Warehouse) -> list[Part]:
                 "year_num": F.year("visit_date"),
             }
         )
-        .hint("rebalance", "load_status", "year_num")
         .withColumn("fact_id", fact.grain_key())
         .observe(seen, *[total.alias(name) for name, total in totals.items()])
         .write.partitionBy("load_status", "year_num")
