@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written_once
+
 # Left rows of one key that a single task may take.
 HOT_ROWS = 1_000_000
 
@@ -28,11 +30,12 @@ def left_join_sliced(
 
     ``sizes`` has one row per key of ``left`` with its number of ``slices``, and
     ``right`` carries the same column. The list of keys with two slices or more is
-    joined without a hint, so it is broadcast only when Spark finds it small.
+    written first and joined without a hint: Spark knows its size then, broadcasts it
+    while small, and moves the left rows only once, with their slice.
     ``spread`` is a left column with many values.
     """
     keys = list(on)
-    hot = sizes.filter(F.col("slices") > 1).select(*keys, "slices")
+    hot = written_once(sizes.filter(F.col("slices") > 1).select(*keys, "slices"), "hot-keys")
     slice_of_row = F.pmod(F.xxhash64(spread), F.coalesce("slices", F.lit(1)))
     sliced = left.join(hot, keys, "left").withColumn("_slice", slice_of_row.cast("int"))
     repeated = right.withColumn(

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written_once
 from .skew import left_join_sliced, slices_for
 
 DAY = ["patient_id", "visit_date"]
@@ -76,7 +77,8 @@ def stays_by_day(
 def _days(visits: DataFrame) -> DataFrame:
     """Days to look up, with the slices that each one's visits are spread over."""
     counted = visits.groupBy(*DAY).agg(F.count("*").alias("_visits"))
-    return counted.select(*DAY, slices_for(F.col("_visits")).alias("slices"))
+    days = counted.select(*DAY, slices_for(F.col("_visits")).alias("slices"))
+    return written_once(days, "days")
 
 
 def visit_stays(

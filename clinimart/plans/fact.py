@@ -10,9 +10,12 @@ from ..functions.numbers import exact_ratio
 from ..operators.stays import expand_copies, visit_stay_lists, visit_stays
 
 GRAIN = ["visit_date", "disease_code", "doctor_id", "ward_id"]
-# Visits whose groups one task sums, and tasks for fewer visits.
+DOCTOR_KEYS = "doctor_sks"
+# Visits whose groups one task sums at most, and tasks for fewer visits.
 VISITS_PER_TASK = 100_000
 LEAST_TASKS, FEW_VISITS = 8, 5_000
+# Diagnoses of these visits at most: what a task holds grows with them and their wards.
+DIAGNOSES_PER_TASK = 100_000
 
 
 def visit_treatment_cost(treatment: DataFrame, medicine: DataFrame) -> DataFrame:
@@ -97,11 +100,23 @@ def _visits(
     )
 
 
+def with_doctor_keys(visits: DataFrame, doctors: DataFrame) -> DataFrame:
+    """Visits with the surrogate keys of their doctor as a list, so that a visit stays one
+    row; NULL for an unknown doctor."""
+    keys = doctors.groupBy("doctor_id").agg(F.collect_list("doctor_sk").alias(DOCTOR_KEYS))
+    return visits.join(keys, "doctor_id", "left")
+
+
 def group_tasks(visits: int) -> int:
     """Tasks that sum the groups, so that one has about as many whatever the size."""
     return max(1, -(-visits // VISITS_PER_TASK), min(LEAST_TASKS, -(-visits // FEW_VISITS)))
 
 
+def summing_tasks(visits: int, diagnoses: int) -> int:
+    """The same, more where visits have many diagnoses."""
+    return max(group_tasks(visits), -(-diagnoses // DIAGNOSES_PER_TASK))
+
+
 def treatment_groups(
     visit: DataFrame,
     diagnosis: DataFrame,
@@ -109,6 +124,7 @@ def treatment_groups(
     bed_allocation: DataFrame,
     treatment: DataFrame,
     medicine: DataFrame,
+    doctors: DataFrame | None = None,
 ) -> DataFrame:
     """Measures per date, disease, doctor and ward (NULL ward is one group).
 
@@ -118,13 +134,23 @@ def treatment_groups(
 
     Visits move with lists of their diseases and stays, and by day and doctor, which
     every group has one of. They are written out as rows only where their groups are
-    summed, so neither these rows nor the groups are shuffled.
+    summed, so neither these rows nor the groups are shuffled; in order of the day,
+    which the files keep and so get smaller. With ``doctors``, the
+    dimension, a visit also takes along the keys of its doctor, and groups come with
+    ``doctor_sk``: doctors grow with the visits, and a list of them too large to
+    broadcast would move all groups.
     """
     visits = _visits(visit, diagnosis, outcome, treatment, medicine)
-    placed = visit_stay_lists(visits, bed_allocation, visit).repartition(
-        group_tasks(visit.count()), "visit_date", "doctor_id"
+    grain = GRAIN
+    if doctors is not None:
+        visits, grain = with_doctor_keys(visits, doctors), [*GRAIN, DOCTOR_KEYS]
+    tasks = summing_tasks(visit.count(), diagnosis.count())
+    placed = (
+        visit_stay_lists(visits, bed_allocation, visit)
+        .repartition(tasks, "visit_date", "doctor_id")
+        .sortWithinPartitions("visit_date")
     )
-    kept = ["visit_date", "doctor_id", "outcome_status", "treatment_cost"]
+    kept = [*[c for c in grain if c in visits.columns], "outcome_status", "treatment_cost"]
     rows = (
         placed.select(*kept, "stay_list", F.inline("diseases"))
         .select(*kept, "disease_code", "times", F.inline_outer("stay_list"))
@@ -135,8 +161,8 @@ def treatment_groups(
     def cases_with(status: str):
         return F.sum(F.when(F.col("outcome_status") == status, copies).otherwise(0))
 
-    return (
-        rows.groupBy(*GRAIN)
+    groups = (
+        rows.groupBy(*grain)
         .agg(
             F.sum(copies).alias("total_cases"),
             cases_with("Recovered").alias("recovered_cases"),
@@ -147,7 +173,7 @@ def treatment_groups(
             F.sum(F.when(cost.isNotNull(), copies)).alias("_costed"),
         )
         .select(
-            *GRAIN,
+            *grain,
             "total_cases",
             "recovered_cases",
             "readmitted_cases",
@@ -160,6 +186,9 @@ def treatment_groups(
             "total_bed_days",
         )
     )
+    if doctors is None:
+        return groups
+    return groups.withColumn("doctor_sk", F.explode_outer(DOCTOR_KEYS)).drop(DOCTOR_KEYS)
 
 
 def grain_key() -> Column:
@@ -177,7 +206,8 @@ def with_surrogates(
     doctors: DataFrame,
     wards: DataFrame,
 ) -> DataFrame:
-    """Look up all keys and state why a group cannot be loaded.
+    """Look up all keys and state why a group cannot be loaded. Groups that come with
+    their ``doctor_sk`` are not looked up by doctor again.
 
     An unknown disease, doctor or date is a reason to skip; an unknown ward is
     not, its key stays NULL. No hint is given: Spark broadcasts a dimension only
@@ -185,10 +215,11 @@ def with_surrogates(
     and joins by shuffle beyond it.
     """
     known_dates = dates.select(F.col("date_id"), F.lit(True).alias("_in_calendar"))
+    if "doctor_sk" not in groups.columns:
+        groups = groups.join(doctors.select("doctor_id", "doctor_sk"), "doctor_id", "left")
     return (
         groups.withColumn("date_id", date_id(F.col("visit_date")))
         .join(diseases.select("disease_code", "disease_sk"), "disease_code", "left")
-        .join(doctors.select("doctor_id", "doctor_sk"), "doctor_id", "left")
         .join(wards.select("ward_id", "ward_sk"), "ward_id", "left")
         .join(known_dates, "date_id", "left")
         .withColumn(

@@ -244,7 +244,8 @@ def refresh(
     """
     previous, load_id = latest(spark, root), uuid.uuid4().hex
     wh = write_dimensions(spark, root, load_id, table, calendar_from, calendar_to, previous)
-    wh.parts = write_fact(fact.treatment_groups(*[table(name) for name in EXTRACT]), wh)
+    tables = [table(name) for name in EXTRACT]
+    wh.parts = write_fact(fact.treatment_groups(*tables, wh.dimension("dim_doctor")), wh)
     return publish(wh, stored_reports)
 
 

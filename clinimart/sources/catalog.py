@@ -34,13 +34,16 @@ def bucket_count(rows: int) -> int:
     return max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
 
 
-def write_bucketed(df: DataFrame, root: str, database: str, table: str, buckets: int) -> str:
+def write_bucketed(
+    df: DataFrame, root: str, database: str, table: str, buckets: int, placed: bool = False
+) -> str:
     """Write an operational table below ``root`` and register it; returns its name. One
-    task writes a bucket, so there is one file per bucket and year."""
+    task writes a bucket, so there is one file per bucket and year. Rows that are
+    ``placed`` were put in ``buckets`` partitions by the table's key before."""
     fields = operational_schema(table).fields
     rows = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
     key, name = BUCKET_KEYS[table], f"{database}.{table}"
-    writer = rows.repartition(buckets, key)
+    writer = rows if placed else rows.repartition(buckets, key)
     if table in YEAR_OF:
         year, day = YEAR_OF[table]
         writer = writer.withColumn(year, F.year(day)).write.partitionBy(year)

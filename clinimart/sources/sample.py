@@ -133,10 +133,14 @@ class SampleMapping:
             )
         )
 
-    def diagnosis(self) -> DataFrame:
+    def diagnosis(self, buckets: int | None = None) -> DataFrame:
+        """With ``buckets`` lines are put in that many partitions by visit, where their
+        duplicates are merged; the rows stay there."""
+        lines = self.diagnosis_lines()
+        if buckets:
+            lines = lines.repartition(buckets, "visit_id")
         return (
-            self.diagnosis_lines()
-            .groupBy("visit_id", "disease_code")
+            lines.groupBy("visit_id", "disease_code")
             .agg(F.max("quantity").alias("quantity"))
             .select("visit_id", "disease_code", severity_of("quantity").alias("severity"))
         )
@@ -256,11 +260,14 @@ class SampleTables:
     def path(self, table: str) -> str:
         """Folder of a table, or its name in the catalog."""
         if table not in self._written:
-            rows = getattr(self.mapping, table)()
             if table in BUCKET_KEYS:
-                self._written[table] = write_bucketed(rows, self.root, self.database, table, self.buckets)
+                placed = table == "diagnosis"
+                rows = getattr(self.mapping, table)(*[self.buckets] * placed)
+                self._written[table] = write_bucketed(
+                    rows, self.root, self.database, table, self.buckets, placed
+                )
             else:
-                write_operational(rows, self.root, table)
+                write_operational(getattr(self.mapping, table)(), self.root, table)
                 self._written[table] = f"{self.root}/{table}"
         return self._written[table]
 
