@@ -11,6 +11,8 @@ from ..operators.stays import expand_copies, visit_stay_lists, visit_stays
 
 GRAIN = ["visit_date", "disease_code", "doctor_id", "ward_id"]
 DOCTOR_KEYS = "doctor_sks"
+# A key of the list and its place there, which tells apart keys that are repeated.
+DOCTOR_KEY = ["_doctor_place", "doctor_sk"]
 # Visits whose groups one task sums at most, and tasks for fewer visits.
 VISITS_PER_TASK = 100_000
 LEAST_TASKS, FEW_VISITS = 8, 5_000
@@ -102,8 +104,10 @@ def _visits(
 
 def with_doctor_keys(visits: DataFrame, doctors: DataFrame) -> DataFrame:
     """Visits with the surrogate keys of their doctor as a list, so that a visit stays one
-    row; NULL for an unknown doctor."""
-    keys = doctors.groupBy("doctor_id").agg(F.collect_list("doctor_sk").alias(DOCTOR_KEYS))
+    row; NULL for an unknown doctor. The list has one order, so that a repeated task sees
+    a key in the same place."""
+    listed = F.sort_array(F.collect_list("doctor_sk"))
+    keys = doctors.groupBy("doctor_id").agg(listed.alias(DOCTOR_KEYS))
     return visits.join(keys, "doctor_id", "left")
 
 
@@ -138,19 +142,24 @@ def treatment_groups(
     which the files keep and so get smaller. With ``doctors``, the
     dimension, a visit also takes along the keys of its doctor, and groups come with
     ``doctor_sk``: doctors grow with the visits, and a list of them too large to
-    broadcast would move all groups.
+    broadcast would move all groups. A visit is repeated for these keys, of which there
+    is one as a rule, before it becomes rows: groups, ten times as many, are not copied
+    once more for it.
     """
     visits = _visits(visit, diagnosis, outcome, treatment, medicine)
     grain = GRAIN
     if doctors is not None:
-        visits, grain = with_doctor_keys(visits, doctors), [*GRAIN, DOCTOR_KEYS]
+        visits, grain = with_doctor_keys(visits, doctors), [*GRAIN, *DOCTOR_KEY]
     tasks = summing_tasks(visit.count(), diagnosis.count())
     placed = (
         visit_stay_lists(visits, bed_allocation, visit)
         .repartition(tasks, "visit_date", "doctor_id")
         .sortWithinPartitions("visit_date")
     )
-    kept = [*[c for c in grain if c in visits.columns], "outcome_status", "treatment_cost"]
+    if doctors is not None:
+        others = [c for c in placed.columns if c != DOCTOR_KEYS]
+        placed = placed.select(*others, F.posexplode_outer(DOCTOR_KEYS).alias(*DOCTOR_KEY))
+    kept = [*[c for c in grain if c in placed.columns], "outcome_status", "treatment_cost"]
     rows = (
         placed.select(*kept, "stay_list", F.inline("diseases"))
         .select(*kept, "disease_code", "times", F.inline_outer("stay_list"))
@@ -161,7 +170,7 @@ def treatment_groups(
     def cases_with(status: str):
         return F.sum(F.when(F.col("outcome_status") == status, copies).otherwise(0))
 
-    groups = (
+    return (
         rows.groupBy(*grain)
         .agg(
             F.sum(copies).alias("total_cases"),
@@ -173,7 +182,7 @@ def treatment_groups(
             F.sum(F.when(cost.isNotNull(), copies)).alias("_costed"),
         )
         .select(
-            *grain,
+            *GRAIN,
             "total_cases",
             "recovered_cases",
             "readmitted_cases",
@@ -184,11 +193,9 @@ def treatment_groups(
             .cast("decimal(10,2)")
             .alias("avg_treatment_cost"),
             "total_bed_days",
+            *[c for c in grain if c == "doctor_sk"],
         )
     )
-    if doctors is None:
-        return groups
-    return groups.withColumn("doctor_sk", F.explode_outer(DOCTOR_KEYS)).drop(DOCTOR_KEYS)
 
 
 def grain_key() -> Column:

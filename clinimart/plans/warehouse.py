@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_date, date_key
 from ..functions.numbers import or_zero
 from ..schemas import FACT_COLUMNS, FACT_LOAD
-from ..sources.storage import read_dimension, remove_folder
+from ..sources.storage import open_partitions, read_dimension, remove_folder
 from . import dims, fact
 
 PART_COLUMNS = "load_id: STRING, load_status: STRING, year_num: INT, fact_rows: BIGINT, cases: BIGINT"
@@ -41,6 +41,8 @@ LOADS_SCHEMA = (
     f"load_id STRING, finished_at TIMESTAMP, parts ARRAY<{PART}>, table_rows MAP<STRING, BIGINT>"
 )
 EXPIRED_SCHEMA = "load_id STRING, marked_at TIMESTAMP"
+# Files of one load that a task writes at a time: loaded and skipped groups of 16 years.
+OPEN_PARTITIONS = 32
 EXTRACT = ("visit", "diagnosis", "outcome", "bed_allocation", "treatment", "medicine")
 Tables = Callable[[str], DataFrame]
 Part = tuple[str, str, int, int, int]
@@ -188,23 +190,25 @@ def keyed_groups(groups: DataFrame, wh: Warehouse) -> DataFrame:
 
 
 def write_fact(groups: DataFrame, wh: Warehouse) -> list[Part]:
-    """Write groups as the load's own partitions and return these. What the write
+    """Write groups as the load's own partitions and return these; they come in order of
+    the day and are not sorted again by partition. What the write
     itself counted must be what is found in the folder; else the load is not finished."""
     folder = f"{wh.base}/fact_load/load_id={wh.load_id}"
     seen, totals = Observation("fact"), {"rows": F.count("*"), "cases": or_zero(F.sum("total_cases"))}
-    (
-        keyed_groups(groups, wh)
-        .withColumns(
-            {
-                "load_status": F.when(F.col("skip_reason").isNull(), "loaded").otherwise("skipped"),
-                "year_num": F.year("visit_date"),
-            }
+    with open_partitions(wh.spark, OPEN_PARTITIONS):
+        (
+            keyed_groups(groups, wh)
+            .withColumns(
+                {
+                    "load_status": F.when(F.col("skip_reason").isNull(), "loaded").otherwise("skipped"),
+                    "year_num": F.year("visit_date"),
+                }
+            )
+            .withColumn("fact_id", fact.grain_key())
+            .observe(seen, *[total.alias(name) for name, total in totals.items()])
+            .write.partitionBy("load_status", "year_num")
+            .parquet(folder)
         )
-        .withColumn("fact_id", fact.grain_key())
-        .observe(seen, *[total.alias(name) for name, total in totals.items()])
-        .write.partitionBy("load_status", "year_num")
-        .parquet(folder)
-    )
     written = wh.spark.read.schema(FACT_LOAD).parquet(folder)
     sums = [total.alias(name) for name, total in totals.items()]
     found = written.groupBy("load_status", "year_num").agg(*sums).collect()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,20 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def open_partitions(spark: SparkSession, files: int) -> Iterator[None]:
+    """Inside, a partitioned write keeps up to ``files`` files of a task open and appends
+    each row where it belongs, instead of sorting all rows by partition; Spark sorts what
+    comes for further partitions."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, files)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> bool:
     """Remove a folder of any file system that Spark writes to; False if there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as app
 from clinimart.operators import skew
-from clinimart.plans import fact
+from clinimart.plans import fact, warehouse
 from clinimart.plans.warehouse import EXTRACT, Warehouse, keyed_groups, write_dimensions
 from clinimart.sources import catalog
 from clinimart.sources.sample import SampleMapping
@@ -102,3 +102,36 @@ def test_diagnoses_move_once_to_their_bucket(spark, folder):
     assert len(written.inputFiles()) == 8
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, placed.collect()))
     spark.sql("DROP DATABASE clinimart_placed CASCADE")
+
+
+def test_groups_are_not_copied_for_their_doctor(spark, hospital):
+    """A visit takes the key of its doctor before it becomes rows; nothing is taken out of
+    a list above the sums."""
+    tables, doctors = twice(spark, hospital)
+    lines = plan_lines(fact.treatment_groups(*tables, doctors).select("doctor_sk", "total_cases"))
+    sums = next(i for i, line in enumerate(lines) if "HashAggregate(keys=" in line)
+    made = [i for i, line in enumerate(lines) if "Generate " in line]
+    assert made and min(made) > sums
+
+
+def test_a_load_is_not_sorted_by_partition(spark, folder, monkeypatch):
+    """Groups go to the open files of their years as they come, and only within the load
+    is the session set so; further years than files give the same rows."""
+    site, name = app.Site.of(spark, SF_DIR), "spark.sql.maxConcurrentOutputFileWriters"
+    tables, before = [site.table(t) for t in EXTRACT], spark.conf.get(name)
+    found = []
+    for files in (32, 2):
+        monkeypatch.setattr(warehouse, "OPEN_PARTITIONS", files)
+        seen = {}
+
+        def keyed(groups, wh, seen=seen):
+            seen["files"] = spark.conf.get(name)
+            return keyed_groups(groups, wh)
+
+        monkeypatch.setattr(warehouse, "keyed_groups", keyed)
+        wh = write_dimensions(spark, f"{folder}/{files}", "a", site.table, "1993-01-01", "1995-12-31", None)
+        wh.parts = warehouse.write_fact(fact.treatment_groups(*tables, wh.dimension("dim_doctor")), wh)
+        assert seen["files"] == str(files) and spark.conf.get(name) == before
+        found.append(Counter(map(repr, wh.load_rows.collect())))
+        assert {p[1] for p in wh.parts} == {"loaded", "skipped"} and len({p[2] for p in wh.parts}) > 5
+    assert found[0] == found[1] and max(found[0].values()) == 1
