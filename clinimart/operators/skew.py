@@ -24,7 +24,12 @@ def slices_for(rows: Column) -> Column:
 
 
 def left_join_sliced(
-    left: DataFrame, right: DataFrame, sizes: DataFrame, on: Sequence[str], spread: str
+    left: DataFrame,
+    right: DataFrame,
+    sizes: DataFrame,
+    on: Sequence[str],
+    spread: str,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``left`` left-joined with ``right`` on the key columns ``on``.
 
@@ -32,7 +37,8 @@ def left_join_sliced(
     ``right`` carries the same column. The list of keys with two slices or more is
     written first and joined without a hint: Spark knows its size then, broadcasts it
     while small, and moves the left rows only once, with their slice.
-    ``spread`` is a left column with many values.
+    ``spread`` is a left column with many values. With ``tasks`` both sides meet in that
+    many, which adaptive execution does not merge.
     """
     keys = list(on)
     hot = written_once(sizes.filter(F.col("slices") > 1).select(*keys, "slices"), "hot-keys")
@@ -41,6 +47,7 @@ def left_join_sliced(
     repeated = right.withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     )
-    return (
-        sliced.drop("slices").join(repeated.drop("slices"), [*keys, "_slice"], "left").drop("_slice")
-    )
+    sliced, repeated = sliced.drop("slices"), repeated.drop("slices")
+    if tasks:
+        sliced, repeated = [side.repartition(tasks, *keys, "_slice") for side in (sliced, repeated)]
+    return sliced.join(repeated, [*keys, "_slice"], "left").drop("_slice")

@@ -24,6 +24,16 @@ from ..sources.storage import written_once
 from .skew import left_join_sliced, slices_for
 
 DAY = ["patient_id", "visit_date"]
+# Days that one task looks up, where there are more than a few. Adaptive execution would
+# merge tasks by compressed bytes, and what is found for a day is many times as large in
+# memory.
+DAYS_PER_TASK, FEW_DAYS = 100_000, 1_000_000
+
+
+def lookup_tasks(days: int) -> int | None:
+    """Tasks that look up days, so that one has as many whatever the size; Spark plans no
+    fewer than its shuffle partitions. None for few days, which it shares out itself."""
+    return -(-days // DAYS_PER_TASK) if days > FEW_DAYS else None
 
 
 def stay_intervals(bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",)) -> DataFrame:
@@ -51,10 +61,13 @@ def stay_intervals(bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",
 
 
 def stays_by_day(
-    days: DataFrame, bed_allocation: DataFrame, split: Sequence[str] = ("ward_id",)
+    days: DataFrame,
+    bed_allocation: DataFrame,
+    split: Sequence[str] = ("ward_id",),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Totals in force for each row of ``days`` (patient, visit date and more),
-    one row per ward with a stay."""
+    one row per ward with a stay. With ``tasks`` both sides meet in that many."""
     end = days.agg(F.max("visit_date").alias("end")).scalar()
     last = F.least(F.coalesce(F.date_sub("valid_to", 1), end), end)
     intervals = (
@@ -64,6 +77,9 @@ def stays_by_day(
         .filter(F.col("valid_from") <= F.col("_last"))
         .withColumn("_bucket", F.explode(F.sequence(F.year("valid_from"), F.year("_last"))))
     )
+    if tasks:
+        days = days.repartition(tasks, "patient_id", F.year("visit_date"))
+        intervals = intervals.repartition(tasks, "_patient", "_bucket")
     in_force = (
         (F.col("patient_id") == F.col("_patient"))
         & (F.year("visit_date") == F.col("_bucket"))
@@ -96,9 +112,10 @@ def visit_stays(
     crowded that their visits are spread over several tasks.
     """
     days = _days(rows if visits is None else visits)
-    totals = stays_by_day(days, bed_allocation, split)
+    tasks = lookup_tasks(days.count())
+    totals = stays_by_day(days, bed_allocation, split, tasks)
     return (
-        left_join_sliced(rows, totals, days, DAY, spread="visit_id")
+        left_join_sliced(rows, totals, days, DAY, spread="visit_id", tasks=tasks)
         .withColumn("copies", F.coalesce("stays", F.lit(1).cast("bigint")))
         .drop("stays")
     )
@@ -109,14 +126,15 @@ def visit_stay_lists(rows: DataFrame, bed_allocation: DataFrame, visits: DataFra
     a stay. As ``visit_stays``, but a row stays one row. The lists are made where the days
     were looked up, which is by patient and year."""
     days = _days(visits)
-    totals = stays_by_day(days, bed_allocation)
+    tasks = lookup_tasks(days.count())
+    totals = stays_by_day(days, bed_allocation, tasks=tasks)
     entry = F.struct("ward_id", "stays", "known_stays", "stay_days")
     lists = (
         totals.groupBy("patient_id", F.year("visit_date").alias("_year"), "visit_date", "slices")
         .agg(F.collect_list(entry).alias("stay_list"))
         .drop("_year")
     )
-    return left_join_sliced(rows, lists, days, DAY, spread="visit_id")
+    return left_join_sliced(rows, lists, days, DAY, spread="visit_id", tasks=tasks)
 
 
 def expand_copies(df: DataFrame) -> DataFrame:

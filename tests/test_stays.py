@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from clinimart.operators import skew
+from clinimart.operators import skew, stays
 from clinimart.operators.stays import expand_copies, stays_by_day, visit_stays
 
 VISITS = "visit_id BIGINT, patient_id INT, visit_date DATE"
@@ -127,3 +127,40 @@ def test_long_history_is_joined_year_by_year(spark):
 def test_no_days(spark):
     none = spark.createDataFrame([], VISITS)
     assert visit_stays(none, spark.createDataFrame([(1, 1, dt.date(2020, 1, 1), 2)], STAYS)).count() == 0
+
+
+def test_lookup_tasks_follow_the_days():
+    """A task looks up as many days at any size; few are left to Spark."""
+    assert [stays.lookup_tasks(n) for n in (0, 1_000_000, 9_000_000, 54_000_000)] == [None, None, 90, 540]
+
+
+def test_many_days_are_looked_up_in_a_number_of_tasks(spark, hospital, monkeypatch):
+    """Adaptive execution merged the lookup by bytes and its tasks spilled. With a number
+    of tasks the stays are the same, also for hot and missing keys."""
+    schema = "visit_id BIGINT, patient_id BIGINT, visit_date DATE"
+    days = [dt.date(2021 + i % 3, 1 + i % 12, 5) for i in range(60)]
+    visits = spark.createDataFrame(
+        [(i, i % 4 or None, day if i % 17 else None) for i, day in enumerate(days)], schema
+    )
+    rows = [(i, i % 5, i % 3, day, day + dt.timedelta(i) if i % 2 else None) for i, day in enumerate(days)]
+    beds = hospital(bed_allocation=rows).table("bed_allocation")
+
+    def found():
+        lists = stays.visit_stay_lists(visits, beds, visits)
+        listed = lists.withColumn("stay_list", F.sort_array("stay_list"))
+        return [sorted(map(repr, df.collect())) for df in (listed, stays.visit_stays(visits, beds))], lists
+
+    want, _ = found()
+    for name, value in (("FEW_DAYS", 0), ("DAYS_PER_TASK", 2)):
+        monkeypatch.setattr(stays, name, value)
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got, lists = found()
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == want and len(want[0]) == 60
+    numbered = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len([line for line in numbered if "year(" in line or "_bucket" in line]) == 2
+    assert len([line for line in numbered if "_slice" in line]) == 2
