@@ -15,9 +15,11 @@ levels fit at the error rate 2^-probes (93 million of them) the unit is 1 and no
 is lost: words and pairs seen once have a level. Beyond that the smallest unit for
 which all levels fit is taken, from the histogram of all counts, first for pairs
 alone. Counts below one unit are then not in the filter but stay in the tables of
-counts: tokens for which the filter finds at most one level of a word or pair are
-joined with these by key, get the same quantised counts as from a larger filter, and
-are added to their text's score (``late_scores``). So no count is lost at any size.
+counts. Texts are scored in chunks; where the filter finds at most one level of a word
+or pair, the chunk asks its bucket: what is kept of the key goes there, packed with all
+others of chunk and bucket, and one level a key comes back, the one a larger filter
+has (``answers``). Meanwhile the text waits as one level per word and pair. A key costs
+4 or 8 bytes on its way and no row of its own. So no count is lost at any size.
 
 The score is the sum over tokens of log10(mix * pair / word before + (1 - mix) *
 (word + 1) / (N + V + 1)), with all counts from the filter, the pair's not above
@@ -41,10 +43,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import new_folder
+from ..sources.storage import new_folder, open_partitions, remove_folder, shuffles_removed
 from .text import BLOCK, flat, fold, mixed, small_batches, with_bytes, word_hashes, words
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -169,7 +173,8 @@ def training_counts(docs: DataFrame, bits: int, base: float, hold: int = 4_000_0
     )
     merged = parts.groupBy("bucket", "kind").applyInArrow(lambda group: merge_bucket(group, base), MERGED)
     folder = new_folder(spark, "lm-counts")
-    merged.write.parquet(folder)
+    with shuffles_removed(spark):
+        merged.write.parquet(folder, compression="zstd")
     return spark.read.schema(MERGED).parquet(folder)
 
 
@@ -229,6 +234,11 @@ def fill_segment(group: pa.Table, lift: dict, base: float, probes: int, segment_
     )
 
 
+def counts_of(steps: np.ndarray, base: float) -> np.ndarray:
+    """Counts that levels of unit 1 stand for: the middle of a level on the logarithmic scale."""
+    return np.where(steps > 0, base ** (steps - 1 + 0.5 * (base > 1.01)), 0.0)
+
+
 class Filter:
     """The quantised counts, read by probes."""
 
@@ -255,9 +265,12 @@ class Filter:
             level += 1
         return found
 
+    def steps(self, found: np.ndarray, kind: int) -> np.ndarray:
+        """Levels of a filter with the unit 1, 0 for what is not found."""
+        return np.where(found > 0, found - self.lift[kind] + 1, 0)
+
     def counts(self, found: np.ndarray, kind: int) -> np.ndarray:
-        """Counts that levels stand for: the middle of a level on the logarithmic scale."""
-        return np.where(found > 0, self.base ** (found - self.lift[kind] + 0.5 * (self.base > 1.01)), 0.0)
+        return counts_of(self.steps(found, kind), self.base)
 
     def doubtful(self, found: np.ndarray, kind: int) -> np.ndarray:
         """Whether a key may have a count below one unit, or be read a level too high."""
@@ -276,12 +289,14 @@ def build_filter(counts: DataFrame, bits: int, base: float, filter_bits: int, pr
     total = counts.filter(F.col("kind") == WORDS).agg(F.sum("tokens"), F.sum("types")).first()
     lift = chosen_lift(steps, filter_bits * np.log(2) / probes)
     segment_bits = filter_bits >> bits
-    segments = counts.groupBy("bucket").applyInArrow(
-        lambda group: fill_segment(group, lift, base, probes, segment_bits), "bucket int, segment binary"
-    )
     data = np.zeros(filter_bits // 8, np.uint8)
     size = segment_bits // 8
-    for row in segments.collect():  # filter_bits bits in all
+    with shuffles_removed(spark):
+        segments = counts.groupBy("bucket").applyInArrow(
+            lambda group: fill_segment(group, lift, base, probes, segment_bits), "bucket int, segment binary"
+        )
+        rows = segments.collect()  # filter_bits bits in all
+    for row in rows:
         data[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(row["segment"], np.uint8)
     return (data, bits, lift, base, probes), {"N": total[0] or 0, "V": total[1] or 0}
 
@@ -301,55 +316,60 @@ def word_table(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(task, "h long, c long")
 
 
-def score_batch(batch: pa.RecordBatch, model: dict) -> pa.RecordBatch:
+def before_each(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """What the token before each one has; before the first stands the text's last, an end token."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[bounds[:-1]] = values[bounds[1:] - 1]
+    return out
+
+
+def log_probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, model: dict) -> np.ndarray:
+    pair = np.minimum(pair, np.minimum(word, before))
+    follows = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
+    alone = np.minimum((word + 1) / (model["N"] + model["V"] + 1), 1.0)
+    mix = model["mix"] * (before > 0)
+    return np.log10(mix * follows + (1 - mix) * alone)
+
+
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The values between the cuts as one binary each."""
+    offsets = ((cuts - cuts[0]) * values.itemsize).astype(np.int32)
+    data = np.ascontiguousarray(values[cuts[0] : cuts[-1]])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def score_batch(batch: pa.RecordBatch, model: dict) -> tuple[pa.RecordBatch, dict[int, np.ndarray]]:
+    """Scores of a batch. With ``late`` its texts also have their levels, ``asked`` where the
+    filter leaves them open, and the keys to ask for, in the order of the tokens, come with it."""
     tokens, bounds = token_hashes(batch.column("_utf8"))
     texts = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
     kinds, place = np.unique(tokens, return_inverse=True)
-    n, v, table = model["N"], model["V"], Filter(*model["filter"])
-
-    def shifted(values, first):
-        """What the token before each one has."""
-        out = np.empty_like(values)
-        out[1:] = values[:-1]
-        out[bounds[:-1]] = first
-        return out
-
-    end = table.levels(np.array([END]), WORDS)
+    table = Filter(*model["filter"])
     found = table.levels(kinds, WORDS)
-    word = table.counts(found, WORDS)[place]
-    before = shifted(word, table.counts(end, WORDS)[0])
-    pairs, pair_place = np.unique(pair_hashes(tokens, bounds), return_inverse=True)
+    pair_keys = pair_hashes(tokens, bounds)
+    pairs, pair_place = np.unique(pair_keys, return_inverse=True)
     found_pairs = table.levels(pairs, PAIRS)
-    read = table.counts(found_pairs, PAIRS)[pair_place]
-    pair = np.minimum(read, np.minimum(word, before))
-    follows = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
-    alone = np.minimum((word + 1) / (n + v + 1), 1.0)
-    mix = model["mix"] * (before > 0)
-    logs = np.log10(mix * follows + (1 - mix) * alone)
-    extra, names = [], []
+    columns, names, asked = [], [], {}
     if model["late"]:
-        ask_word = table.doubtful(found, WORDS)[place]
-        ask_before = shifted(ask_word, table.doubtful(end, WORDS)[0])
-        ask_pair = table.doubtful(found_pairs, PAIRS)[pair_place]
-        late = np.flatnonzero(ask_word | ask_before | ask_pair)
-        logs[late] = 0.0
-        pair_key = (bucket_of(pairs, table.bits) << 32 | stored(pairs, PAIRS, table.bits).astype(np.int64))[pair_place]
-        parts = {
-            "word_key": tokens.view(np.int64),
-            "before_key": shifted(tokens, END).view(np.int64),
-            "pair_key": pair_key,
-            "ask_word": ask_word,
-            "ask_before": ask_before,
-            "ask_pair": ask_pair,
-            "word": word,
-            "before": before,
-            "pair": read,
-        }
-        entries = pa.StructArray.from_arrays([pa.array(x[late]) for x in parts.values()], names=list(parts))
-        counted = np.cumsum(np.bincount(texts[late], minlength=batch.num_rows))
-        extra = [pa.ListArray.from_arrays(np.concatenate(([0], counted)).astype(np.int32), entries)]
-        names = ["late"]
-    score = np.add.reduceat(logs, bounds[:-1])
+        score = np.zeros(batch.num_rows)
+        for name, kind, levels_found, at, keys in (
+            ("word", WORDS, found, place, tokens),
+            ("pair", PAIRS, found_pairs, pair_place, pair_keys),
+        ):
+            ask = table.doubtful(levels_found, kind)[at]
+            steps = np.where(ask, model["asked"], table.steps(levels_found, kind)[at])
+            asked[kind] = keys[ask]
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(texts[ask], minlength=batch.num_rows))))
+            columns += [
+                binaries(steps.astype(step_type(table.base)), bounds),
+                binaries(bucket_of(asked[kind], table.bits).astype(np.uint16), cuts),
+            ]
+            names += [f"{name}_steps", f"{name}_buckets"]
+    else:
+        word = table.counts(found, WORDS)[place]
+        pair = table.counts(found_pairs, PAIRS)[pair_place]
+        score = np.add.reduceat(log_probabilities(word, before_each(word, bounds), pair, model), bounds[:-1])
 
     hot_keys, hot_counts = model["hot"]
     at = np.searchsorted(hot_keys, kinds)
@@ -369,57 +389,142 @@ def score_batch(batch: pa.RecordBatch, model: dict) -> pa.RecordBatch:
                 np.concatenate(([0], np.cumsum(np.bincount(texts[rest], minlength=batch.num_rows)))).astype(np.int32),
                 pa.array(tokens[rest].view(np.int64)),
             ),
-            *extra,
+            *columns,
         ],
         names=["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "rest", *names],
-    )
+    ), asked
 
 
-LATE = (
-    ", late array<struct<word_key: long, before_key: long, pair_key: long, ask_word: boolean, ask_before: boolean, "
-    "ask_pair: boolean, word: double, before: double, pair: double>>"
-)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, score double, rest array<long>"
+# What a text waits with, and what a chunk asks a bucket for.
+LATE = ", word_steps binary, word_buckets binary, pair_steps binary, pair_buckets binary, chunk long, place int"
+ASKS = ", kind int, bucket int, keys binary, asks boolean"
+CHUNK = 4  # blocks of text
+# Parts of the buckets that are asked one after the other, so that what moves at a time is small.
+TURNS = 4
 
 
-def left_out(counts: DataFrame, kind: int, lift: int, base: float) -> DataFrame:
-    """Words or pairs that have no level in the filter: key ``k`` and exact count ``c``."""
+# Levels that the filter has no room for.
 
-    def task(batches):
-        for batch in batches:
-            for bucket, keys, numbers in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                k, c = unpack([keys], [numbers], kind)
-                rare = levels(c, lift, base) == 0
-                k, c = k[rare], c[rare]
-                k = k.view(np.int64) if kind == WORDS else bucket << 32 | k.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
-
-    return counts.filter(F.col("kind") == kind).select("bucket", "keys", "counts").mapInArrow(task, "k long, c long")
-
-
-def late_scores(scored: DataFrame, counts: DataFrame, lift: dict, base: float, mix: float, total: dict) -> DataFrame:
-    """Per row the sum over the tokens that the filter left open, with the counts of what
-    it has no room for. Each asked key is rare in training; tokens that do not ask go to
-    any task and match nothing."""
-    tokens = scored.select("row", F.posexplode("late").alias("at", "t")).select("row", "at", "t.*")
-    for name, kind in (("word", WORDS), ("before", WORDS), ("pair", PAIRS)):
-        if lift[kind] >= 1:
-            continue
-        asks, key = F.col(f"ask_{name}"), F.col(f"{name}_key")
-        steps = F.floor(F.ln("c") / F.lit(float(np.log(base))) + F.lit(1e-9))
-        rare = left_out(counts, kind, lift[kind], base).select(
-            F.lit(True).alias(f"ask_{name}"),
-            F.col("k").alias(f"{name}_key"),
-            F.pow(F.lit(float(base)), steps + F.lit(0.5 * (base > 1.01))).alias("_count"),
+
+def step_type(base: float) -> type:
+    """Type that holds all levels of unit 1 and, as its largest value, the mark of an open one."""
+    return np.uint8 if 64 * np.log(2) / np.log(base) < 250 else np.uint16
+
+
+def score_chunks(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    """Rows of the texts, and after those of a chunk a row per bucket that it asks."""
+    bits, first = model["filter"][1], TaskContext.get().partitionId() << 32
+    schema = None
+    held: dict[int, list[np.ndarray]] = {WORDS: [], PAIRS: []}
+    chunk, blocks, place = first, 0, 0
+
+    def asks():
+        for kind, parts in held.items():
+            keys = np.concatenate(parts)
+            bucket = bucket_of(keys, bits)
+            order = np.argsort(bucket, kind="stable")
+            full, starts = np.unique(bucket[order], return_index=True)
+            if not len(full):
+                continue
+            packed = binaries(stored(keys[order], kind, bits), np.append(starts, len(keys)))
+            values = {
+                "chunk": pa.array(np.full(len(full), chunk)),
+                "kind": pa.array(np.full(len(full), kind, np.int32)),
+                "bucket": pa.array(full.astype(np.int32)),
+                "keys": packed,
+                "asks": pa.array(np.ones(len(full), bool)),
+            }
+            columns = [values.get(f.name, pa.nulls(len(full), f.type)) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    for batch in small_batches(batches, limit=BLOCK):
+        scored, asked = score_batch(batch, model)
+        n = scored.num_rows
+        empty = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.zeros(n, bool))]
+        at = [pa.array(np.full(n, chunk)), pa.array(np.arange(place, place + n, dtype=np.int32))]
+        rows = pa.RecordBatch.from_arrays(
+            [*scored.columns, *at, *empty], names=[*scored.schema.names, "chunk", "place", "kind", "bucket", "keys", "asks"]
         )
-        spread = tokens.withColumn(f"{name}_key", F.when(asks, key).otherwise(F.xxhash64("row", "at")))
-        found = spread.join(rare, [f"ask_{name}", f"{name}_key"], "left")
-        tokens = found.withColumn(name, F.coalesce("_count", name)).drop("_count", f"ask_{name}", f"{name}_key")
-    word, before = F.col("word"), F.col("before")
-    follows = F.when(before > 0, F.least("pair", word, before) / before).otherwise(0.0)
-    alone = F.least((word + 1) / F.lit(float(total["N"] + total["V"] + 1)), F.lit(1.0))
-    part = F.when(before > 0, F.lit(float(mix))).otherwise(0.0)
-    return tokens.groupBy("row").agg(F.sum(F.log10(part * follows + (1 - part) * alone)).alias("late_sum"))
+        schema = rows.schema
+        yield rows
+        for kind, keys in asked.items():
+            held[kind].append(keys)
+        blocks, place = blocks + 1, place + n
+        if blocks == CHUNK:
+            yield from asks()
+            held = {WORDS: [], PAIRS: []}
+            chunk, blocks, place = chunk + 1, 0, 0
+    if blocks:
+        yield from asks()
+
+
+def answer_bucket(asks: pa.Table, counts: pa.Table, base: float) -> pa.Table:
+    """Levels of unit 1 of the keys that a bucket is asked for, 0 for those not seen."""
+    found = []
+    for chunk, kind, keys in zip(*(asks.column(c).to_pylist() for c in ("chunk", "kind", "keys")), strict=True):
+        if not found:
+            packed = [counts.column(c).to_pylist() or [b""] for c in ("keys", "counts")]
+            known, numbers = unpack(*packed, kind)
+            steps = np.append(levels(numbers, 1, base), 0)
+        keys = np.frombuffer(keys, known.dtype)
+        at = np.searchsorted(known, keys)
+        there = np.append(known, 0)[at] == keys
+        found.append(steps[np.where(there, at, len(known))].astype(step_type(base)).tobytes())
+    return pa.table(
+        {
+            "chunk": asks.column("chunk"),
+            "kind": asks.column("kind"),
+            "bucket": asks.column("bucket"),
+            "steps": pa.array(found, pa.binary()),
+        }
+    )
+
+
+def answers(asks: DataFrame, counts: DataFrame, base: float) -> DataFrame:
+    """Per chunk, kind and bucket the levels of the keys asked for, from the exact counts."""
+    spark, folder = asks.sparkSession, new_folder(asks.sparkSession, "lm-answers")
+    schema = "chunk long, kind int, bucket int, steps binary"
+    for turn in range(TURNS):
+        own = F.col("bucket") % TURNS == turn
+        left = asks.filter(own).select("chunk", "kind", "bucket", "keys").groupBy("kind", "bucket")
+        right = counts.filter(own).select("kind", "bucket", "keys", "counts").groupBy("kind", "bucket")
+        found = left.cogroup(right).applyInArrow(lambda x, y: answer_bucket(x, y, base), schema)
+        with shuffles_removed(spark):
+            found.write.mode("append").parquet(folder, compression="zstd")
+    return spark.read.schema(schema).parquet(folder)
+
+
+def late_chunk(texts: pa.Table, found: pa.Table, model: dict) -> pa.Table:
+    """Scores of a chunk's texts, with the answers where the filter left a level open."""
+    texts = texts.sort_by("place")
+    found = found.sort_by("bucket")
+    base, asked = model["base"], model["asked"]
+    counts = {}
+    for name, kind in (("word", WORDS), ("pair", PAIRS)):
+        parts = [np.frombuffer(x, step_type(base)) for x in texts.column(f"{name}_steps").to_pylist()]
+        steps = np.concatenate(parts).astype(np.int64)
+        buckets = np.frombuffer(b"".join(texts.column(f"{name}_buckets").to_pylist()), np.uint16)
+        own = found.filter(pc.field("kind") == kind).column("steps").to_pylist()
+        late = np.empty(len(buckets), np.int64)
+        late[np.argsort(buckets, kind="stable")] = np.frombuffer(b"".join(own), step_type(base))
+        steps[steps == asked] = late
+        counts[kind] = counts_of(steps, base)
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    logs = log_probabilities(counts[WORDS], before_each(counts[WORDS], bounds), counts[PAIRS], model)
+    return pa.table({"row": texts.column("row"), "late_score": pa.array(np.add.reduceat(logs, bounds[:-1]))})
+
+
+def late_scores(texts: DataFrame, found: DataFrame, model: dict) -> DataFrame:
+    """Scores of all texts by row, once the buckets have answered."""
+    spark, folder, schema = texts.sparkSession, new_folder(texts.sparkSession, "lm-late"), "row long, late_score double"
+    waiting = texts.select("chunk", "place", "row", "word_steps", "word_buckets", "pair_steps", "pair_buckets")
+    scores = (
+        waiting.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda x, y: late_chunk(x, y, model), schema)
+    )
+    with shuffles_removed(spark):
+        scores.write.parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def score_documents(
@@ -450,29 +555,44 @@ def score_documents(
     order = np.argsort(keys)
     lift = table[2]
     late = min(lift.values()) < 1
+    plain = total | {"mix": mix, "base": base, "asked": np.iinfo(step_type(base)).max}
     model = spark.sparkContext.broadcast(
-        total | {"filter": table, "mix": mix, "hot": (keys[order], numbers[order]), "late": late}
+        plain | {"filter": table, "hot": (keys[order], numbers[order]), "late": late}
     )
 
     def task(batches):
-        for batch in small_batches(batches, limit=BLOCK):
-            yield score_batch(batch, model.value)
+        if late:
+            yield from score_chunks(batches, model.value)
+        else:
+            for batch in small_batches(batches, limit=BLOCK):
+                yield score_batch(batch, model.value)[0]
 
     folder = new_folder(spark, "lm-scored")
-    with_bytes(rows, "doc_id", "held_out").mapInArrow(task, SCORED + LATE * late).withColumn(
+    schema = SCORED + (LATE + ASKS) * late
+    rows_out = with_bytes(rows, "doc_id", "held_out").mapInArrow(task, schema).withColumn(
         "row", F.monotonically_increasing_id()
-    ).write.parquet(folder)
-    scored = spark.read.parquet(folder)
+    )
+    if late:
+        with open_partitions(spark, 2):
+            rows_out.write.partitionBy("asks").parquet(folder, compression="zstd")
+        stored_rows = spark.read.schema(rows_out.schema).parquet(folder)
+        found = answers(stored_rows.filter("asks"), counts, base)
+        remove_folder(spark, f"{folder}/asks=true")
+        scored = spark.read.schema(rows_out.schema).parquet(folder)
+        late_sums = late_scores(scored, found, plain)
+    else:
+        rows_out.write.parquet(folder)
+        scored = spark.read.parquet(folder)
     rare = vocabulary.filter(F.col("c") <= least)
     asked = scored.select("row", F.explode("rest").alias("h")).join(rare, "h")
     found = asked.groupBy("row").agg(
         F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_sum")
     )
     floor = float(np.log10(total["N"] + total["V"] + 1))
-    full, score = scored.drop("rest", "late").join(found, "row", "left"), F.col("score")
+    own = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score"]
+    full = scored.select(own).join(found, "row", "left")
     if late:
-        full = full.join(late_scores(scored, counts, lift, base, mix, total), "row", "left")
-        score = score + F.coalesce("late_sum", F.lit(0.0))
+        full = full.join(late_sums, "row").withColumn("score", F.col("late_score"))
     return full.select(
         "doc_id",
         "held_out",
@@ -480,5 +600,5 @@ def score_documents(
         (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total["N"]).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        score.alias("score"),
+        "score",
     )

@@ -51,6 +51,20 @@ def open_partitions(spark: SparkSession, files: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query are removed as soon as it has ended, and not
+    when the driver collects its garbage. For a query that is written, or made and collected,
+    inside and not run a second time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> bool:
     """Remove a folder of any file system that Spark writes to; False if there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
