@@ -23,8 +23,11 @@ from ..schemas import (
     WAREHOUSE_FOREIGN_KEYS,
     required_columns,
 )
+from ..sources.storage import written_once
 
 Tables = Callable[[str], DataFrame]
+# Size of a table, or of its keys, of which all keys are counted at a time.
+TURN_BYTES = 1 << 29
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -68,13 +71,42 @@ def domain_violations(tables: Tables) -> DataFrame:
     return _union([_count_rules(tables(table), table, checks) for table, checks in rules.items()])
 
 
-def _key_text(columns: Sequence[str]) -> Column:
-    """A key as text, one text per key: each part with its length, NULL as ``-``."""
-    parts = []
-    for column in columns:
-        text = F.col(column).cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.concat(*parts)
+def _turns(df: DataFrame) -> int:
+    """In how many turns the keys of a table are counted, by the size Spark knows of it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, -(-size // TURN_BYTES)) if size < 1 << 60 else 1
+
+
+def _key_counts(df: DataFrame, own: Sequence[Sequence[str]], turn: int, turns: int) -> DataFrame:
+    """Rows ``_n`` of each key of a turn, ``_rule`` is the place of the key's columns in
+    ``own``. Keys keep their types and are not padded to text; the one key of a table that
+    is bucketed by a part of it is counted where it lies."""
+
+    def now(key: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(turns)) == turn
+
+    if len(own) == 1:
+        rows = df.filter(now(own[0])) if turns > 1 else df
+        return rows.groupBy(*own[0]).agg(F.count("*").alias("_n")).select(F.lit(0).alias("_rule"), "_n")
+    types = {c: df.schema[c].dataType for key in own for c in key}
+    entries = []
+    for i, key in enumerate(own):
+        parts = [(F.col(c) if c in key else F.lit(None).cast(kind)).alias(c) for c, kind in types.items()]
+        entry = F.struct(F.lit(i).alias("_rule"), *parts)
+        entries.append(F.when(now(key), entry) if turns > 1 else entry)
+    every = F.array(*entries)
+    rows = df.select(F.explode(F.array_compact(every) if turns > 1 else every).alias("k")).select("k.*")
+    return rows.groupBy("_rule", *types).agg(F.count("*").alias("_n")).select("_rule", "_n")
+
+
+def _sums(counts: DataFrame, table: str) -> DataFrame:
+    n = F.col("_n")
+    summed = counts.groupBy("_rule").agg(
+        F.sum(n).alias("checked_rows"),
+        F.count_if(n > 1).alias("duplicate_keys"),
+        F.sum(n - 1).alias("surplus_rows"),
+    )
+    return summed.withColumn("table_name", F.lit(table))
 
 
 def _rules(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
@@ -87,27 +119,24 @@ def duplicate_keys(
 ) -> DataFrame:
     """Keys that occur more than once, and the rows beyond the first of each.
 
-    ``keys`` lists the keys of each table. A table is scanned once for all its keys:
-    every row gives one (rule, key) pair per key, pairs are counted before and after one
-    shuffle that all tables share, and the counts are summed per rule."""
+    ``keys`` lists the keys of each table. A table is scanned once for all its keys, with no
+    more than their columns; keys are counted before and after a shuffle, which tables
+    bucketed by a part of their key do without, and the counts are summed per rule. A table
+    larger than ``TURN_BYTES`` is scanned once per turn: each takes its share of the keys, by
+    their hash, and its shuffle is gone before the next. The last turn is left to the query."""
     keys = keys or {table: [key] for table, key in PRIMARY_KEYS.items()}
-    names = [(table, ", ".join(key)) for table, own in keys.items() for key in own]
-    pairs = []
+    names = [(table, i, ", ".join(key)) for table, own in keys.items() for i, key in enumerate(own)]
+    parts = []
     for table, own in keys.items():
-        entries = [
-            F.struct(F.lit(", ".join(key)).alias("key_columns"), _key_text(key).alias("key")) for key in own
-        ]
-        rows = tables(table).select(F.explode(F.array(*entries)).alias("k"))
-        pairs.append(rows.select(F.lit(table).alias("table_name"), "k.key_columns", "k.key"))
-    counts = _union(pairs).groupBy("table_name", "key_columns", "key").agg(F.count("*").alias("n"))
-    found = counts.groupBy("table_name", "key_columns").agg(
-        F.sum("n").alias("checked_rows"),
-        F.count_if(F.col("n") > 1).alias("duplicate_keys"),
-        F.sum(F.col("n") - 1).alias("surplus_rows"),
-    )
-    rules = _rules(found.sparkSession, names, "table_name string, key_columns string")
+        df = tables(table).select(*dict.fromkeys(c for key in own for c in key))
+        turns = _turns(df)
+        for turn in range(turns):
+            sums = _sums(_key_counts(df, own, turn, turns), table)
+            parts.append(sums if turn == turns - 1 else written_once(sums, "key-counts"))
     counted = ["checked_rows", "duplicate_keys", "surplus_rows"]
-    return rules.join(found, ["table_name", "key_columns"], "left").select(
+    found = _union(parts).groupBy("table_name", "_rule").agg(*[F.sum(c).alias(c) for c in counted])
+    rules = _rules(found.sparkSession, names, "table_name string, _rule int, key_columns string")
+    return rules.join(found, ["table_name", "_rule"], "left").select(
         "table_name", "key_columns", *[or_zero(F.col(c)).alias(c) for c in counted]
     )
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_date, date_key
 from ..functions.numbers import or_zero
 from ..schemas import FACT_COLUMNS, FACT_LOAD
-from ..sources.storage import open_partitions, read_dimension, remove_folder
+from ..sources.storage import open_partitions, read_dimension, remove_folder, shuffles_removed
 from . import dims, fact
 
 PART_COLUMNS = "load_id: STRING, load_status: STRING, year_num: INT, fact_rows: BIGINT, cases: BIGINT"
@@ -148,7 +148,8 @@ class Warehouse:
     def store_report(self, name: str, report: DataFrame) -> None:
         """Keep a full-history report beside the load, so that page summaries
         read a small table and not the fact."""
-        report.write.mode("overwrite").parquet(f"{self.root}/report/{name}")
+        with shuffles_removed(self.spark):
+            report.write.mode("overwrite").parquet(f"{self.root}/report/{name}")
 
     def report(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/report/{name}")
@@ -178,7 +179,8 @@ def write_dimensions(
     done = Warehouse(spark, base, load_id)
     for name, df in built.items():
         seen = Observation(name)
-        df.observe(seen, F.count("*").alias("rows")).write.parquet(f"{done.root}/{name}")
+        with shuffles_removed(spark):
+            df.observe(seen, F.count("*").alias("rows")).write.parquet(f"{done.root}/{name}")
         done.table_rows[name] = seen.get["rows"]
     return done
 
@@ -195,7 +197,7 @@ def write_fact(groups: DataFrame, wh: Warehouse) -> list[Part]:
     itself counted must be what is found in the folder; else the load is not finished."""
     folder = f"{wh.base}/fact_load/load_id={wh.load_id}"
     seen, totals = Observation("fact"), {"rows": F.count("*"), "cases": or_zero(F.sum("total_cases"))}
-    with open_partitions(wh.spark, OPEN_PARTITIONS):
+    with open_partitions(wh.spark, OPEN_PARTITIONS), shuffles_removed(wh.spark):
         (
             keyed_groups(groups, wh)
             .withColumns(

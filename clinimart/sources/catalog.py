@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import operational_schema
+from .storage import shuffles_removed
 
 # Join key of each bucketed table, and the day that its year column is taken from.
 BUCKET_KEYS = {
@@ -50,7 +51,8 @@ def write_bucketed(
     else:
         writer = writer.write
     df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
-    writer.bucketBy(buckets, key).sortBy(key).option("path", f"{root}/{table}").saveAsTable(name)
+    with shuffles_removed(df.sparkSession):
+        writer.bucketBy(buckets, key).sortBy(key).option("path", f"{root}/{table}").saveAsTable(name)
     return name
 
 

@@ -33,7 +33,8 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     aggregate that a plan reads several times: what it was made from is scanned
     once, and a lost executor loses nothing."""
     folder = new_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -112,9 +113,9 @@ def read_operational_jdbc(
 
 def write_operational(df: DataFrame, root: str, table: str) -> None:
     fields = operational_schema(table).fields
-    df.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(
-        f"{root}/{table}"
-    )
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+    with shuffles_removed(df.sparkSession):
+        rows.write.mode("overwrite").parquet(f"{root}/{table}")
 
 
 def read_dimension(spark: SparkSession, root: str, table: str) -> DataFrame:
